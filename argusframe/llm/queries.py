@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, urlfilter
+from . import bpe, quality, sharding, toxicity, urlfilter
 from .common import table
 
 
@@ -20,10 +20,18 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = urlfilter.judge(table(spark, sf_dir, "pages"))
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_sharding": op3_sharding, "op7_url_filter": op7_url_filter}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_sharding, op4_toxicity, op7_url_filter, op8_quality)}
 ORACLES: dict[str, str] = {}
