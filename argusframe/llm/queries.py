@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, sharding, toxicity, urlfilter
+from . import bpe, quality, sharding, simhash, toxicity, urlfilter
 from .common import table
 
 
@@ -33,5 +33,9 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_sharding, op4_toxicity, op7_url_filter, op8_quality)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"), width=3, budget=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_sharding, op4_toxicity, op7_url_filter, op8_quality, op9_simhash)}
 ORACLES: dict[str, str] = {}
