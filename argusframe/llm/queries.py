@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, sharding, simhash, toxicity, urlfilter
+from . import bpe, decontam, quality, sharding, simhash, toxicity, urlfilter
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
@@ -37,5 +41,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"), width=3, budget=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_sharding, op4_toxicity, op7_url_filter, op8_quality, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_sharding, op4_toxicity, op7_url_filter, op8_quality, op9_simhash)}
 ORACLES: dict[str, str] = {}
