@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, quality, sharding, simhash, toxicity, urlfilter
+from . import ann, bpe, decontam, quality, sharding, simhash, toxicity, urlfilter
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = urlfilter.judge(table(spark, sf_dir, "pages"))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -41,5 +45,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"), width=3, budget=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_sharding, op4_toxicity, op7_url_filter, op8_quality, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_sharding, op4_toxicity, op5_nearest, op7_url_filter, op8_quality, op9_simhash)}
 ORACLES: dict[str, str] = {}
