@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,7 +47,13 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def spread(df: DataFrame, rows_moved: DataFrame | None = None) -> DataFrame:
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores.
 
     A table of many files keeps its partitions and nothing moves; only a small one, of fewer splits than cores, is dealt anew.

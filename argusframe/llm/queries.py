@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, quality, sharding, simhash, toxicity, urlfilter
+from . import ann, bpe, decontam, quality, sharding, simhash, suffixdedup, toxicity, urlfilter
 from .common import table
 
 
@@ -45,5 +45,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"), width=3, budget=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_sharding, op4_toxicity, op5_nearest, op7_url_filter, op8_quality, op9_simhash)}
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixdedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_sharding, op4_toxicity, op5_nearest, op7_url_filter, op8_quality, op9_simhash, op10_suffix_array)}
 ORACLES: dict[str, str] = {}
