@@ -181,10 +181,10 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, decoded binary").withColumnRenamed("id", id_col)
 
 
-def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256, n_chars_covered): encodes each text, decodes its ids, and digests both in one pass.
 
-    n_chars_covered is the last token's end in characters: the text's length if offsets hold.
+    n_chars_covered is the last token's end in characters: the text's length if offsets hold. keep_ids adds ids array<int>.
     """
     cast = _spec(docs.sparkSession, path, pattern)
     kept = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
@@ -193,7 +193,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
         codec = _codec(*cast.value)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            n, ids_sha, raw_sha, covered = [], [], [], []
+            n, ids_sha, raw_sha, covered, kept_ids = [], [], [], [], []
             for packed in codec.encode(batch.column("text").to_pylist()):
                 ids = np.frombuffer(packed, "<u4")
                 raw = codec.decode(ids)
@@ -202,7 +202,10 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
                 ids_sha.append(sha(packed))
                 raw_sha.append(sha(raw))
                 covered.append(int(last[-1]) if len(ids) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string()), pa.array(covered, pa.int64())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars_covered"])
+                if keep_ids:
+                    kept_ids.append(ids.astype(np.int32))
+            columns = [batch.column("id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string()), pa.array(covered, pa.int64()), *([_lists(kept_ids)] if keep_ids else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars_covered", "ids"][: len(columns)])
 
-    schema = f"id {kept.schema['id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_chars_covered bigint"
+    schema = f"id {kept.schema['id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_chars_covered bigint" + (", ids array<int>" if keep_ids else "")
     return spread(kept).mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, quality, sharding, simhash, suffixdedup, toxicity, urlfilter
+from . import ann, bpe, decontam, linededup, quality, sharding, simhash, suffixdedup, toxicity, urlfilter
 from .common import table
 
 
@@ -36,6 +36,11 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "removed_lines", "longest_run", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = urlfilter.judge(table(spark, sf_dir, "pages"))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -50,5 +55,5 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_sharding, op4_toxicity, op5_nearest, op7_url_filter, op8_quality, op9_simhash, op10_suffix_array)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_sharding, op4_toxicity, op5_nearest, op6_line_dedup, op7_url_filter, op8_quality, op9_simhash, op10_suffix_array)}
 ORACLES: dict[str, str] = {}
