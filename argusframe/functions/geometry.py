@@ -51,7 +51,12 @@ def even_indices(count: Column, wanted: Column) -> Column:
 
 def anchors(size: int, strides=(8, 16, 32, 64)) -> Column:
     """Centres of a detector's anchor grid: array of (stride, x, y), row by row."""
-    per = [F.flatten(F.transform(F.sequence(F.lit(0), F.lit(-(-size // s) - 1)), lambda j, s=s: F.transform(F.sequence(F.lit(0), F.lit(-(-size // s) - 1)), lambda i: F.struct(F.lit(s).alias("stride"), (i * s + 0.5 * (s - 1)).alias("x"), (j * s + 0.5 * (s - 1)).alias("y"))))) for s in strides]
+    def grid(stride: int) -> Column:
+        along = F.sequence(F.lit(0), F.lit(-(-size // stride) - 1))
+        at = lambda k: k * stride + 0.5 * (stride - 1)
+        return F.flatten(F.transform(along, lambda j: F.transform(along, lambda i: F.struct(F.lit(stride).alias("stride"), at(i).alias("x"), at(j).alias("y")))))
+
+    per = [grid(s) for s in strides]
     return F.concat(*per)
 
 
