@@ -120,6 +120,21 @@ def window_hashes(t: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h, literal[n:] - literal[:-n] >= min(LITERAL, n)
 
 
+def _consistent(filled: list[tuple], start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The longest parts of a run in which each value of a placeholder stands for one value throughout; filled has (place, key, value)."""
+    bound: dict = {}
+    for k, (i, key, value) in enumerate(filled):
+        if key in bound and bound[key][0] != value:
+            yield start, i
+            start = bound[key][1] + 1
+            bound = {}
+            for j, other, its in filled[:k]:
+                if j >= start:
+                    bound[other] = (its, j)
+        bound[key] = (value, i)
+    yield start, end
+
+
 class Benchmark:
     """Windows of the items; broadcast when small enough."""
 
@@ -183,16 +198,11 @@ class Benchmark:
             for start, end in spans:
                 if end - start < need:
                     continue
-                forth: dict = {}
-                changed, slots, consistent = 0, 0, True
-                for i in range(start, end):
-                    if (code := int(t[i])) <= QUANTITY:
-                        theirs, own = self.values[item][i - shift], values(i)
-                        slots += 1
-                        changed += theirs != own
-                        consistent &= forth.setdefault((code, theirs), own) == own
-                if consistent and (item not in best or end - start > best[item][0]):
-                    best[item] = (end - start, len(self.tokens[item]), slots, changed, start)
+                filled = [(i, (int(t[i]), self.values[item][i - shift]), values(i)) for i in range(start, end) if t[i] <= QUANTITY]
+                for a, z in _consistent(filled, start, end):
+                    if z - a >= need and (item not in best or z - a > best[item][0]):
+                        own = [f for f in filled if a <= f[0] < z]
+                        best[item] = (z - a, len(self.tokens[item]), len(own), sum(k[1] != v for _, k, v in own), a)
         for item, x in sorted(best.items()):
             yield self.ids[item], *x
 

@@ -82,8 +82,10 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", t
     """docs with all its columns, the text without later copies, and n_lines, removed_lines, longest_run.
 
     Lines are what newlines part; those of white space alone belong to no run and stay. A null text stays null, and a
-    null id takes no part: such rows stay as they are. Repeated rows get the same result.
+    null id takes no part: such rows stay as they are. Repeated rows get the same result. Columns of docs named like the three
+    new ones are replaced.
     """
+    docs = docs.drop("n_lines", "removed_lines", "longest_run", "argus_tie", "argus_at", "argus_run")
     cuts = later_copies(docs.where(F.col(id_col).isNotNull()), min_lines, id_col, text_col).groupBy(*_KEY).agg(F.collect_list("at").alias("argus_at"), F.max("run_lines").alias("argus_run"))
     own = docs.withColumn("argus_tie", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     cuts = cuts.select(F.col("doc").alias(id_col), F.col("tie").alias("argus_tie"), "argus_at", "argus_run")

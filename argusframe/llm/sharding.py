@@ -53,7 +53,7 @@ def rebalanced(old: DataFrame, shards: int) -> DataFrame:
         load, own = acc["load"], x["shard"]
         held = F.get(load, own)
         least = F.array_position(load, F.array_min(load)).cast("int") - 1
-        to = F.when(held.isNotNull() & (held + x["bytes"] <= x["share"]), own).otherwise(least)
+        to = F.when(held.isNotNull() & ((x["bytes"] == 0) | (held + x["bytes"] <= x["share"])), own).otherwise(least)
         after = F.transform(load, lambda v, i: F.when(i == to, v + x["bytes"]).otherwise(v))
         return F.struct(after.alias("load"), F.concat(acc["to"], F.array(to)).alias("to"))
 
