@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ann, bpe, decontam, linededup, quality, sharding, simhash, suffixdedup, toxicity, urlfilter
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "removed_lines", "longest_run", F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "removed_lines", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +57,3 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_sharding, op4_toxicity, op5_nearest, op6_line_dedup, op7_url_filter, op8_quality, op9_simhash, op10_suffix_array)}
-ORACLES: dict[str, str] = {}
