@@ -15,7 +15,7 @@ def duck(sf_dir):
 
 
 def _value(x):
-    if x is None or x != x:
+    if x is None or type(x).__name__ in ("NAType", "NaTType") or x != x:
         return "null"
     if isinstance(x, bool) or type(x).__name__ == "bool_" or type(x).__name__ == "bool":
         return str(bool(x))
