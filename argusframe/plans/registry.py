@@ -595,3 +595,105 @@ def detection_ap(spark, sf):
     pred, truth = _ap_inputs(spark, sf)
     out = detection_metrics.average_precision(detection_metrics.matches(pred, truth), truth)
     return out.select("class_id", *[F.round(c, 6).alias(c) for c in ("ap", "precision", "recall")])
+
+
+# Relational forms that Spark supplies natively, over the same views
+
+
+@query(f"WITH {v.FRAMES} SELECT frame_id FROM frames WHERE person_count > 0 AND user_id IN (SELECT user_id FROM events WHERE event_type = 'error')")
+def frames_semi_join(spark, sf):
+    f = v.frames(spark, sf).where("person_count > 0")
+    bad = v.table(spark, sf, "events").where("event_type = 'error'").select("user_id")
+    return f.join(bad, "user_id", "left_semi").select("frame_id")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0)")
+def customers_anti_join(spark, sf):
+    return v.table(spark, sf, "customer").join(v.table(spark, sf, "orders").where("o_orderkey % 20 = 0"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query(f"WITH {v.FRAMES} SELECT a.frame_id, arg_max(b.frame_id, b.sequence_number) AS before FROM frames a JOIN frames b ON a.sensor_id = b.sensor_id AND b.person_count > 0 AND b.sequence_number < a.sequence_number GROUP BY 1")
+def last_occupied_frame(spark, sf):
+    """As-of join of a table with itself as one window: the latest occupied frame before each frame."""
+    w = Window.partitionBy("sensor_id").orderBy("sequence_number").rowsBetween(Window.unboundedPreceding, -1)
+    return v.frames(spark, sf).select("frame_id", F.last(F.when(F.col("person_count") > 0, F.col("frame_id")), ignorenulls=True).over(w).alias("before")).where("before IS NOT NULL")
+
+
+@query(f"WITH {v.FRAMES} SELECT sensor_id, event_type, count(*) AS n, CAST(sum(nbytes) AS BIGINT) AS nbytes FROM frames GROUP BY ROLLUP (sensor_id, event_type)")
+def frames_rollup(spark, sf):
+    return v.frames(spark, sf).rollup("sensor_id", "event_type").agg(F.count("*").alias("n"), F.sum("nbytes").alias("nbytes"))
+
+
+@query(f"WITH {v.BOXES} SELECT split, class_id, count(*) AS n FROM boxes GROUP BY GROUPING SETS ((split), (class_id), (split, class_id))")
+def boxes_grouping_sets(spark, sf):
+    return v.boxes(spark, sf).groupingSets([["split"], ["class_id"], ["split", "class_id"]], "split", "class_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {NAMES} SELECT name FROM s WHERE split = 'train' INTERSECT SELECT name FROM s WHERE split = 'val'")
+def split_intersect(spark, sf):
+    n = _names(spark, sf)
+    return n.where("split = 'train'").select("name").intersect(n.where("split = 'val'").select("name"))
+
+
+@query(f"WITH {NAMES} SELECT name FROM s WHERE split = 'train' EXCEPT SELECT name FROM s WHERE split = 'val'")
+def split_except(spark, sf):
+    n = _names(spark, sf)
+    return n.where("split = 'train'").select("name").subtract(n.where("split = 'val'").select("name"))
+
+
+@query(f"WITH {v.FRAMES} SELECT sensor_id, us // 3600000000 AS hour, count(*) AS n FROM frames GROUP BY 1, 2")
+def frames_tumbling(spark, sf):
+    w = v.frames(spark, sf).groupBy("sensor_id", F.window(F.timestamp_micros("us"), "1 hour")).agg(F.count("*").alias("n"))
+    return w.select("sensor_id", F.expr("unix_micros(window.start) DIV 3600000000").alias("hour"), "n")
+
+
+@query(f"WITH {v.FRAMES}, x AS (SELECT sensor_id, us // 3600000000 - i AS hour FROM frames, range(2) r(i)) SELECT sensor_id, hour, count(*) AS n FROM x GROUP BY 1, 2")
+def frames_sliding(spark, sf):
+    w = v.frames(spark, sf).groupBy("sensor_id", F.window(F.timestamp_micros("us"), "2 hours", "1 hour")).agg(F.count("*").alias("n"))
+    return w.select("sensor_id", F.expr("unix_micros(window.start) DIV 3600000000").alias("hour"), "n")
+
+
+@query(f"""WITH {v.FRAMES}, p AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) < 7200000000 THEN 0 ELSE 1 END AS new FROM frames),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM p) SELECT user_id, min(us) AS first_us, count(*) AS n FROM s GROUP BY user_id, k""")
+def user_sessions(spark, sf):
+    w = v.frames(spark, sf).groupBy("user_id", F.session_window(F.timestamp_micros("us"), "2 hours")).agg(F.count("*").alias("n"))
+    return w.select("user_id", F.unix_micros("session_window.start").alias("first_us"), "n")
+
+
+@query(f"WITH {v.FRAMES} SELECT frame_id, event_type FROM frames WHERE sequence_number % 2 = 0 AND sequence_number < 100")
+def frames_every_second(spark, sf):
+    return v.frames(spark, sf).where("pmod(sequence_number, 2) = 0 AND sequence_number < 100").select("frame_id", "event_type")
+
+
+@query(f"WITH {v.FRAMES} SELECT count(DISTINCT name) FILTER (NOT starts_with(name, 'Unknown')) AS known FROM (SELECT CASE WHEN user_id % 3 = 0 THEN 'Unknown #' || user_id ELSE 'user-' || user_id END AS name FROM frames)")
+def known_people(spark, sf):
+    name = F.when(F.col("user_id") % 3 == 0, F.format_string("Unknown #%d", "user_id")).otherwise(F.concat(F.lit("user-"), F.col("user_id").cast("string")))
+    return presence.known_people(v.frames(spark, sf).select(name.alias("name")).distinct())
+
+
+@query(f"""WITH {v.BOXES}, {DIFF}, x AS (SELECT DISTINCT image FROM b WHERE c <> 'UAV') SELECT (SELECT count(DISTINCT image) FROM b) AS frames_compared, (SELECT count(DISTINCT image) FROM b) - (SELECT count(*) FROM x) AS frames_equivalent, (SELECT count(*) FROM x) = 0 AS passed""")
+def compatibility_rollup(spark, sf):
+    b = v.boxes(spark, sf).select(F.col("image").alias("frame_index"), "ord")
+    return detections.compatibility(b, b.where("(frame_index + ord) % 17 = 0"))
+
+
+@query(f"WITH {v.STORED} SELECT count(*) AS deleted, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes_removed FROM stored WHERE state <> 'recording' AND NOT protected AND coalesce(ended_us, started_us) < {NOW} - CASE identity_kind WHEN 'known' THEN 400 ELSE 900 END * {store.DAY}")
+def cleanup_result(spark, sf):
+    return store.cleanup_result(store.retention_plan(v.stored_events(spark, sf), NOW, DAYS, BUDGET).where("reason = 'expired'"))
+
+
+@query("SELECT p_partkey, nullif(trim(substr(trim(regexp_replace('  ' || p_name || ' *' || p_brand || '/' || p_type, '[^A-Za-z0-9 _-]', '', 'g')), 1, 60)), '') AS name FROM part")
+def safe_names(spark, sf):
+    p = v.table(spark, sf, "part")
+    return p.select("p_partkey", F.trim(text.safe_name(F.concat(F.lit("  "), "p_name", F.lit(" *"), "p_brand", F.lit("/"), "p_type"))).alias("name"))
+
+
+@query(f"""WITH {v.VECTORS} SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(list_sum(list_transform(range(8), lambda k: exp(v[k + 1]) * k)) / list_sum(list_transform(range(8), lambda k: exp(v[k + 1]))) * 16, 6) AS distance FROM vectors""")
+def vector_functions(spark, sf):
+    x = v.vectors(spark, sf)
+    return x.select("vec_id", F.round(F.sqrt(vectors.dot(F.col("v"), F.col("v"))), 6).alias("norm"), F.round(geometry.integral_distance(F.slice("v", 1, 8), F.lit(16)), 6).alias("distance"))
+
+
+@query("SELECT s.stride::INT AS stride, i * s.stride + 0.5 * (s.stride - 1) AS x, j * s.stride + 0.5 * (s.stride - 1) AS y FROM (VALUES (8, 52), (16, 26), (32, 13), (64, 7)) s(stride, n), range(52) a(i), range(52) b(j) WHERE i < n AND j < n")
+def anchor_grid(spark, sf):
+    return spark.range(1).select(F.explode(geometry.anchors(416)).alias("a")).select("a.stride", F.col("a.x").cast("double").alias("x"), F.col("a.y").cast("double").alias("y"))
