@@ -55,3 +55,20 @@ def iso_seconds(ts: Column) -> Column:
 def has_offset(text: Column) -> Column:
     """Whether an ISO-8601 text names its offset."""
     return F.coalesce(text.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d([.,]\d+)?)?(Z|[+-]\d\d(:?\d\d(:?\d\d)?)?)$"), F.lit(False))
+
+
+def iso_text(ts: Column) -> Column:
+    """A UTC timestamp as ISO-8601 with its offset; microseconds only where there are any."""
+    micros = F.unix_micros(ts) % 1_000_000
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(whole, F.when(micros != 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
+
+
+def index_list(x: Column) -> Column:
+    """Comma-separated whole numbers as a sorted array without repeats; null if any is none or negative."""
+    parts = F.transform(F.split(x, ","), lambda p: F.trim(p).try_cast("bigint"))
+    return F.when(~F.exists(parts, lambda p: F.coalesce(p < 0, F.lit(True))), F.array_sort(F.array_distinct(parts)))
+
+
+def class_name(names: list[str], class_id: Column) -> Column:
+    return F.get(F.array(*map(F.lit, names)), class_id)
