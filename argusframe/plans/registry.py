@@ -697,3 +697,69 @@ def vector_functions(spark, sf):
 @query("SELECT s.stride::INT AS stride, i * s.stride + 0.5 * (s.stride - 1) AS x, j * s.stride + 0.5 * (s.stride - 1) AS y FROM (VALUES (8, 52), (16, 26), (32, 13), (64, 7)) s(stride, n), range(52) a(i), range(52) b(j) WHERE i < n AND j < n")
 def anchor_grid(spark, sf):
     return spark.range(1).select(F.explode(geometry.anchors(416)).alias("a")).select("a.stride", F.col("a.x").cast("double").alias("x"), F.col("a.y").cast("double").alias("y"))
+
+
+@query(f"WITH {HASHES} SELECT dhash % 1024 AS bits, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, count(*) AS n FROM h GROUP BY 1 HAVING count(DISTINCT split) > 1")
+def dhash_groups(spark, sf):
+    h = _hashes(spark, sf).withColumn("bits", F.col("dhash") % 1024)
+    return duplicates.cross_split(h, "bits", name="vec_id").withColumn("splits", F.array_join("splits", ","))
+
+
+@query(f"WITH {PAIRS} SELECT x, y, h, corr, mae FROM q ORDER BY corr DESC, mae, x, y LIMIT 12")
+def pair_ranking(spark, sf):
+    return _pairs(spark, sf).select("x", "y", "h", "corr", "mae").orderBy(F.desc("corr"), "mae", "x", "y").limit(12)
+
+
+@query(f"WITH {HASHES} SELECT a.vec_id AS x, b.vec_id AS y, CAST(bit_count(xor(a.dhash, b.dhash)) AS INT) AS h FROM h a JOIN h b ON a.split <> 'train' AND b.split = 'train' WHERE bit_count(xor(a.dhash, b.dhash)) <= 14")
+def leakage_pairs(spark, sf):
+    h = _hashes(spark, sf)
+    return duplicates.within(h.where("split <> 'train'"), h.where("split = 'train'"), 14)
+
+
+@query()
+def seeded_sample(spark, sf):
+    return topk.seeded_sample(v.table(spark, sf, "documents").select("doc_id", "lang"), 24, "doc_id", 20261008)
+
+
+@query(f"""WITH {v.ASSIGNMENTS} SELECT user_id, sequence_number, 'absent_assigned' AS code FROM (SELECT *, CASE WHEN sequence_number % 5 = 0 THEN NOT target_visible ELSE target_visible END AS vis FROM assignments) WHERE NOT vis AND assigned_track_id IS NOT NULL""")
+def assignment_violations(spark, sf):
+    a = v.assignments(spark, sf).withColumn("target_visible", F.when(F.col("sequence_number") % 5 == 0, ~F.col("target_visible")).otherwise(F.col("target_visible")))
+    return constraints.audit(a, constraints.assignment_rules(), ["user_id", "sequence_number"]).select("user_id", "sequence_number", "code")
+
+
+@query(f"""WITH {v.STORED}, e AS (SELECT id, identity_kind, CASE WHEN id % 29 = 0 THEN started_us - 1 ELSE ended_us END AS ended_us, started_us, CASE WHEN id % 3 > 0 THEN 'n' || id END AS person_name, CASE WHEN id % 31 = 0 THEN 1.5::DOUBLE WHEN id % 2 = 0 THEN 0.5::DOUBLE END AS confidence FROM stored)
+SELECT id, 'event_times' AS code FROM e WHERE ended_us < started_us UNION ALL SELECT id, 'event_name' FROM e WHERE identity_kind = 'known' AND person_name IS NULL UNION ALL SELECT id, 'confidence_range' FROM e WHERE confidence > 1""")
+def event_violations(spark, sf):
+    e = v.stored_events(spark, sf).withColumns({
+        "ended_us": F.when(F.col("id") % 29 == 0, F.col("started_us") - 1).otherwise(F.col("ended_us")), "person_name": F.when(F.col("id") % 3 > 0, F.concat(F.lit("n"), F.col("id").cast("string"))),
+        "confidence": F.when(F.col("id") % 31 == 0, 1.5).when(F.col("id") % 2 == 0, 0.5),
+    })
+    return constraints.audit(e, constraints.event_rules(), ["id"]).select("id", "code")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '+00:00' AS iso FROM events")
+def iso_timestamps(spark, sf):
+    e = v.table(spark, sf, "events")
+    return e.select("event_id", text.iso_text(F.timestamp_micros(v.micros("ts"))).alias("iso"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE list_sort(list_distinct([o_custkey % 50, o_orderkey % 9, o_custkey % 50, 3])) [1] END AS first, CASE WHEN o_custkey % 7 > 0 THEN len(list_distinct([o_custkey % 50, o_orderkey % 9, o_custkey % 50, 3])) END AS n FROM orders")
+def index_lists(spark, sf):
+    o = v.table(spark, sf, "orders")
+    raw = F.concat_ws(",", (F.col("o_custkey") % 50).cast("string"), F.concat(F.lit(" "), (F.col("o_orderkey") % 9).cast("string")), (F.col("o_custkey") % 50).cast("string"), F.when(F.col("o_custkey") % 7 == 0, "-1").otherwise("3"))
+    return o.select("o_orderkey", text.index_list(raw).alias("l")).select("o_orderkey", F.get("l", F.lit(0)).alias("first"), F.when(F.col("l").isNotNull(), F.size("l")).alias("n"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority[1] = '1' THEN 'openvino:' ELSE 'ultralytics:' END || o_orderkey || '.pt' AS model_id, CASE WHEN o_custkey % 2 = 0 THEN 'Unknown #' || o_custkey ELSE o_orderstatus || ' 0.50' END AS label FROM orders")
+def model_ids_and_labels(spark, sf):
+    o = v.table(spark, sf, "orders")
+    path = F.concat(F.lit("weights\\x/"), F.col("o_orderkey").cast("string"), F.lit(".pt"))
+    return o.select("o_orderkey", text.model_id(path, F.col("o_orderpriority").startswith("1")).alias("model_id"), text.identity_label(F.when(F.col("o_custkey") % 2 == 1, F.col("o_orderstatus")), F.col("o_custkey"), F.lit(0.5)).alias("label"))
+
+
+@query("SELECT o_orderkey, o_custkey % 3 > 0 AND NOT (o_custkey % 3 = 1 AND o_orderkey % 2 = 0) AS ok FROM orders")
+def media_containment(spark, sf):
+    o = v.table(spark, sf, "orders")
+    k = F.col("o_orderkey").cast("string")
+    path = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("../"), k)).when((F.col("o_custkey") % 3 == 1) & (F.col("o_orderkey") % 2 == 0), F.concat(F.lit("/etc/"), k)).otherwise(F.concat(F.lit("a/../"), k, F.lit(".mp4")))
+    return o.select("o_orderkey", store.contained(path, "/media").alias("ok"))

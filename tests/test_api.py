@@ -7,16 +7,20 @@ from argusframe import api, hooks
 from argusframe.operators import duplicates
 
 
-class Fake(hooks.Detector):
-    model_id = "fake"
+def fake():
+    # a class of this function travels to the workers by value
+    class Fake(hooks.Detector):
+        model_id = "fake"
 
-    def detect(self, image, frame):
-        return [{"x1": 0.0, "y1": 0.0, "x2": float(len(image)), "y2": 1.0, "confidence": c, "class_id": 0, "class_name": n} for c, n in ((0.05, "UAV"), (0.5, "UAV"), (0.9, "Bird"))]
+        def detect(self, image, frame):
+            return [{"x1": 0.0, "y1": 0.0, "x2": float(len(image)), "y2": 1.0, "confidence": c, "class_id": 0, "class_name": n} for c, n in ((0.05, "UAV"), (0.5, "UAV"), (0.9, "Bird"))]
+
+    return Fake()
 
 
 def test_detector_hook(spark):
     frames = spark.createDataFrame([("f0", 0, bytearray(b"abc")), ("f1", 1, bytearray(b"abcd")), ("f2", 2, bytearray(b""))], "frame_id string, sequence_number int, content binary")
-    got = hooks.detect_frames(frames, Fake(), classes=["uav"], max_frames=2).collect()
+    got = hooks.detect_frames(frames, fake(), classes=["uav"], max_frames=2).collect()
     assert sorted((r.frame_id, r.detection_index, r.x2, r.confidence) for r in got) == [("f0", 0, 3.0, 0.5), ("f1", 0, 4.0, 0.5)]
 
 
