@@ -129,7 +129,7 @@ ASSIGNMENTS = """assignments AS (
 
 
 def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table of the home-alert store, from orders; sizes are counts of line items."""
+    """The table of an event store, from orders; sizes are counts of line items."""
     o = table(spark, sf_dir, "orders")
     size = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.count("*") * 1000).alias("size"))
     kind = F.when(F.substring("o_orderpriority", 1, 1) == "1", "known").when(F.substring("o_orderpriority", 1, 1) == "2", "uncertain").otherwise("unknown")
