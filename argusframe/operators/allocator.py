@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Shares of train, val and test, weights of images, both classes and groups, and the tolerated excess.
+#: Shares of train, val and test, weights of images, both classes and groups, and the excess over a target that costs more.
 SHARES = (("train", 0.8), ("val", 0.1), ("test", 0.1))
 WEIGHTS = (1.0, 1.0, 1.0, 0.5)
 EXCESS, EXCESS_WEIGHT = 0.03, 6.0
 
 
 def assign(groups: DataFrame, key: str = "group_id", order: list[str] | None = None) -> DataFrame:
-    """(key, split): each whole group to the split for which the weighted squared deviation from the wanted shares ends up least.
+    """(key, split): each whole group to the split for which the weighted squared deviation from the wanted counts, each taken as a share of its target, ends up least.
 
     groups has images, class0 and class1. Larger groups come first, then by key; ties go to train, val, test in this
     order. Every choice depends on all before it, so one ordered fold runs over one array of groups, not of images:
@@ -27,9 +27,11 @@ def assign(groups: DataFrame, key: str = "group_id", order: list[str] | None = N
     weights = F.array(*map(F.lit, WEIGHTS))
 
     def cost(have, share: float):
-        rel = F.zip_with(have, F.col("total"), lambda h, t: F.when(t > 0, h / t - share).otherwise(0.0))
-        part = F.zip_with(rel, weights, lambda r, w: w * (r * r + F.when(r > EXCESS, EXCESS_WEIGHT * (r - EXCESS) * (r - EXCESS)).otherwise(0.0)))
-        return F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
+        wanted = F.transform("total", lambda t: t * share)
+        off = F.zip_with(have, wanted, lambda h, t: (h - t) / F.greatest(t, F.lit(1.0)))
+        over = F.zip_with(have, wanted, lambda h, t: F.greatest(h - t * (1 + EXCESS), F.lit(0.0)) / F.greatest(t, F.lit(1.0)))
+        squares = F.concat(F.zip_with(off, weights, lambda r, w: w * r * r), F.transform(over, lambda r: EXCESS_WEIGHT * r * r))
+        return F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)
 
     def step(acc, g):
         have = [F.get(acc["have"], F.lit(i)) for i in range(3)]

@@ -45,12 +45,24 @@ def test_suppression_against_brute_force(spark):
     assert got == want
 
 
-def test_allocator_keeps_groups_whole_and_balanced(spark):
-    from argusframe.operators.allocator import assign
-
-    df = spark.createDataFrame([(i, 1 + i * 7 % 40, i * 3 % 50, i * 5 % 60) for i in range(200)], "group_id int, images int, class0 int, class1 int")
-    got = {r.group_id: r.split for r in assign(df).collect()}
-    assert len(got) == 200
-    images = {s: sum(1 + i * 7 % 40 for i in got if got[i] == s) for s in ("train", "val", "test")}
-    total = sum(images.values())
-    assert abs(images["train"] / total - 0.8) < 0.04 and abs(images["val"] / total - 0.1) < 0.04
+def test_allocator_against_a_plain_fold(spark):
+    from argusframe.operators.allocator import EXCESS, EXCESS_WEIGHT, SHARES, WEIGHTS, assign
+
+    rows = [(i, 1 + i * 7 % 40, i * 3 % 50, i * 5 % 60) for i in range(200)]
+    got = {r.group_id: r.split for r in assign(spark.createDataFrame(rows, "group_id int, images int, class0 int, class1 int")).collect()}
+    totals = [sum(r[k] for r in rows) for k in (1, 2, 3)] + [len(rows)]
+    have, want = {n: [0.0] * 4 for n, _ in SHARES}, {}
+
+    def cost(counts, share):
+        out = 0.0
+        for h, t, w in zip(counts, totals, WEIGHTS):
+            target = t * share
+            out += w * ((h - target) / max(target, 1)) ** 2 + EXCESS_WEIGHT * (max(h - target * (1 + EXCESS), 0) / max(target, 1)) ** 2
+        return out
+
+    for i, n, a, b in sorted(rows, key=lambda r: (-r[1], r[0])):
+        plus = {name: [x + y for x, y in zip(have[name], (n, a, b, 1))] for name, _ in SHARES}
+        change = {name: round(cost(plus[name], s) - cost(have[name], s), 12) for name, s in SHARES}
+        want[i] = min(change, key=lambda name: change[name])
+        have[want[i]] = plus[want[i]]
+    assert got == want
