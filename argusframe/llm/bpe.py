@@ -14,7 +14,6 @@ import hashlib
 import json
 import os
 import struct
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread, text_or_empty
+from .common import kept_by_worker, slices, spread, text_or_empty
 
-#: Entries at which a worker's tables of encoded pieces and words are emptied, looked at once a batch.
-KEPT = 600_000
+#: Entries at which a worker's tables of encoded pieces and words are emptied, looked at once for some hundred texts.
+KEPT = 250_000
 
 
 def byte_characters() -> list[str]:
@@ -117,12 +116,7 @@ class Codec:
 
 def _codec(spec: str, pattern: str) -> Codec:
     """A worker's codec; it stays, with the pieces it knows, for the worker's later tasks."""
-    kept = sys.__dict__.setdefault("_argusframe_codecs", {})
-    key = hashlib.sha256(f"{pattern}\0{spec}".encode()).digest()
-    if key not in kept:
-        kept.clear()
-        kept[key] = Codec(spec, pattern)
-    return kept[key]
+    return kept_by_worker(f"codec {hashlib.sha256(f'{pattern} {spec}'.encode()).hexdigest()}", lambda: Codec(spec, pattern))
 
 
 def character_offsets(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +144,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(*cast.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             found = [np.frombuffer(b, "<u4").astype(np.int32) for b in codec.encode(texts)]
             columns = [batch.column("id"), _lists(found)]
@@ -174,7 +168,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(*cast.value)
-        for batch in batches:
+        for batch in slices(batches):
             raw = [codec.decode(np.array(x or [], dtype=np.int64)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary())], names=["id", "decoded"])
 
@@ -192,7 +186,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(*cast.value)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
+        for batch in slices(batches):
             n, ids_sha, raw_sha, covered, kept_ids = [], [], [], [], []
             for packed in codec.encode(batch.column("text").to_pylist()):
                 ids = np.frombuffer(packed, "<u4")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialise
+from .common import discard, materialise, slices
 
 MIN_LINES = 2
 _KEY = ["doc", "tie"]
@@ -93,7 +93,7 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", t
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts, total, gone, longest = [], [], [], []
             for text, at, length in zip(b.column(text_col).to_pylist(), b.column("argus_at").to_pylist(), b.column("argus_run").to_pylist(), strict=True):
                 lines = (text or "").split("\n")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, spread, text_or_empty
+from .common import held_out, slices, spread, text_or_empty
 from .training import labelled_sample
 
 #: Bound of the labelled sample: rows of each class.
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     rows, share = labelled_sample(docs, labels, label, SAMPLE, SAMPLE, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = [statistics(t).tolist() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column("label"), b.column("id").cast(pa.string())], names=["x", "y", "id"])
 
@@ -138,7 +138,7 @@ def scored(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_co
     kept = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = np.array([statistics(t) for t in b.column("text").to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(cast.value.score(x)), pa.array(cast.value.difference(x))], names=["id", "score", "log_density_difference"])
 
@@ -157,7 +157,7 @@ def kept_rows(docs: DataFrame, model: Discriminant, threshold: float = 0.3, text
     cast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = np.array([statistics(t or "") for t in b.column(text_col).to_pylist()]).reshape(-1, len(FEATURES))
             yield b.filter(pa.array(cast.value.score(x) >= threshold))
 
