@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, spread, text_or_empty
+from .common import discard, materialise, slices, spread, text_or_empty, trim
 from .components import connected_components
 from .trie import linked
 
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col:
     kept = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([majority(shingle_hashes(t, width)[:, None])[0] for t in b.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
@@ -102,6 +102,7 @@ def trie_links(values: DataFrame, bits: int, budget: int) -> DataFrame:
         b = None if (p, i) == (q, j) else np.unique(v[~first])
         x, y = linked(a, b, bits, budget)
         both = a if b is None else np.concatenate([a, b])
+        trim()
         return pa.table({"t": pa.array(np.full(len(x), t, np.int32)), "v": pa.array(both[x].view(np.int64)), "w": pa.array(both[y].view(np.int64))})
 
     return dealt.groupBy("t", "p", "i", "q", "j").applyInArrow(run, "t int, v bigint, w bigint")
@@ -127,9 +128,9 @@ def components(docs: DataFrame, width: int = 3, budget: int = 2, id_col: str = "
 
 
 #: For texts of `similarity` 0.8 or more: tables of fingerprints, bits in each, and their error budget.
-#: At exactly 0.8 about 15 % of bits differ, so a table links such a pair with probability 0.13 and one of sixteen does
-#: with 0.89; at 0.85 that is 0.98. Unrelated pairs meet with probability 1e-8 a table and fail the exact check.
-TABLES, TABLE_BITS, TABLE_BUDGET = 16, 40, 3
+#: At exactly 0.8 about 15 % of bits differ, so a table links such a pair with probability 0.13 and one of 24 does
+#: with 0.96; at 0.85 that is 0.998. Unrelated pairs meet with probability 1e-8 a table and fail the exact check.
+TABLES, TABLE_BITS, TABLE_BUDGET = 24, 40, 3
 #: Of all the tables' bits, those that may differ for a candidate pair to be worth an exact check.
 MOST_DIFFERENT = 0.23
 
@@ -140,7 +141,7 @@ def _long_fingerprints(docs: DataFrame, width: int, id_col: str, text_col: str)
     kept = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [majority(more_hashes(np.unique(shingle_hashes(t, width)), words)) for t in b.column("text").to_pylist()]
             flat = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
             ends = np.arange(0, len(flat) + 1, words, dtype=np.int32)
@@ -191,7 +192,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     both = pairs.join(texts.withColumnRenamed("id", "src").withColumnRenamed("text", "x"), "src").join(texts.withColumnRenamed("id", "dst").withColumnRenamed("text", "y"), "dst")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             good = []
             for s, t in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
                 p, q = np.unique(shingle_hashes(s, width)), np.unique(shingle_hashes(t, width))
