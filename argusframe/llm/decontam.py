@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread, text_or_empty
+from .common import kept_by_worker, slices, spread, text_or_empty
 
 #: Template tokens in a window, literal ones that it must hold, and tokens in a row that make a leak.
 WINDOW, LITERAL, RUN = 8, 4, 13
@@ -24,8 +24,8 @@ WINDOW, LITERAL, RUN = 8, 4, 13
 SHARE = 0.8
 #: Windows of the benchmark that are broadcast at once; a larger benchmark goes out in blocks.
 BROADCAST_WINDOWS = 1_000_000
-#: Words at which a worker's table of known words is emptied, looked at once a batch.
-KEPT_WORDS = 500_000
+#: Words at which a worker's table of known words is emptied, looked at once for some hundred texts.
+KEPT_WORDS = 300_000
 
 #: Unit words.
 UNITS = frozenset(
@@ -38,23 +38,32 @@ _CAPITAL, _STOP, _NUMBER, _UNIT, _QUANTITY, _BLANK = 1, 2, 4, 8, 16, 32
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
+_MARKS = "\"'`()[]{}<>.,;:!?…¿¡«»“”„*&%$#|~^_=+-/\\"
+_SENTENCE = re.compile(r"[.!?…][\"')\]»”]*$").search
+_NUMERAL = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*").fullmatch
+_MEASURED = re.compile(r"[+-]?\d+(?:[.,]\d+)*([^\W\d].*)").fullmatch
+
+
 def _describe(word: str) -> tuple[int, int, str]:
     """Code of the literal word, flags, and the word without marks around it."""
     import xxhash
 
-    core = word.strip("\"'`()[]{}<>.,;:!?…¿¡«»“”„*&%$#|~^_=+-/\\")
-    flags = _STOP if re.search(r"[.!?…][\"')\]»”]*$", word) else 0
-    if not core:
-        return 0, flags | _BLANK, core
-    if re.fullmatch(r"[+-]?\d+(?:[.,:/]\d+)*", core):
-        flags |= _NUMBER
-    elif (m := re.fullmatch(r"[+-]?\d+(?:[.,]\d+)*([^\W\d].*)", core)) and m[1].lower() in UNITS:
-        flags |= _QUANTITY
-    elif core.lower() in UNITS:
+    core, flags = word, 0
+    if not word.isalpha():
+        core = word.strip(_MARKS)
+        flags = _STOP if _SENTENCE(word) else 0
+        if not core:
+            return 0, flags | _BLANK, core
+        if _NUMERAL(core):
+            flags |= _NUMBER
+        elif (m := _MEASURED(core)) and m[1].lower() in UNITS:
+            flags |= _QUANTITY
+    lower = core.lower()
+    if lower in UNITS:
         flags |= _UNIT
-    if len(core) > 1 and core[0].isupper() and core[1:] == core[1:].lower():
+    if len(core) > 1 and core[0] != lower[0] and core[0].isupper() and core[1:] == lower[1:]:
         flags |= _CAPITAL
-    return xxhash.xxh64_intdigest(core.lower().encode()) | 1 << 63, flags, core
+    return xxhash.xxh64_intdigest(lower.encode()) | 1 << 63, flags, core
 
 
 class Templates(dict):
@@ -226,15 +235,21 @@ def blocks_of(items: list[tuple]) -> list[Benchmark]:
     return [*out, Benchmark(some)] if some else out
 
 
-def _finder(block: Benchmark):
-    words = Templates()
+def _words() -> Templates:
+    """A worker's table of known words, kept for its later tasks and emptied when full."""
+    known = kept_by_worker("template words", lambda: [Templates()])
+    if len(known[0]) > KEPT_WORDS:
+        known[:] = [Templates()]
+    return known[0]
 
-    def find(text: str) -> list[tuple]:
-        nonlocal words
-        if len(words) > KEPT_WORDS:
-            words = Templates()
-        t, numbers = words.template(words.numbers(text))
-        return list(block.leaks(t, lambda i: words.cores[numbers[i]]))
+
+def _finder(block: Benchmark):
+    def find(texts: list[str]) -> Iterator[list[tuple]]:
+        """The leaks of each text. Words are numbered for many texts at once: the tables of codes grow once for all of them."""
+        words = _words()
+        for numbers in [words.numbers(t) for t in texts]:
+            t, numbers = words.template(numbers)
+            yield list(block.leaks(t, lambda i, numbers=numbers: words.cores[numbers[i]]))
 
     return find
 
@@ -257,12 +272,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         def run(batches: Iterator[pa.RecordBatch], cast=cast) -> Iterator[pa.RecordBatch]:
             find = _finder(cast.value)
             names = ["id", "item_id", "run_tokens", "item_tokens", "slots", "changed_slots", "first_token"]
-            for b in batches:
+            for b in slices(batches):
                 own, rows = [], []
-                for k, text in enumerate(b.column("text").to_pylist()):
-                    for r in find(text):
-                        own.append(k)
-                        rows.append(r)
+                for k, found in enumerate(find(b.column("text").to_pylist())):
+                    own += [k] * len(found)
+                    rows += found
                 if rows:
                     columns = list(zip(*rows, strict=True))
                     item = pa.array(columns[0])
@@ -281,8 +295,8 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
         def run(batches: Iterator[pa.RecordBatch], cast=cast) -> Iterator[pa.RecordBatch]:
             find = _finder(cast.value)
-            for b in batches:
-                yield b.filter(pa.array([not find(t or "") for t in b.column(text_col).to_pylist()], pa.bool_()))
+            for b in slices(batches):
+                yield b.filter(pa.array([not found for found in find([t or "" for t in b.column(text_col).to_pylist()])], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
     return out
