@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, release, spread, text_or_empty
+from .common import discard, materialise, release, slices, spread, text_or_empty, trim
 
 LENGTH, GRAM = 100, 32
 #: Anchors lie within so many places of a string's start.
 REACH = LENGTH - GRAM
 #: Suffixes in a partition, bytes of text to a suffix at least, and first suffixes that a bucket should hold.
-PER_PARTITION, SPACING, PER_BUCKET = 600_000, 34, 30_000
+PER_PARTITION, SPACING, PER_BUCKET = 300_000, 34, 15_000
+#: Rows of a batch that are worked on at once.
+ROWS = 500
 
 _TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -86,7 +88,7 @@ def suffixes(own: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["token", "around", "doc", "tie", "at"]
-        for b in batches:
+        for b in slices(batches, ROWS):
             found = [anchors(np.frombuffer(t.encode(), np.uint8)) for t in b.column("text").to_pylist()]
             n = np.array([len(x[0]) for x in found])
             which = pa.array(np.repeat(np.arange(b.num_rows), n))
@@ -111,6 +113,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = np.where(~first, 0, np.where(edge, 2, np.where(several, 1, 3))).astype(np.int32)
     keep = pa.array(kind < 3)
     yield from rows.append_column("kind", pa.array(kind)).filter(keep).combine_chunks().to_batches(max_chunksize=100_000)
+    trim()
 
 
 def _order(words: np.ndarray) -> np.ndarray:
@@ -176,7 +179,7 @@ def _contexts(joined: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["token", "doc", "tie", "at", "context", "left", "right"]
-        for b in batches:
+        for b in slices(batches, ROWS):
             ats = b.column("ats")
             n = np.array(ats.value_lengths())
             which = pa.array(np.repeat(np.arange(b.num_rows), n))
@@ -217,6 +220,7 @@ def _bucket_spans(rows: pa.Table) -> pa.Table:
     last = np.flatnonzero(high >= 0)
     parts.append((last, low[last], high[last]))
     row, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+    trim()
     return pa.table({"doc": pa.array(doc[row]), "tie": pa.array(tie[row]), "start": pa.array(start.astype(np.int32)), "end": pa.array(end.astype(np.int32))})
 
 
@@ -227,15 +231,13 @@ def _heavy_spans(contexts: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                rows = [(i, o, hashlib.blake2b(c[REACH - o : REACH - o + LENGTH], digest_size=16).digest()) for i, (c, left, right) in enumerate(zip(*(part.column(x).to_pylist() for x in ("context", "left", "right")), strict=True)) for o in range(max(0, LENGTH - right), min(left, REACH) + 1)]
-                if rows:
-                    which, offset, string = zip(*rows, strict=True)
-                    w = pa.array(which)
-                    start = part.column("at").take(w).to_numpy() - np.array(offset, np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(string, pa.binary()), part.column("doc").take(w), part.column("tie").take(w), pa.array(start.astype(np.int32))], names=["string", "doc", "tie", "start"])
+        for part in slices(batches, ROWS):
+            rows = [(i, o, hashlib.blake2b(c[REACH - o : REACH - o + LENGTH], digest_size=16).digest()) for i, (c, left, right) in enumerate(zip(*(part.column(x).to_pylist() for x in ("context", "left", "right")), strict=True)) for o in range(max(0, LENGTH - right), min(left, REACH) + 1)]
+            if rows:
+                which, offset, string = zip(*rows, strict=True)
+                w = pa.array(which)
+                start = part.column("at").take(w).to_numpy() - np.array(offset, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(string, pa.binary()), part.column("doc").take(w), part.column("tie").take(w), pa.array(start.astype(np.int32))], names=["string", "doc", "tie", "start"])
 
     strings = materialise(contexts.mapInArrow(run, "string binary, doc bigint, tie bigint, start int"), "suffix-heavy")
     firsts = strings.groupBy("string").agg(F.min(F.struct("doc", "tie", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("string", "first")
@@ -292,7 +294,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spans = repeated_spans(own).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, ROWS):
             total, removed, runs, kept = [], [], [], []
             for text, cuts in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 raw = text.encode()
