@@ -2,8 +2,9 @@
 
 Distinct fingerprints are dealt by their leading bits: a node pair at that depth is a unit of work if the two prefixes
 are within the error budget, and a unit goes on down the two subtries. A prefix that holds too many fingerprints is cut
-into blocks, and every pair of blocks is a unit. A unit gives a spanning forest of its links, not all of them, so what
-leaves it is no more than what entered; copies of a fingerprint never enter.
+into blocks, and every pair of blocks is a unit. Where every link counts, a unit gives a spanning forest of its links,
+not all of them, so what leaves it is no more than what entered; copies of a fingerprint never enter. Where links are
+only candidates for an exact check, a unit gives all of them but those inside one group that is already verified.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialise, slices, spread, text_or_empty, trim
 from .components import connected_components
-from .trie import linked
+from .trie import linked, near_pairs
 
 #: Fingerprints that one prefix should hold, and those beyond which it is cut into blocks.
 PER_NODE, PER_BLOCK = 1 << 16, 1 << 18
@@ -73,26 +74,31 @@ def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col:
     return spread(kept).mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, fp bigint")
 
 
-def trie_links(values: DataFrame, bits: int, budget: int) -> DataFrame:
-    """(t, v, w): links (v, w) that span, for each table t, the graph of values within budget bits of each other.
-
-    values has distinct (t, v); v holds `bits` bits in a bigint. No row for a value without links.
-    """
+def _units(values: DataFrame, bits: int, budget: int) -> DataFrame:
+    """The rows of values dealt to the units of work (t, p, i, q, j); first tells the side of a unit on which a row is."""
     largest = values.groupBy("t").count().agg(F.max("count")).first()[0] or 0
     depth = min(bits - 1, max(3, math.ceil(math.log2(max(1, largest) / PER_NODE)) if largest else 3))
     prefix = F.shiftrightunsigned("v", bits - depth).cast("int") if bits < 64 else F.shiftrightunsigned("v", 64 - depth).cast("int")
-    rows = values.select("t", "v", prefix.alias("p"))
+    own = [c for c in values.columns if c != "t"]
+    rows = values.select("t", *own, prefix.alias("p"))
     # at most one row for every PER_BLOCK values
     heavy = rows.groupBy("t", "p").count().where(F.col("count") > PER_BLOCK).select("t", "p", F.ceil(F.col("count") / PER_BLOCK).cast("int").alias("blocks"))
     heavy = materialise(heavy, "trie-heavy")
     masks = [sum(1 << x for x in c) for r in range(budget + 1) for c in itertools.combinations(range(depth), r)]
-    dealt = rows.join(F.broadcast(heavy), ["t", "p"], "left").select("t", "v", "p", F.pmod(F.xxhash64("v", F.lit(1)), F.coalesce("blocks", F.lit(1))).cast("int").alias("i"))
-    dealt = dealt.select("*", F.explode(F.array(*map(F.lit, masks))).alias("mask")).select("t", "v", "p", "i", F.col("p").bitwiseXOR(F.col("mask")).alias("q"))
+    dealt = rows.join(F.broadcast(heavy), ["t", "p"], "left").select("t", *own, "p", F.pmod(F.xxhash64("v", F.lit(1)), F.coalesce("blocks", F.lit(1))).cast("int").alias("i"))
+    dealt = dealt.select("*", F.explode(F.array(*map(F.lit, masks))).alias("mask")).select("t", *own, "p", "i", F.col("p").bitwiseXOR(F.col("mask")).alias("q"))
     dealt = dealt.join(F.broadcast(heavy.withColumnRenamed("p", "q").withColumnRenamed("blocks", "other")), ["t", "q"], "left")
-    dealt = dealt.select("t", "v", "p", "i", "q", F.explode(F.sequence(F.lit(0), F.coalesce("other", F.lit(1)) - 1)).alias("j"))
+    dealt = dealt.select("t", *own, "p", "i", "q", F.explode(F.sequence(F.lit(0), F.coalesce("other", F.lit(1)) - 1)).alias("j"))
     first = (F.col("p") < F.col("q")) | ((F.col("p") == F.col("q")) & (F.col("i") <= F.col("j")))
     unit = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
-    dealt = dealt.select("t", unit("p", "q").alias("p"), unit("i", "j").alias("i"), unit("q", "p").alias("q"), unit("j", "i").alias("j"), first.alias("first"), "v")
+    return dealt.select("t", unit("p", "q").alias("p"), unit("i", "j").alias("i"), unit("q", "p").alias("q"), unit("j", "i").alias("j"), first.alias("first"), *own)
+
+
+def trie_links(values: DataFrame, bits: int, budget: int) -> DataFrame:
+    """(t, v, w): links (v, w) that span, for each table t, the graph of values within budget bits of each other.
+
+    values has distinct (t, v); v holds `bits` bits in a bigint. No row for a value without links.
+    """
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         v = rows.column("v").to_numpy().view(np.uint64)
@@ -105,7 +111,37 @@ def trie_links(values: DataFrame, bits: int, budget: int) -> DataFrame:
         trim()
         return pa.table({"t": pa.array(np.full(len(x), t, np.int32)), "v": pa.array(both[x].view(np.int64)), "w": pa.array(both[y].view(np.int64))})
 
-    return dealt.groupBy("t", "p", "i", "q", "j").applyInArrow(run, "t int, v bigint, w bigint")
+    return _units(values, bits, budget).groupBy("t", "p", "i", "q", "j").applyInArrow(run, "t int, v bigint, w bigint")
+
+
+def open_links(values: DataFrame, bits: int, budget: int) -> DataFrame:
+    """(t, v, w): for each table t every link (v, w) within budget bits, except between values of one group.
+
+    values has distinct (t, v) and a bigint g, the group of v or null for none. Links leave a unit as they are found.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, p, i, q, j = (k.as_py() for k in key)
+        rows = pa.Table.from_batches(batches)
+        v, first = rows.column("v").to_numpy().view(np.uint64), rows.column("first").to_numpy(zero_copy_only=False)
+        g, alone = rows.column("g").fill_null(0).to_numpy(), rows.column("g").is_null().to_numpy(zero_copy_only=False)
+        del rows
+
+        def side(which):
+            values, at = np.unique(v[which], return_index=True)
+            return values, g[which][at], alone[which][at]
+
+        a = side(first)
+        b = None if (p, i) == (q, j) else side(~first)
+        y = a if b is None else b
+        for m, n, _ in near_pairs(a[0], None if b is None else b[0], bits, budget):
+            keep = a[2][m] | y[2][n] | (a[1][m] != y[1][n])
+            if keep.any():
+                m, n = m[keep], n[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), t, np.int32)), pa.array(a[0][m].view(np.int64)), pa.array(y[0][n].view(np.int64))], names=["t", "v", "w"])
+        trim()
+
+    return _units(values, bits, budget).groupBy("t", "p", "i", "q", "j").applyInArrow(run, "t int, v bigint, w bigint")
 
 
 def components(docs: DataFrame, width: int = 3, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,26 +206,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
 
     Candidates come from the trie self-join over several short fingerprints, and every one is checked exactly on whole
     texts. Documents with the same long fingerprint are one class from the start: copies never make pairs. Texts
-    without words are copies of each other. From each unit of the join come the links of a spanning forest, nearest
-    first; a document all of whose forest links fail the check stays apart. Null ids take no part.
+    without words are copies of each other. First each class meets the smallest of those it shares a short fingerprint
+    with; then all links of the join and all pairs with one short fingerprint are checked, except inside a group that
+    verified pairs already join. So a large group that is alike makes few pairs, while one that is linked but fails the
+    check makes as many as its links. Null ids take no part.
     """
     own = docs.where(F.col(id_col).isNotNull())
     longs = materialise(_long_fingerprints(own, width, id_col, text_col), "near-docs")
     classes = materialise(longs.groupBy("long").agg(F.min("id").alias("class")), "near-classes")
-    values = materialise(_table_values(classes).groupBy("t", "v").agg(F.min("class").alias("rep"), F.count("*").alias("n")), "near-values")
-    links = trie_links(values.select("t", "v"), TABLE_BITS, TABLE_BUDGET)
-    a = values.select("t", "v", F.col("rep").alias("src"))
-    b = values.select("t", F.col("v").alias("w"), F.col("rep").alias("dst"))
-    linked_reps = links.join(a, ["t", "v"]).join(b, ["t", "w"]).select("src", "dst")
-    same = _table_values(classes).join(values.where("n > 1").select("t", "v", "rep"), ["t", "v"]).where("class <> rep").select(F.col("rep").alias("src"), F.col("class").alias("dst"))
-    pairs = linked_reps.union(same).where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    placed = materialise(_table_values(classes), "near-placed")
+    kind = docs.schema[id_col].dataType.simpleString()
     # a class's long fingerprint tells unrelated pairs apart before any text moves
     x, y = classes.select(F.col("class").alias("src"), F.col("long").alias("x")), classes.select(F.col("class").alias("dst"), F.col("long").alias("y"))
     apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
-    pairs = materialise(pairs.join(x, "src").join(y, "dst").where(apart <= int(MOST_DIFFERENT * TABLES * TABLE_BITS)).select("src", "dst"), "near-pairs")
-    texts = own.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    texts = materialise(texts, "near-texts")
-    both = pairs.join(texts.withColumnRenamed("id", "src").withColumnRenamed("text", "x"), "src").join(texts.withColumnRenamed("id", "dst").withColumnRenamed("text", "y"), "dst")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -200,8 +229,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
                 good.append(common >= similarity * (len(p) + len(q) - common))
             yield b.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    checked = materialise(both.select("src", "dst", "x", "y").mapInArrow(check, f"src {kind}, dst {kind}"), "near-links")
+    def verified(found: DataFrame) -> DataFrame:
+        pairs = found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+        pairs = materialise(pairs.join(x, "src").join(y, "dst").where(apart <= int(MOST_DIFFERENT * TABLES * TABLE_BITS)).select("src", "dst"), "near-pairs")
+        texts = own.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+        texts = materialise(texts, "near-texts")
+        both = pairs.join(texts.withColumnRenamed("id", "src").withColumnRenamed("text", "x"), "src").join(texts.withColumnRenamed("id", "dst").withColumnRenamed("text", "y"), "dst")
+        out = materialise(both.select("src", "dst", "x", "y").mapInArrow(check, f"src {kind}, dst {kind}"), "near-links")
+        discard(texts)
+        return out
+
+    shared = materialise(placed.groupBy("t", "v").agg(F.min("class").alias("rep"), F.count("*").alias("n")).where("n > 1").select("t", "v", "rep"), "near-shared")
+    stars = verified(placed.join(shared, ["t", "v"]).where("class <> rep").select(F.col("rep").alias("src"), F.col("class").alias("dst")))
+    groups = materialise(connected_components(stars).select(F.col("node").alias("class"), F.xxhash64("component").alias("g")), "near-groups")
+    placed = placed.join(groups, "class", "left")
+    # the group of a value is that of all its classes, or none
+    values = materialise(placed.groupBy("t", "v").agg(F.when(F.count("g") == F.count("*"), F.when(F.min("g") == F.max("g"), F.min("g"))).alias("g")), "near-values")
+    links = materialise(open_links(values, TABLE_BITS, TABLE_BUDGET), "near-open")
+    a = placed.select("t", "v", F.col("class").alias("src"), F.col("g").alias("gx"))
+    b = placed.select("t", F.col("v").alias("w"), F.col("class").alias("dst"), F.col("g").alias("gy"))
+    other = F.col("gx").isNull() | F.col("gy").isNull() | (F.col("gx") != F.col("gy"))
+    far = links.join(a, ["t", "v"]).join(b, ["t", "w"]).where(other).select("src", "dst")
+    mixed = shared.join(values.where("g IS NULL"), ["t", "v"], "left_semi").select("t", "v")
+    same = mixed.join(a, ["t", "v"]).join(b.withColumnRenamed("w", "v"), ["t", "v"]).where(other & (F.col("src") < F.col("dst"))).select("src", "dst")
+    checked = stars.union(verified(far.union(same)))
     groups = connected_components(checked).withColumnRenamed("node", "class")
     labels = classes.join(groups, "class", "left").select("long", F.coalesce("component", "class").alias("component_id"))
     return longs.join(labels, "long").select(F.col("id").alias(id_col), "component_id")

@@ -378,6 +378,23 @@ def test_near_duplicates(spark, docs, none):
     assert simhash.one_of_each(none).count() == 0
 
 
+def test_near_pairs_in_a_large_group(spark):
+    """Any two texts share at most two of their twelve changed places: 0.73 to 0.76 alike, which fails the check. Planted pairs are 0.87 alike."""
+    base = words(random.Random(31), 789).split(" ")
+    lines = [[(5 * (13 * c + (m * c + b) % 13) + 4, f"new{m}x{b}x{c}") for c in range(12)] for m in range(13) for b in range(13)]
+
+    def text(places):
+        w = list(base)
+        for at, new in places:
+            w[at] = new
+        return " ".join(w)
+
+    rows = [(i, text(places)) for i, places in enumerate(lines) if i >= 60 or i % 2 == 0]
+    rows += [(i + 1, text(lines[i][:5] + lines[i + 1][5:])) for i in range(0, 60, 2)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i - i % 2 if i < 60 else i for i, _ in rows}
+
+
 # 10: suffix array
 
 
