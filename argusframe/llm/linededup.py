@@ -4,6 +4,7 @@ Suffixes of the documents' line sequences are named by their first lines; a roun
 stands as many lines further on and so doubles the length. Suffixes whose name is alone leave, as no longer run of
 theirs can repeat. The names sort suffixes into nested groups, the intervals of equal prefixes of the suffix array;
 each has its earliest suffix, and every other one starts a later copy. Copies of at least min_lines lines are deleted.
+Where asked for, a line of more than some number of words is a run by itself, so that passages on one line count too.
 
 Names are two 64-bit hashes and keep equality, not the alphabetical order of lines, which nothing here needs.
 """
@@ -21,13 +22,19 @@ from pyspark.sql import types as T
 from .common import discard, materialise, slices
 
 MIN_LINES = 2
+#: Words beyond which the pipeline takes one line as a run.
+LONG_WORDS = 50
 _KEY = ["doc", "tie"]
 _AT = ["doc", "tie", "at"]
 
 
+def _shown(line: Column) -> Column:
+    return F.trim(F.translate(line, "\t\r\x0b\x0c", "    ")) != ""
+
+
 def _lines(text: Column) -> Column:
     """The lines that hold more than white space, each by two hashes."""
-    kept = F.filter(F.split(text, "\n"), lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "")
+    kept = F.filter(F.split(text, "\n"), _shown)
     return F.transform(kept, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
 
 
@@ -78,15 +85,32 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc
     return out.groupBy(*_AT).agg(F.max("run_lines").alias("run_lines"), best)
 
 
-def dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def later_long_lines(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, tie, at): later copies of lines of more than `words` words, wherever they stand. Earlier is as in later_copies()."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("tie"), F.posexplode(F.filter(F.split(text, "\n"), _shown)).alias("at", "line"))
+    # so many words need a letter each and a space between; the words are counted for the rest only
+    long = rows.where(F.length("line") > 2 * words).where(F.size(F.filter(F.split("line", "[ \\t\\r\\x0b\\x0c]+"), lambda x: x != "")) > words)
+    names = materialise(long.select(*_AT, F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).distinct(), "line-long")
+    return names.join(_intervals(names), ["a", "b"]).where(F.struct(*_AT) > F.col("first")).select(*_AT)
+
+
+def dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
     """docs with all its columns, the text without later copies, and n_lines, removed_lines, longest_run.
 
+    With long_words, one line of more words than that is a run as well.
+
     Lines are what newlines part; those of white space alone belong to no run and stay. A null text stays null, and a
     null id takes no part: such rows stay as they are. Repeated rows get the same result. Columns of docs named like the three
     new ones are replaced.
     """
     docs = docs.drop("n_lines", "removed_lines", "longest_run", "argus_tie", "argus_at", "argus_run")
-    cuts = later_copies(docs.where(F.col(id_col).isNotNull()), min_lines, id_col, text_col).groupBy(*_KEY).agg(F.collect_list("at").alias("argus_at"), F.max("run_lines").alias("argus_run"))
+    named = docs.where(F.col(id_col).isNotNull())
+    places = later_copies(named, min_lines, id_col, text_col).select(*_AT, "run_lines", F.lit(min_lines).alias("cut"))
+    if long_words is not None:
+        places = places.unionByName(later_long_lines(named, long_words, id_col, text_col).select(*_AT, F.lit(1).alias("run_lines"), F.lit(1).alias("cut")))
+    # each line of a cut by its own place
+    cuts = places.groupBy(*_KEY).agg(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("cut") - 1))).alias("argus_at"), F.max("run_lines").alias("argus_run"))
     own = docs.withColumn("argus_tie", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     cuts = cuts.select(F.col("doc").alias(id_col), F.col("tie").alias("argus_tie"), "argus_at", "argus_run")
     joined = own.join(cuts, [id_col, "argus_tie"], "left").select(*[f"`{c}`" for c in docs.columns], "argus_at", "argus_run")
@@ -100,8 +124,7 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", t
                 shown = [i for i, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")]
                 cut = set()
                 if at:
-                    starts = np.unique(np.array(at))
-                    cut = {shown[i] for i in np.unique((starts[:, None] + np.arange(min_lines)[None]).ravel()).tolist() if i < len(shown)}
+                    cut = {shown[i] for i in np.unique(np.array(at)).tolist() if i < len(shown)}
                 texts.append(text if not cut else "\n".join(x for i, x in enumerate(lines) if i not in cut))
                 total.append(len(shown))
                 gone.append(len(cut))

@@ -20,8 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go; documents with nothing left go as well. n_chars follows the text."""
-    out = linededup.dedup(docs).where("removed_lines = 0 OR trim(text) <> ''")
+    """Later copies of repeated line runs and of long lines go; documents with nothing left go as well. n_chars follows the text."""
+    out = linededup.dedup(docs, long_words=linededup.LONG_WORDS).where("removed_lines = 0 OR trim(text) <> ''")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

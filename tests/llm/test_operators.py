@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from argusframe.llm import ann, bpe, components, decontam, linededup, quality, sharding, simhash, suffixdedup, toxicity, trie, urlfilter
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -274,6 +275,15 @@ def test_line_dedup_of_awkward_rows(docs, none):
     assert linededup.dedup(none).count() == 0 and linededup.dedup(none).columns[: len(none.columns)] == none.columns
 
 
+def test_long_line_between_others(spark):
+    rng = random.Random(6)
+    long, short = words(rng, 51), words(rng, 50)
+    rows = [(1, f"a1\n{long}\na2\n{short}"), (2, f"b1\n{long}\nb2\n{short}\nb3"), (3, long), (4, f"c1\n\n{long}\n{long}\nc2"), (5, short)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: (r.text, r.removed_lines) for r in linededup.dedup(df, long_words=50).collect()} == {1: (rows[0][1], 0), 2: (f"b1\nb2\n{short}\nb3", 1), 3: ("", 1), 4: ("c1\n\nc2", 2), 5: (short, 0)}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, df.withColumn("n_chars", F.length("text")), "").collect()} == {1: rows[0][1], 2: f"b1\nb2\n{short}\nb3", 4: "c1\n\nc2", 5: short}
+
+
 # 7: urls
 
 
