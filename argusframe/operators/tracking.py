@@ -175,6 +175,8 @@ def step(state: TrackerState, sequence: int, captured, observations: list[tuple]
     return [{"number": t.number, "state": name(t), "first_seen": t.first, "last_seen": t.last, "observation_count": t.count, "missed_updates": t.missed, "observation_id": t.observation} for t in sorted(state.tracks, key=lambda t: str(t.number))]
 
 
+#: Frames whose records a worker holds at once.
+HELD_FRAMES = 500
 TRACKS = "sensor_id string, sequence_number bigint, track_id string, state string, first_seen bigint, last_seen bigint, observation_count int, missed_updates int, observation_id string"
 
 
@@ -188,13 +190,24 @@ def step_rows(state: TrackerState, sensor: str, frames: pd.DataFrame, config: Tr
 
 
 def bytetrack(frames: DataFrame, config: TrackerConfig = TrackerConfig()) -> DataFrame:
-    """Tracks after every frame of every sensor. A sensor's frames are folded in order by one task: its state depends on all before."""
-    names = [c.split()[0] for c in TRACKS.split(", ")]
+    """Tracks after every frame of every sensor. A sensor's frames are folded in order by one task: its state depends on all before.
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(step_rows(TrackerState(), key[0], rows.sort_values("sequence_number"), config)), columns=names)
+    The task reads them sorted and holds the tracker's state and a bounded number of frames, however long the sensor's sequence is.
+    """
+    names = [c.split()[0] for c in TRACKS.split(", ")]
 
-    return frames.select("sensor_id", "sequence_number", "us", "observations").groupBy("sensor_id").applyInPandas(run, TRACKS)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sensor, state = object(), None
+        for b in batches:
+            for at in range(0, len(b), HELD_FRAMES):
+                for own, rows in b.iloc[at : at + HELD_FRAMES].groupby("sensor_id", sort=False, dropna=False):
+                    own = None if pd.isna(own) else own
+                    if own != sensor:
+                        sensor, state = own, TrackerState()
+                    yield pd.DataFrame(list(step_rows(state, sensor, rows, config)), columns=names)
+
+    rows = frames.select("sensor_id", "sequence_number", "us", "observations")
+    return rows.repartition("sensor_id").sortWithinPartitions("sensor_id", "sequence_number").mapInPandas(run, TRACKS)
 
 
 def lifecycle(assigned: DataFrame, key: str, track: str, order: str = "sequence_number", confirmed: int = 2) -> DataFrame:

@@ -18,6 +18,17 @@ def test_query(spark, name):
         assert len(got)
 
 
+def test_tracker_sees_every_frame(spark):
+    from argusframe.operators.tracking import TrackerConfig, TrackerState, step_rows
+
+    sf = "/root/testdata/sf0.01"
+    frames = registry._observed_frames(spark, sf).toPandas()
+    want = [tuple(r.values()) for s, f in frames.groupby("sensor_id") for r in step_rows(TrackerState(), s, f.sort_values("sequence_number"), TrackerConfig())]
+    got = registry.QUERIES["bytetrack_tracks"](spark, sf).collect()
+    assert len(frames) == 10_000 and max(r.sequence_number for r in got) > 1000
+    assert sorted((r.sensor_id, r.sequence_number, r.track_id, r.state, r.observation_count, r.missed_updates) for r in got) == sorted((r[0], r[1], r[2], r[3], r[6], r[7]) for r in want)
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
