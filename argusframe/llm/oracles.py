@@ -1,6 +1,6 @@
 """SQL of the operators that SQL can express, by plain definitions rather than by the operators' methods."""
 
-from .linededup import MIN_LINES
+from .linededup import LONG_WORDS, MIN_LINES
 from .sharding import PARTS, SLOTS
 
 OP3 = f"""
@@ -19,14 +19,21 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTI
 """
 
 OP6 = f"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
-s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l WHERE trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''),
-w AS (SELECT a.doc_id, a.k, a.line AS x, b.line AS y FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.k = a.k + 1),
-r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, k) > 1 AS later FROM w),
-c AS (SELECT DISTINCT doc_id, k + j AS k FROM r, range({MIN_LINES}) g(j) WHERE later),
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+s AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l WHERE trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''),
+g(len, id, doc_id, name, n) AS (
+  SELECT 1, id, doc_id, min(id) OVER (PARTITION BY line), count(*) OVER (PARTITION BY line) FROM s
+  UNION ALL
+  SELECT len + 1, id, doc_id, min(id) OVER (PARTITION BY name, line), count(*) OVER (PARTITION BY name, line) FROM (SELECT g.len, g.id, g.doc_id, g.name, s.line FROM g JOIN s ON s.id = g.id + g.len AND s.doc_id = g.doc_id WHERE g.n > 1)),
+copies AS (SELECT id, max(len) AS len FROM g WHERE name < id GROUP BY 1),
+runs AS (SELECT doc_id, k + len AS e, min(k) AS b FROM copies JOIN s USING (id) WHERE len >= {MIN_LINES} GROUP BY 1, 2),
+alone AS (SELECT s.doc_id, k FROM copies JOIN s USING (id) WHERE len(list_filter(regexp_split_to_array(line, '[ \\t\\r\\x0b\\x0c]+'), lambda x: x <> '')) > {LONG_WORDS}),
+c AS (SELECT doc_id, unnest(range(b, e)) AS k FROM runs UNION SELECT doc_id, k FROM alone),
 t AS (SELECT l.doc_id, count(s.k) AS n_lines, count(c.k) AS removed_lines, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (c.k IS NULL) AS kept
-      FROM l LEFT JOIN s ON l.doc_id = s.doc_id AND l.i = s.i LEFT JOIN c ON c.doc_id = s.doc_id AND c.k = s.k GROUP BY 1)
-SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INT) AS n_lines, CAST(coalesce(removed_lines, 0) AS INT) AS removed_lines, CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256 FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id
+      FROM l LEFT JOIN s ON l.doc_id = s.doc_id AND l.i = s.i LEFT JOIN c ON c.doc_id = s.doc_id AND c.k = s.k GROUP BY 1),
+r AS (SELECT doc_id, count(*) AS n_runs, max(e - b) AS longest_run FROM runs GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INT) AS n_lines, CAST(coalesce(removed_lines, 0) AS INT) AS removed_lines, CAST(coalesce(n_runs, 0) AS INT) AS n_runs, CAST(coalesce(longest_run, 0) AS INT) AS longest_run,
+  CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256 FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN r ON d.doc_id = r.doc_id
 """
 
 OP7 = r"""

@@ -39,7 +39,7 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "removed_lines", F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "removed_lines", "n_runs", "longest_run", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

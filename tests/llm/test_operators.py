@@ -239,40 +239,67 @@ def test_nearest_of_few(spark):
 # 6: line dedup
 
 
-def plain_line_dedup(rows, m):
-    seen, out = set(), {}
-    for i, t in rows:
-        lines = (t or "").split("\n")
-        shown = [k for k, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")]
-        cut = set()
-        for k in range(len(shown) - m + 1):
-            w = tuple(lines[j] for j in shown[k : k + m])
-            if w in seen:
-                cut |= set(shown[k : k + m])
-            seen.add(w)
-        out[i] = t if not cut else "\n".join(x for k, x in enumerate(lines) if k not in cut)
+def plain_line_dedup(rows, m, long_words=None):
+    """(text, removed, maximal runs, longest) by comparing every suffix with every earlier one."""
+    kept = {i: (t, [k for k, x in enumerate((t or "").split("\n")) if x.strip(" \t\r\x0b\x0c")]) for i, t in rows}
+    lines = {i: [(t or "").split("\n")[k] for k in shown] for i, (t, shown) in kept.items()}
+    places = [(i, k) for i in sorted(lines) for k in range(len(lines[i]))]
+    out = {}
+    for i, (t, shown) in kept.items():
+        ends, cut = {}, set()
+        for k in range(len(lines[i])):
+            most = 0
+            for j, at in places:
+                if (j, at) >= (i, k):
+                    break
+                n = 0
+                while k + n < len(lines[i]) and at + n < len(lines[j]) and lines[i][k + n] == lines[j][at + n]:
+                    n += 1
+                most = max(most, n)
+            if most >= m:
+                ends.setdefault(k + most, k)
+                cut |= set(range(k, k + most))
+            if most and long_words is not None and len(lines[i][k].split()) > long_words:
+                cut.add(k)
+        gone = {shown[k] for k in cut}
+        text = t if not cut else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+        out[i] = (text, len(cut), len(ends), max((e - k for e, k in ends.items()), default=0))
     return out
 
 
+def line_rows(df, *how, **named):
+    return {r.doc_id: (r.text, r.removed_lines, r.n_runs, r.longest_run) for r in linededup.dedup(df, *how, **named).collect()}
+
+
 @pytest.mark.parametrize("m", [1, 2, 3])
-def test_line_dedup(spark, m):
+def test_line_dedup(spark, monkeypatch, m):
+    monkeypatch.setattr(linededup, "PER_PARTITION", 30)  # groups reach over the ends of partitions
     rng = random.Random(m)
     rows = [(i, "\n".join(rng.choice(["a", "b", "c", "d", "", "  "]) + str(rng.randint(0, 1)) * rng.randint(0, 1) for _ in range(rng.randint(1, 9)))) for i in range(60)]
-    got = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), m).collect()}
-    assert got == plain_line_dedup(rows, m)
+    rows += [(70, "\n".join(["same"] * 23)), (71, "\n".join(["same"] * 9)), (72, "alone")]
+    assert line_rows(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), m) == plain_line_dedup(rows, m)
 
 
-def test_line_runs_double(spark):
+def test_line_runs_have_exact_lengths(spark):
     run = [f"line {i}" for i in range(21)]
-    df = spark.createDataFrame([(1, "\n".join(run)), (2, "\n".join(["new", *run, "end"]))], "doc_id bigint, text string")
-    assert [n for n, _ in linededup.levels(df, 2)] == [2, 4, 8, 16]
-    assert {(r.doc_id, r.text, r.longest_run) for r in linededup.dedup(df).collect()} == {(1, "\n".join(run), 0), (2, "new\nend", 16)}
+    rows = [(1, "\n".join(run)), (2, "\n".join(["new", *run[:19], "end"])), (3, "\n".join([*run[3:14], "x", "y", *run[12:20], "x", "y"]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert len(linededup.levels(linededup.suffix_lines(df, 50))) == 5
+    got = line_rows(df)
+    assert got == plain_line_dedup(rows, 2, 50) and {i: x[2:] for i, x in got.items()} == {1: (0, 0), 2: (1, 19), 3: (3, 11)}
 
 
-def test_line_dedup_of_awkward_rows(docs, none):
+def test_line_dedup_of_awkward_rows(spark, docs, none):
     got = linededup.dedup(docs).collect()
     assert len(got) == len(awkward()) and {r.text for r in got if r.doc_id == 12} == {"first\nend"} and {r.text for r in got if r.doc_id == 3} == {None}
+    assert [r.text for r in got if r.doc_id is None and r.text] == [awkward()[0][1]]
     assert linededup.dedup(none).count() == 0 and linededup.dedup(none).columns[: len(none.columns)] == none.columns
+    named = docs.withColumnsRenamed({"tie": "argus_tie", "id": "spans", "doc_id": "doc", "bucket": "tie", "fp": "Spans_"})
+    again = linededup.dedup(named, id_col="doc")
+    assert again.columns == [*named.columns, "n_lines", "removed_lines", "n_runs", "longest_run"]
+    assert collections.Counter((r.doc, r.text, r.argus_tie, r.spans) for r in again.collect()) == collections.Counter((r.doc_id, r.text, r.tie, r.id) for r in got)
+    words_as_ids = linededup.dedup(docs.withColumn("doc_id", F.format_string("%04d", "doc_id")))
+    assert collections.Counter(r.removed_lines for r in words_as_ids.where("doc_id <> 'null'").collect()) == collections.Counter(r.removed_lines for r in got if r.doc_id is not None)
 
 
 def test_long_line_between_others(spark):
@@ -280,7 +307,8 @@ def test_long_line_between_others(spark):
     long, short = words(rng, 51), words(rng, 50)
     rows = [(1, f"a1\n{long}\na2\n{short}"), (2, f"b1\n{long}\nb2\n{short}\nb3"), (3, long), (4, f"c1\n\n{long}\n{long}\nc2"), (5, short)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert {r.doc_id: (r.text, r.removed_lines) for r in linededup.dedup(df, long_words=50).collect()} == {1: (rows[0][1], 0), 2: (f"b1\nb2\n{short}\nb3", 1), 3: ("", 1), 4: ("c1\n\nc2", 2), 5: (short, 0)}
+    assert line_rows(df, long_words=50) == plain_line_dedup(rows, 2, 50)
+    assert {i: x[0] for i, x in line_rows(df).items()} == {1: rows[0][1], 2: f"b1\nb2\n{short}\nb3", 3: "", 4: "c1\n\nc2", 5: short}
     assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, df.withColumn("n_chars", F.length("text")), "").collect()} == {1: rows[0][1], 2: f"b1\nb2\n{short}\nb3", 4: "c1\n\nc2", 5: short}
 
 
