@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import kept_by_worker, slices, spread, text_or_empty
 
-#: Entries at which a worker's tables of encoded pieces and words are emptied, looked at once for some hundred texts.
-KEPT = 250_000
+#: Entries at which a worker's tables of encoded pieces and words are emptied, looked at before each text.
+KEPT = 120_000
 
 
 def byte_characters() -> list[str]:
@@ -88,16 +88,16 @@ class Codec:
         found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
         self.pieces.update((p, struct.pack(f"<{len(e.ids)}I", *e.ids)) for p, e in zip(new, found, strict=True))
 
-    def encode(self, texts: list[str], by_words: bool = True) -> Iterator[bytes]:
+    def encode(self, texts: list[str], by_words: bool = False) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
 
         by_words says that in the pattern a space begins a piece unless white space stands on both its sides, as in
         public_tokenizers.PATTERN. Then a text without such a space can be cut at its spaces, and each word is split once.
         """
-        for table in (self.pieces, self.words):
-            if len(table) > KEPT:
-                table.clear()
         for text in texts:
+            for table in (self.pieces, self.words):
+                if len(table) > KEPT:
+                    table.clear()
             head, *rest = text.split(" ") if by_words and not self.tangled(text) else [text]
             new = {w: self.split(" " + w) for w in set(rest) if w not in self.words}
             first = self.split(head)
@@ -132,11 +132,12 @@ def _spec(spark: SparkSession, path: str, pattern: str):
     return spark.sparkContext.broadcast((tokenizer_json(read_ranks(path)), pattern))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, by_words: bool = False) -> DataFrame:
     """(id, ids array<int>[, char_start, char_end arrays]): every whole text by the ranks in the file at path.
 
     A null text counts as empty and has no ids. Rows keep their number and may repeat; other columns are left out,
-    whatever their names.
+    whatever their names. by_words is a shortcut for patterns in which a space begins a piece (see Codec.encode); any
+    other pattern needs it off.
     """
     cast = _spec(docs.sparkSession, path, pattern)
     kept = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
@@ -146,7 +147,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         codec = _codec(*cast.value)
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            found = [np.frombuffer(b, "<u4").astype(np.int32) for b in codec.encode(texts)]
+            found = [np.frombuffer(b, "<u4").astype(np.int32) for b in codec.encode(texts, by_words)]
             columns = [batch.column("id"), _lists(found)]
             if offsets:
                 spans = [character_offsets(t.encode(), codec.ends(x)) for t, x in zip(texts, found, strict=True)]
@@ -175,10 +176,11 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, decoded binary").withColumnRenamed("id", id_col)
 
 
-def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, by_words: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256, n_chars_covered): encodes each text, decodes its ids, and digests both in one pass.
 
-    n_chars_covered is the last token's end in characters: the text's length if offsets hold. keep_ids adds ids array<int>.
+    n_chars_covered is the last token's end in characters: the text's length if offsets hold. keep_ids adds ids array<int>;
+    by_words is as in encode().
     """
     cast = _spec(docs.sparkSession, path, pattern)
     kept = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
@@ -188,7 +190,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in slices(batches):
             n, ids_sha, raw_sha, covered, kept_ids = [], [], [], [], []
-            for packed in codec.encode(batch.column("text").to_pylist()):
+            for packed in codec.encode(batch.column("text").to_pylist(), by_words):
                 ids = np.frombuffer(packed, "<u4")
                 raw = codec.decode(ids)
                 _, last = character_offsets(raw, codec.ends(ids))

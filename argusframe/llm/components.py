@@ -38,11 +38,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         both = after
     else:
         raise RuntimeError("the contraction did not end")
+    discard(both)
     if not levels:
         return e.select(F.col("u").alias("node"), F.col("u").alias("component")).where("false")
     found = levels[-1].select(F.col("u").alias("node"), F.col("r").alias("root"))
     for step in reversed(levels[:-1]):
         up = found.select(F.col("node").alias("r"), F.col("root").alias("up"))
-        found = materialise(step.join(up, "r", "left").select(F.col("u").alias("node"), F.coalesce("up", "r").alias("root")), "cc-found")
+        after = materialise(step.join(up, "r", "left").select(F.col("u").alias("node"), F.coalesce("up", "r").alias("root")), "cc-found")
+        for done in (step, found):
+            discard(done)
+        found = after
     least = found.groupBy("root").agg(F.min("node").alias("component"))
     return found.join(least, "root").select("node", "component")

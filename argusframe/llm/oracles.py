@@ -4,11 +4,12 @@ from .linededup import LONG_WORDS, MIN_LINES
 from .sharding import PARTS, SLOTS
 
 OP3 = f"""
-WITH RECURSIVE d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS m FROM documents),
-bytes AS (SELECT doc_id, m, octet_length(b) + 1 AS size, list_transform(range(1, octet_length(b) + 1), lambda i: ('0x' || hex(b)[2 * i - 1 : 2 * i])::BIGINT) AS l FROM d),
+WITH RECURSIVE d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+bytes AS (SELECT doc_id, octet_length(b) + 1 AS size, list_transform(range(1, octet_length(b) + 1), lambda i: ('0x' || hex(b)[2 * i - 1 : 2 * i])::BIGINT) AS l FROM d),
 bits AS (SELECT list(t ORDER BY k) AS crc FROM (SELECT k, list_reduce(range(8), lambda a, j: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, k) AS t FROM range(256) r(k))),
-s AS (SELECT doc_id, size, xor(list_reduce(l, lambda a, x: xor(a >> 8, crc[1 + (xor(a, x) & 255)]), 4294967295::BIGINT), 4294967295) AS text_crc32,
-        CAST(('0x' || substr(m, 1, 8))::BIGINT % {SLOTS} AS INT) AS vslot, CAST(('0x' || substr(m, 9, 8))::BIGINT % {PARTS} AS INT) AS part FROM bytes, bits),
+c AS (SELECT doc_id, size, xor(list_reduce(l, lambda a, x: xor(a >> 8, crc[1 + (xor(a, x) & 255)]), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM bytes, bits),
+h AS (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32) AS m FROM c),
+s AS (SELECT doc_id, size, text_crc32, CAST(('0x' || substr(m, 1, 8))::BIGINT % {SLOTS} AS INT) AS vslot, CAST(('0x' || substr(m, 9, 8))::BIGINT % {PARTS} AS INT) AS part FROM h),
 v AS (SELECT row_number() OVER (ORDER BY bytes DESC, vslot) AS n, vslot, bytes, (SELECT sum(size) FROM s) // 8 AS share FROM (SELECT vslot, sum(size)::BIGINT AS bytes FROM s GROUP BY 1)),
 f(n, load, vslot, shard) AS (
   SELECT 0::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], -1, -1
@@ -43,9 +44,9 @@ rules(verdict, h, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.
 tags AS (SELECT url, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE instr(url, '://') > 0),
 links AS (SELECT url, regexp_extract(tag, '(?i)(?:href\s*=\s*["'']?|url\s*=\s*''?)([a-z][a-z0-9+.-]*://[^"''\s>]+)', 1) AS dest FROM tags WHERE regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b') OR regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')),
 named AS (SELECT DISTINCT url, dest FROM links WHERE dest <> ''),
-seen AS (SELECT url FROM p WHERE instr(url, '://') > 0 UNION SELECT dest FROM named),
+edges AS (SELECT url AS a, dest AS b FROM named),
+seen AS (SELECT a AS url FROM edges UNION SELECT b FROM edges),
 parts AS (SELECT url, translate(regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) AS path FROM seen),
-edges AS (SELECT url AS a, '//' || regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/|\.html?|/index\.html?)$', '') AS b FROM parts UNION SELECT url, dest FROM named),
 both_ways AS MATERIALIZED (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(n, m) AS (SELECT url, url FROM seen UNION SELECT e.b, r.m FROM reach r JOIN both_ways e ON r.n = e.a),
 said AS (SELECT url, arg_max(verdict, length(h || rules.path)) AS verdict FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(parts.path, rules.path) GROUP BY 1),

@@ -7,36 +7,42 @@ unless its shard is over its fair share. Everything the size of the map is bound
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, text_or_empty
+from .common import discard, materialise, shared_dir, text_or_empty
 
 SLOTS = 4096
 #: Each slot is numbered in so many parts, so that no task sorts a whole slot.
 PARTS = 16
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    """The virtual slot: the first 32 bits of the MD5 of the key as text. A null key counts as the empty text."""
-    return (F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint") % slots).cast("int")
+def slot_of(record: Column, slots: int = SLOTS) -> Column:
+    """The virtual slot: the first 32 bits of the MD5 of the record's text."""
+    return (F.conv(F.substring(F.md5(record), 1, 8), 16, 10).cast("bigint") % slots).cast("int")
 
 
-def _part_of(key: Column) -> Column:
-    return (F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 9, 8), 16, 10).cast("bigint") % PARTS).cast("int")
+def _part_of(record: Column) -> Column:
+    return (F.conv(F.substring(F.md5(record), 9, 8), 16, 10).cast("bigint") % PARTS).cast("int")
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """(id, size, text_crc32, vslot, part): the size is the UTF-8 bytes of the text plus one; a null text has none."""
+    """(id, size, text_crc32, vslot, part, n): the size is the UTF-8 bytes of the text plus one; a null text has none.
+
+    A record is its id and the CRC-32 of its text, so an id that many texts share is no hot slot. n equal records are one row.
+    """
     text = text_or_empty(text_col)
-    key = F.col(id_col)
-    return docs.select(key.alias("id"), (F.octet_length(text).cast("bigint") + 1).alias("size"), F.crc32(text).alias("text_crc32"), slot_of(key, slots).alias("vslot"), _part_of(key).alias("part"))
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("bigint") + 1).alias("size"), F.crc32(text).alias("text_crc32")).groupBy("id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    record = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"))
+    return rows.select("id", "size", "text_crc32", slot_of(record, slots).alias("vslot"), _part_of(record).alias("part"), "n")
 
 
 def first_map(rows: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
     """Version 1 of a map, whatever the data: slot modulo shards. (version, vslot, shard, bytes)"""
-    sums = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"))
+    sums = rows.groupBy("vslot").agg(F.sum(F.col("size") * F.col("n")).alias("bytes"))
     every = rows.sparkSession.range(slots).select(F.col("id").cast("int").alias("vslot"))
     return every.join(sums, "vslot", "left").select(F.lit(1).alias("version"), "vslot", (F.col("vslot") % shards).cast("int").alias("shard"), F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes"))
 
@@ -76,8 +82,10 @@ def grown(old: DataFrame, shards: int) -> DataFrame:
 
 def store_map(slot_map: DataFrame, path: str) -> None:
     """Append a version to the stored map; a version that is there already is an error."""
+    slot_map = materialise(slot_map, "shard-map")
     found = slot_map.agg(F.max("version")).first()[0]
     slot_map.drop("version").write.mode("errorifexists").parquet(f"{path}/version={found}")
+    discard(slot_map)
 
 
 def stored_map(spark, path: str, version: int | None = None) -> DataFrame:
@@ -89,30 +97,33 @@ def stored_map(spark, path: str, version: int | None = None) -> DataFrame:
 def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     """rows of sized() with their shard and their place in it, gapless from 0 in order of slot, part and id.
 
-    The number of rows in each slot and part gives every part's first place; a window numbers one part at a time,
-    whose rows are narrow and which holds a 65,536th of them. The map and the counts have at most one row for
+    The number of rows in each slot and part gives every part's first place; a window adds up one part at a time, whose
+    rows are narrow, differ and are a 65,536th of all that differ. Equal records take places in a row. The map and the counts have at most one row for
     each slot and part, and so are broadcast.
     """
     rows = rows.join(F.broadcast(slot_map.select("vslot", "shard")), "vslot")
-    counts = rows.groupBy("shard", "vslot", "part").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("shard", "vslot", "part").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("vslot", "part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first"))
-    own = Window.partitionBy("vslot", "part").orderBy("id", "size", "text_crc32")
-    return rows.withColumn("nth", F.row_number().over(own) - 1).join(F.broadcast(firsts), ["vslot", "part"]).select("id", "size", "text_crc32", "shard", (F.col("first") + F.col("nth")).cast("bigint").alias("slot"), "vslot")
+    own = Window.partitionBy("vslot", "part").orderBy("id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.withColumn("before", F.coalesce(F.sum("n").over(own), F.lit(0))).join(F.broadcast(firsts), ["vslot", "part"])
+    each = F.explode(F.sequence(F.col("first") + F.col("before"), F.col("first") + F.col("before") + F.col("n") - 1))
+    return before.select("id", "size", "text_crc32", "shard", each.alias("slot"), "vslot")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
     """(id, size, text_crc32, shard, slot, vslot, map_version): documents in shards of nearly equal bytes.
 
-    Null ids share the slot of the empty text; repeated rows each get a place; empty tables give no rows. With
-    map_path the versions of the map are stored there. The law is `bytes`: equal ids stay together, equal texts need not.
+    The law is `bytes`: records are dealt one by one, so that groups of equal texts, however large, are spread over shards; only
+    equal records (one id and one text) stay together. A null id counts as the empty text. Repeated rows each get a place, next
+    to each other; empty tables give no rows. Versions 1 and 2 of the map are stored in map_path, a new folder of the shared
+    one by default, and rows are placed by the stored version 2, which edits version 1.
     """
+    spark = docs.sparkSession
     rows = materialise(sized(docs, id_col, text_col), "shard-rows")
-    v1 = first_map(rows, shards)
-    v2 = materialise(rebalanced(v1, shards), "shard-map")
-    if map_path:
-        store_map(v1, map_path)
-        store_map(v2, map_path)
-    return placed(rows, v2).withColumn("map_version", F.lit(2)).withColumnRenamed("id", id_col)
-
-
+    map_path = map_path or f"{shared_dir(spark)}/argusframe/shard-maps-{uuid.uuid4().hex}"
+    store_map(first_map(rows, shards), map_path)
+    store_map(rebalanced(stored_map(spark, map_path), shards), map_path)
+    newest = stored_map(spark, map_path)
+    version = newest.agg(F.max("version")).first()[0]
+    return placed(rows, newest).withColumn("map_version", F.lit(version)).withColumnRenamed("id", id_col)

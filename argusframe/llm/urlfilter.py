@@ -1,6 +1,6 @@
 """Operator 7 (DataFrame functions only): URL rules with redirect equivalence.
 
-Urls are nodes; redirects and canonical links are edges. A rule decides a url it fits. In each connected component the
+Urls are nodes; redirects, canonical and refresh links are edges, and nothing else is unless asked for. A rule decides a url it fits. In each connected component the
 decisions of rules reach the aliases that no rule fits: allow if any member is explicitly allowed, else block if any is
 blocked, else allow.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 from .components import connected_components
 
 #: The rules of the registered query, as (verdict, host, path).
@@ -52,7 +52,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def alias_key(url: Column) -> Column:
-    """The address that http or https, a www. or m. host, a final slash, .html, query and fragment all redirect to."""
+    """The address that http or https, a www. or m. host, a final slash, .html, query and fragment often redirect to: a guess, not evidence."""
     host = F.regexp_replace(host_of(url), r"^(www|m)\.", "")
     return F.concat(F.lit("//"), host, F.regexp_replace(path_of(url), r"(/|\.html?|/index\.html?)$", ""))
 
@@ -66,43 +66,35 @@ def link_targets(html: Column) -> Column:
     return F.filter(F.transform(F.filter(tags, is_link), target), lambda u: u != "")
 
 
-def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
+def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", guess_aliases: bool = False) -> DataFrame:
     """(id, host, path, rule, verdict, component): one row a page.
 
-    redirects is a table (src, dst) of urls. Canonical and refresh links in html_col and each url's redirect address
-    add edges. A null url has an empty host, no rule and no alias. Repeated pages are judged alike. component is the
-    64-bit hash that names the url's group, its own where it has no alias.
+    Edges are redirects, a table (src, dst) of urls, and the canonical and refresh links in html_col. guess_aliases adds an
+    edge from each url to alias_key(), for sites known to redirect so. A null url, and one without ://, has an empty host,
+    no rule and no alias. Null ids and repeated pages are judged like any other. component is the least url of the group, the
+    page's own where it has no alias. Urls are compared as whole texts, however long.
 
-    Nodes go by 64-bit hash of their text. Only urls that take part in an edge between different texts enter the
-    components, and a url's group is joined on the hash of its own address, so that a hot host is no hot key.
+    Only urls that take part in an edge between different urls enter the components; a page is joined on its own url.
     """
     url = F.col(url_col)
-    fields = [F.col(id_col).alias("id"), url.alias("url")]
-    if html_col and html_col in pages.columns:
-        fields.append(link_targets(F.col(html_col)).alias("links"))
-    else:
-        fields.append(F.array().cast("array<string>").alias("links"))
-    base = pages.select(*fields).withColumn("node", F.when(F.instr("url", "://") > 0, F.xxhash64("url")))
-    base = materialise(base, "url-pages")
-    shown = base.where("node IS NOT NULL")
-    canonical = shown.where(F.size("links") > 0).select("url", F.explode("links").alias("to"))
-    alias = shown.select("url", alias_key(F.col("url")).alias("to"))
-    named = canonical.union(redirects.select(F.col("src").alias("url"), F.col("dst").alias("to"))) if redirects is not None else canonical
-    # a target's own address counts as well, so that a redirect to a variant of a page reaches the page
-    addresses = named.select(F.explode(F.array("url", "to")).alias("url")).where(F.instr("url", "://") > 0).select("url", alias_key(F.col("url")).alias("to"))
-    pairs = named.union(alias).union(addresses).where("url IS NOT NULL AND to IS NOT NULL").select(F.xxhash64("url").alias("src"), F.xxhash64("to").alias("dst"), "url").distinct()
-    pairs = materialise(pairs, "url-pairs")
-    # an address with one url only joins nothing
-    shared = pairs.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1").select("dst")
-    targets = named.select(F.xxhash64("to").alias("dst"))
-    edges = pairs.select("src", "dst").join(shared.union(targets).distinct(), "dst", "left_semi")
-    groups = connected_components(edges)
-    said = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)
-    nodes = pairs.select(F.col("src").alias("node"), "url").union(named.select(F.xxhash64("to").alias("node"), F.col("to").alias("url")).where(F.instr("url", "://") > 0))
-    ruled = nodes.select("node", said["verdict"].alias("verdict")).where("verdict IS NOT NULL").distinct()
-    rank = F.max(F.when(F.col("verdict") == "allow", 2).otherwise(1))
-    verdicts = groups.join(ruled, "node").groupBy("component").agg(rank.alias("rank"))
-    reached = materialise(groups.join(verdicts, "component", "left").select("node", "component", "rank"), "url-groups")
-    out = base.join(reached, "node", "left").withColumn("said", rule_of(host_of(F.col("url")), path_of(F.col("url")), rules))
+    links = link_targets(F.col(html_col)) if html_col and html_col in pages.columns else F.array().cast("array<string>")
+    base = materialise(pages.select(F.col(id_col).alias("id"), url.alias("url"), F.when(F.instr(url, "://") > 0, links).alias("links")), "url-pages")
+    named = base.where(F.size("links") > 0).select(F.col("url").alias("src"), F.explode("links").alias("dst"))
+    if redirects is not None:
+        named = named.union(redirects.select("src", "dst"))
+    if guess_aliases:
+        every = base.where(F.instr("url", "://") > 0).select("url").union(named.select(F.explode(F.array("src", "dst")).alias("url"))).distinct()
+        named = named.union(every.select("url", alias_key(F.col("url"))))
+    edges = materialise(named.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct(), "url-edges")
+    groups = materialise(connected_components(edges), "url-groups")
+    said = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)
+    rank = F.max(F.when(said["verdict"] == "allow", 2).when(said["verdict"] == "block", 1))
+    # groups have no size bound; the maximum is taken before rows move
+    ranks = groups.groupBy("component").agg(rank.alias("rank")).where("rank IS NOT NULL")
+    reached = materialise(groups.join(ranks, "component", "left").select(F.col("node").alias("url"), "component", "rank"), "url-reached")
+    for done in (edges, groups):
+        discard(done)
+    out = base.join(reached, "url", "left").withColumn("said", rule_of(host_of(F.col("url")), path_of(F.col("url")), rules))
     verdict = F.coalesce(F.col("said.verdict"), F.when(F.col("rank") == 1, "block").otherwise("allow"))
-    return out.select(F.col("id").alias(id_col), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("said.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("component", "node").alias("component"))
+    own = F.when(F.instr("url", "://") > 0, F.col("url"))
+    return out.select(F.col("id").alias(id_col), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("said.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("component", own).alias("component"))
