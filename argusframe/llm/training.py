@@ -7,18 +7,33 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
+#: Bytes of whole texts in a sample; a text that would go beyond is left out, and a shorter one may still follow.
+SAMPLE_BYTES = 64 << 20
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, positives: int, negatives: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float]:
-    """(text, label) of at most `positives` and `negatives` learnable rows, and the share of label 1 among all of them.
 
-    Rows whose crc32 of the id mod 5 is 0 are held out. Rows with a null id or a label other than 0 and 1 take no part.
-    The rows are the first by hash of the id, so the same labels give the same sample. The ids of the sample are
-    broadcast: their number is the documented bound.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, positives: int, negatives: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None) -> tuple[DataFrame, float]:
+    """(id, text, lang, label) of at most `positives` and `negatives` learnable documents and SAMPLE_BYTES, and the share of label 1 among all learnable labels.
+
+    Rows whose crc32 of the id mod 5 is 0 are held out. Rows with a null id or a label other than 0 and 1 take no part, nor
+    does an id that is labelled both 0 and 1. An id gives one row, whatever its copies: the text with the least hash. The documents are
+    the first by hash of the id, so the same labels give the same sample. The ids of the sample are broadcast, and their
+    sizes reach the driver: their number is the documented bound.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
-    known = known.where(~held_out(F.col("id"))).distinct()
+    known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     share = known.agg(F.avg("label")).first()[0]
-    order = [F.xxhash64("id", F.lit(label)), "id"]
-    chosen = known.where("label = 1").orderBy(*order).limit(positives).union(known.where("label = 0").orderBy(*order).limit(negatives))
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("id", "text", "label"), 0.5 if share is None else float(share)
+    order = F.struct(F.xxhash64("id", F.lit(label)), F.col("id")).alias("nth")
+    some = known.select("id", "label", order)
+    chosen = some.where("label = 1").orderBy("nth").limit(positives).union(some.where("label = 0").orderBy("nth").limit(negatives))
+    lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), lang.alias("lang"))
+    sizes = texts.join(F.broadcast(chosen), "id").groupBy("id", "label", "nth").agg(F.min(F.struct(F.xxhash64("text").alias("tie"), F.octet_length("text").alias("size"))).alias("m"))
+    kept, room = [], SAMPLE_BYTES
+    for r in sizes.select("id", "label", "nth", "m.tie", "m.size").orderBy("nth").collect():
+        if r["size"] <= room:
+            room -= r["size"]
+            kept.append((r["id"], r["label"], r["tie"]))
+    kind = docs.schema[id_col].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame(kept, f"id {kind}, label int, tie bigint")
+    rows = texts.withColumn("tie", F.xxhash64("text")).join(F.broadcast(wanted), ["id", "tie"]).dropDuplicates(["id"])
+    return rows.select("id", "text", "lang", "label"), 0.5 if share is None else float(share)

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from argusframe.llm import ann, bpe, components, decontam, linededup, quality, sharding, simhash, suffixdedup, toxicity, trie, urlfilter
+from argusframe.llm import ann, bpe, components, decontam, linededup, quality, sharding, simhash, suffixdedup, toxicity, training, trie, urlfilter
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, fp int, tie string, bucket int"
@@ -75,10 +75,19 @@ def test_bpe_digests(docs, none, reference):
     assert bpe.round_trip_digests(none, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("pattern", [r".{5}|.", r"\w+ \w+|\w+|\W+", r"[^ ]+| +"])
+def test_bpe_by_other_patterns(pattern):
+    own = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    codec = bpe.Codec(bpe.tokenizer_json(bpe.read_ranks(RANKS)), pattern)
+    text = "some words, and more words with  spaces"
+    assert np.frombuffer(next(codec.encode([text])), "<u4").tolist() == own.encode_ordinary(text)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \t\n\r\x0b\x1c\x85 　'sdtaelvm019½३éßǅ日本😀!?.-"), st.characters(exclude_categories=["Cs"]))))
 def test_bpe_of_any_text(codec, reference, text):
-    ids = np.frombuffer(next(codec.encode([text])), "<u4")
+    ids = np.frombuffer(next(codec.encode([text], by_words=True)), "<u4")
+    assert ids.tolist() == np.frombuffer(next(codec.encode([text])), "<u4").tolist()
     assert ids.tolist() == reference.encode_ordinary(text) and codec.decode(ids) == text.encode()
     first, last = bpe.character_offsets(text.encode(), codec.ends(ids))
     # a token covers every character that it holds a part of, so neighbours share a split one
@@ -153,10 +162,27 @@ def test_shards(spark, docs, none, tmp_path):
 
 def test_shards_of_awkward_rows(docs, none):
     got = sharding.shard_documents(docs, 8).collect()
-    assert len(got) == len(awkward()) and all(r.size == len((t or "").encode()) + 1 for r, t in []) and {r.size for r in got if r.doc_id == 3} == {1}
+    want = collections.Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in awkward())
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    places = collections.defaultdict(list)
+    for r in got:
+        places[r.shard].append(r.slot)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
     assert sharding.shard_documents(none, 8).count() == 0
 
 
+def test_shards_of_hot_groups(spark):
+    """A third of the rows with one text, a third with a null id: sizes stay near equal. Equal records stand side by side."""
+    rows = [(i, "the same text") for i in range(1500)] + [(None, f"text number {i:04d}") for i in range(1500)] + [(9000, "again")] * 40
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), 8).collect()
+    sums = collections.Counter()
+    for r in got:
+        sums[r.shard] += r.size
+    assert len(got) == 3040 and len(sums) == 8 and max(sums.values()) < 1.05 * min(sums.values())
+    own = sorted((r.shard, r.slot) for r in got if r.doc_id == 9000)
+    assert own == [(own[0][0], own[0][1] + k) for k in range(40)]
+
+
 # 4 and 8: classifiers
 
 
@@ -204,6 +230,98 @@ def test_toxicity(spark, docs, none):
     assert {r.doc_id: r.score for r in other} == {r.doc_id: r.score for r in rows}
 
 
+def test_sample_of_labels(spark):
+    """One row an id, whatever its copies; contradictions and held-out rows left out; bounded in rows and bytes."""
+    docs = spark.createDataFrame([(i, f"text {i} " + "x" * (i % 7), "en") for i in range(300) for _ in range(1 + 40 * (i % 50 == 1))] + [(3, "another", "de"), (None, "n", None)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(8, 1), (9, 1), (11, None), (None, 1), (13, 5)], "doc_id bigint, toxic int")
+    rows, share = training.labelled_sample(docs, labels, "toxic", 10, 400, lang_col="lang")
+    got = rows.collect()
+    learnable = {i for i in range(300) if zlib.crc32(str(i).encode()) % 5} - {8}
+    assert len(got) == len({r.id for r in got}) and {r.id for r in got} <= learnable
+    assert sum(r.label for r in got) == 10 and {r.id for r in got if not r.label} == {i for i in learnable if i % 2 == 0}
+    assert share == pytest.approx(sum(i % 2 for i in learnable) / len(learnable))
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(training, "SAMPLE_BYTES", 100)
+    docs = spark.createDataFrame([(i, "y" * 30) for i in range(40)] + [(50, "z" * 200)], "doc_id bigint, text string")
+    rows, _ = training.labelled_sample(docs, docs.select("doc_id", F.lit(1).alias("quality")), "quality", 50, 50)
+    assert sorted(len(r.text) for r in rows.collect()) == [30, 30, 30]
+
+
+def small_network(rng):
+    net = toxicity.Network(
+        rng.normal(size=(toxicity.BUCKETS, toxicity.DIM)), {w: rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS}, {w: rng.normal(size=toxicity.FILTERS) for w in toxicity.WIDTHS},
+        rng.normal(size=toxicity.FILTERS * len(toxicity.WIDTHS)), 0.3,
+    )
+    net.table[0] = 0
+    return net
+
+
+def plain_logit(net, text):
+    """A convolution word by word, the greatest response of each filter, and a logistic output."""
+    x = [sum(net.table[b] for b in toxicity.parts_of(w)) for w in toxicity.words_of(text)] + [np.zeros(toxicity.DIM)] * max(toxicity.WIDTHS)
+    out = []
+    for w in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            responses = [sum(x[i + s] @ net.filters[w][s][:, f] for s in range(w) if i + s < len(x)) for i in range(len(x))]
+            out.append(max(0.0, max(responses) + net.bias[w][f]))
+    return float(np.array(out) @ net.out + net.offset)
+
+
+def test_convolution_against_a_plain_one():
+    rng = np.random.default_rng(4)
+    net, known = small_network(rng), toxicity.Lexicon()
+    texts = ["", "one", "a few words here", "one two one two three", words(random.Random(1), 40)]
+    docs = [known.numbers(t) for t in texts]
+    assert np.allclose(net.logits(docs, net.embeddings(known.parts)), [plain_logit(net, t) for t in texts])
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(5)
+    net, known = small_network(rng), toxicity.Lexicon()
+    texts, y = ["one two three", "four", words(random.Random(2), 12), "two two four five"], np.array([1.0, 0, 1, 0])
+    docs = [known.numbers(t) for t in texts]
+    parts = np.array(known.parts)
+
+    def loss():
+        z = net.logits(docs, net.embeddings(parts))
+        return float((np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y)).mean())
+
+    g = toxicity.gradients(net, docs, parts, y)
+    at, rows = g["table"]
+    checks = [(net.out, k, g["out"][k]) for k in range(0, 24, 5)] + [(net.bias[w], k, g["bias"][w][k]) for w in toxicity.WIDTHS for k in (0, 3)]
+    checks += [(net.filters[w], i, g["filters"][w][i]) for w in toxicity.WIDTHS for i in ((0, 1, 2), (w - 1, 3, 4))]
+    checks += [(net.table, (int(at[i]), 2), rows[i, 2]) for i in range(1, len(at), 7)]
+    for value, i, want in checks:
+        kept = value[i]
+        value[i] = kept + 1e-6
+        up = loss()
+        value[i] = kept - 1e-6
+        down = loss()
+        value[i] = kept
+        assert (up - down) / 2e-6 == pytest.approx(want, abs=1e-5)
+
+
+def test_discriminant_against_plain_densities():
+    rng = np.random.default_rng(6)
+    k = len(quality.FEATURES)
+    y = (rng.random(400) < 0.6).astype(int)
+    x = rng.normal(size=(400, k)) * (1 + y[:, None]) + y[:, None]
+    model = quality.fit(x, y, 0.6)
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    covs = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum(s * (y == c).mean() for c, s in enumerate(covs))
+    density = []
+    for c, s in enumerate(covs):
+        s = (1 - quality.TO_POOLED) * s + quality.TO_POOLED * pooled
+        s = (1 - quality.TO_SPHERE) * s + quality.TO_SPHERE * np.trace(s) / k * np.eye(k)
+        d = z - z[y == c].mean(0)
+        density.append(np.array([-0.5 * v @ np.linalg.inv(s) @ v - 0.5 * np.linalg.slogdet(s)[1] for v in d]))
+    assert np.allclose(model.difference(x), density[1] - density[0])
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-(model.slope * (density[1] - density[0]) + model.offset))))
+
+
 # 5: nearest neighbours
 
 
@@ -326,18 +444,67 @@ def test_url_rules(spark):
     assert got[4][2:] == ("net/de/", "allow") and got[5][2:] == ("example.net/de/8", "block") and got[6][2] is None and got[7][:3] == ("a.org:80", "/es/1", None) and got[8][2:] == ("org/es/", "block") and got[9][:3] == ("o.org", "", None)
 
 
+def link(u):
+    return f'<head><link href="{u}" rel="canonical"></head>'
+
+
 def test_decisions_reach_aliases(spark):
-    link = lambda u: f'<head><link href="{u}" rel="canonical"></head>'
     df = pages(spark, ("https://q.test/a", link("https://o.org/es/1")), ("http://www.q.test/a/", ""), ("https://q.test/b", link("https://o.org/es/2") + link("https://n.net/de/2")), ("https://q.test/c", '<META http-equiv=refresh content="0; url=https://q.test/a">'), ("https://q.test/d", ""))
-    got = {r.page_id: r.verdict for r in urlfilter.judge(df).collect()}
-    assert got == {0: "block", 1: "block", 2: "allow", 3: "block", 4: "allow"}
-    moved = spark.createDataFrame([("https://q.test/d", "https://o.org/es/9"), (None, "https://q.test/d")], "src string, dst string")
+    got = {r.page_id: (r.verdict, r.component) for r in urlfilter.judge(df).collect()}
+    # nothing says that http://www.q.test/a/ is the same page
+    assert {i: x[0] for i, x in got.items()} == {0: "block", 1: "allow", 2: "allow", 3: "block", 4: "allow"}
+    assert got[0][1] == got[3][1] == "https://o.org/es/1" and got[1][1] == "http://www.q.test/a/"
+    moved = spark.createDataFrame([("https://q.test/d", "https://o.org/es/9"), (None, "https://q.test/d"), ("https://q.test/d", None)], "src string, dst string")
     assert {r.page_id: r.verdict for r in urlfilter.judge(df, moved).collect()}[4] == "block"
+    assert {r.page_id: r.verdict for r in urlfilter.judge(df, guess_aliases=True).collect()}[1] == "block"
     assert urlfilter.judge(df.where("false")).count() == 0
 
 
+def plain_verdicts(rows):
+    """By flooding verdicts over links until nothing changes."""
+    import re
+
+    rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+    def own(u):
+        if not u or "://" not in u:
+            return None
+        host, path = re.match(r"([^/?#]*)([^?#]*)", u.split("://", 1)[1]).groups()
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+        fits = [(len(h + p), v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    edges = [(u, to) for _, u, html in rows if u and "://" in u for to in re.findall(r'href="([^"]+)" rel="canonical"', html or "")]
+    near = collections.defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    out = []
+    for i, u, _ in rows:
+        seen, todo = {u}, [u]
+        while todo:
+            for x in near[todo.pop()] - seen:
+                seen.add(x)
+                todo.append(x)
+        said = {own(x) for x in seen}
+        out.append((i, own(u) or ("allow" if "allow" in said else "block" if "block" in said else "allow")))
+    return collections.Counter(out)
+
+
+def test_urls_of_awkward_rows(spark):
+    rng = random.Random(9)
+    urls = [f"https://{rng.choice(['a.com', 'Example.com', 'b.net', 'example.net', 'c.org', 'd.test'])}/{rng.choice(['en', 'de', 'es', 'x'])}/{rng.randint(0, 12)}" for _ in range(150)]
+    urls += [None, "", "no scheme", "https://", "https://long.org/es/" + "y" * 100_000, "https://long.test/" + "z" * 100_000]
+    rows = [(i, u, link(rng.choice(urls[:150] + urls[-2:])) if rng.random() < 0.4 else None) for i, u in enumerate(urls)]
+    rows += rows[:9] + [(None, "https://d.test/x/1", None), (None, None, None), (3, "https://c.org/es/1", "")]
+    df = spark.createDataFrame([(*r, "u", 1, "c") for r in rows], "page_id bigint, url string, html string, id string, node int, component string")
+    got = urlfilter.judge(df)
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict", "component"]
+    assert collections.Counter((r.page_id, r.verdict) for r in got.collect()) == plain_verdicts(rows)
+
+
 def test_hot_alias(spark):
-    df = spark.createDataFrame([(i, f"https://hot.test/x?{i}", "") for i in range(3000)] + [(9999, "https://hot.test/x", '<link rel="canonical" href="https://b.org/es/1">')], "page_id bigint, url string, html string")
+    df = spark.createDataFrame([(i, f"https://hot.test/x?{i}", link("https://hot.test/x")) for i in range(3000)] + [(9999, "https://hot.test/x", link("https://b.org/es/1"))], "page_id bigint, url string, html string")
     assert {r.verdict for r in urlfilter.judge(df).select("verdict").distinct().collect()} == {"block"}
 
 
