@@ -1,8 +1,15 @@
 """Operator 2: benchmark decontamination by template canonicalisation.
 
-Numbers, names and units become typed placeholders. Windows of template tokens are matched by hash; along each
-alignment of a document with a benchmark item the runs of matching windows are joined, and the values that filled the
-placeholders must map onto each other consistently. So a question whose figures or names were changed is still caught.
+Numbers, names and quantities become typed placeholders: a run of capitalised words is one name wherever it stands, and a
+number with its unit is one quantity. Windows of template tokens carry the values that fill their slots. A window with few
+literal tokens goes by the words themselves, so that tables of figures match word for word and not every other table.
+
+1. The benchmark's windows are a table (hash, item, place, values), one item for each text.
+2. Documents give the windows that pass a Bloom filter of those hashes, of fixed size: the filter only thins out, the join decides.
+3. Both are joined by hash. The documents' side is dealt by hash and a salt, so that a window which stands in many
+   documents is split.
+4. The windows that a document and an item have in common are chained along near alignments; in a chain each value must stand for one
+   value throughout, both ways. A chain that is long enough is a leak.
 """
 
 from __future__ import annotations
@@ -16,16 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_by_worker, slices, spread, text_or_empty
+from .common import discard, free_name, kept_by_worker, materialise, slices, spread, text_or_empty
 
-#: Template tokens in a window, literal ones that it must hold, and tokens in a row that make a leak.
-WINDOW, LITERAL, RUN = 8, 4, 13
-#: Of an item too short for such a run, the share of its tokens that must match in a row.
-SHARE = 0.8
-#: Windows of the benchmark that are broadcast at once; a larger benchmark goes out in blocks.
-BROADCAST_WINDOWS = 1_000_000
-#: Words at which a worker's table of known words is emptied, looked at once for some hundred texts.
-KEPT_WORDS = 300_000
+#: Template tokens in a window, literal ones below which it goes by its words, and matched tokens that make a leak.
+WINDOW, LITERAL, RUN = 8, 3, 13
+#: Of an item too short for that, the share of its tokens that must match, and tokens that an item needs.
+SHARE, LEAST = 0.8, 4
+#: Tokens that may be skipped, in the document and in the item, between two windows of a chain.
+GAP = 4
+#: Bits of the filter, and parts that a window's documents are dealt into.
+FILTER_BITS, SALTS = 1 << 24, 16
+#: Words at which a worker's table of known words is emptied, looked at before each text.
+KEPT_WORDS = 200_000
 
 #: Unit words.
 UNITS = frozenset(
@@ -33,27 +42,40 @@ UNITS = frozenset(
     "percent dollar dollars euro euros pound pounds cent cents degree degrees kmh mph km/h m/s".split()
 )
 
-NUMBER, NAME, UNIT, QUANTITY = 1, 2, 3, 4
+NUMBER, NAME, QUANTITY = 1, 2, 3
 _CAPITAL, _STOP, _NUMBER, _UNIT, _QUANTITY, _BLANK = 1, 2, 4, 8, 16, 32
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 
-
 _MARKS = "\"'`()[]{}<>.,;:!?…¿¡«»“”„*&%$#|~^_=+-/\\"
+#: Marks that count as words where they stand alone.
+_OPERATORS = frozenset("+ - * / = < > % ^ × ÷ ≤ ≥ ≠ − ·".split())
 _SENTENCE = re.compile(r"[.!?…][\"')\]»”]*$").search
 _NUMERAL = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*").fullmatch
 _MEASURED = re.compile(r"[+-]?\d+(?:[.,]\d+)*([^\W\d].*)").fullmatch
+# 12+35*4=? is arithmetic written without spaces
+_GLUED = re.compile(r"[-+*/=<>^×÷−·](?<=[\d)].)(?=[\d(?]|$)")
+
+
+def words_of(text: str) -> list[str]:
+    out = text.split()
+    if any(c in text for c in "+*=^×÷"):
+        out = [x for w in out for x in (_GLUED.sub(lambda m: f" {m[0]} ", w).split() if any(c in w for c in "+*=^×÷") and any(map(str.isdigit, w)) else (w,))]
+    return out
 
 
-def _describe(word: str) -> tuple[int, int, str]:
-    """Code of the literal word, flags, and the word without marks around it."""
+def _describe(word: str) -> tuple[int, int, int]:
+    """Code of the literal word, flags, and the hash of its value: the word without marks around it, as it is written."""
     import xxhash
 
+    if word in _OPERATORS:
+        code = xxhash.xxh64_intdigest(word.encode()) | 1 << 63
+        return code, 0, code
     core, flags = word, 0
     if not word.isalpha():
         core = word.strip(_MARKS)
         flags = _STOP if _SENTENCE(word) else 0
         if not core:
-            return 0, flags | _BLANK, core
+            return 0, flags | _BLANK, 0
         if _NUMERAL(core):
             flags |= _NUMBER
         elif (m := _MEASURED(core)) and m[1].lower() in UNITS:
@@ -63,240 +85,323 @@ def _describe(word: str) -> tuple[int, int, str]:
         flags |= _UNIT
     if len(core) > 1 and core[0] != lower[0] and core[0].isupper() and core[1:] == lower[1:]:
         flags |= _CAPITAL
-    return xxhash.xxh64_intdigest(lower.encode()) | 1 << 63, flags, core
+    return xxhash.xxh64_intdigest(lower.encode()) | 1 << 63, flags, xxhash.xxh64_intdigest(core.encode()) | 1 << 63
 
 
 class Templates(dict):
-    """Numbers the words it has met; template() turns a text into its typed tokens."""
+    """Numbers the words it has met; template() turns word numbers into typed tokens."""
 
     def __init__(self):
-        self.codes: list[int] = []
-        self.flags: list[int] = []
-        self.cores: list[str] = []
+        self.described: list[tuple[int, int, int]] = []
+        self._held = np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, np.uint64)
 
     def __missing__(self, word: str) -> int:
-        code, flags, core = _describe(word)
-        out = self[word] = len(self.codes)
-        self.codes.append(code)
-        self.flags.append(flags)
-        self.cores.append(core)
+        out = self[word] = len(self.described)
+        self.described.append(_describe(word))
         return out
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and flags of the words met so far, without converting those of earlier calls again."""
-        code, flag = getattr(self, "_held", (np.empty(0, np.uint64), np.empty(0, np.uint8)))
-        if len(code) < len(self.codes):
-            self._held = code, flag = np.concatenate([code, np.array(self.codes[len(code) :], np.uint64)]), np.concatenate([flag, np.array(self.flags[len(flag) :], np.uint8)])
-        return code, flag
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, flags and values of the words met so far, without converting those of earlier calls again."""
+        n = len(self._held[0])
+        if n < len(self.described):
+            new = zip(*self.described[n:], strict=True)
+            self._held = tuple(np.concatenate([old, np.array(x, old.dtype)]) for old, x in zip(self._held, new, strict=True))
+        return self._held
+
+    def numbers(self, text: str) -> np.ndarray:
+        words = words_of(text)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def template(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Template tokens and the number of the word behind each, marks alone left out.
+        """Template tokens, and the hash of the words behind each. Marks alone are left out.
 
-        A name is a capitalised word that begins neither the text nor a sentence; a unit is a unit word after a number.
+        Capitalised words in a row within a sentence are one name; a number and the unit after it are one quantity.
         """
-        codes, flags = self.arrays()
+        codes, flags, values = self.arrays()
         flag = flags[numbers]
         shown = (flag & _BLANK) == 0
-        ends = np.concatenate([[True], (flag[:-1] & _STOP) > 0]) if len(flag) else np.empty(0, bool)
-        if not shown.all():  # a mark standing alone may end a sentence for the word after it
-            carried = np.maximum.accumulate(np.where(shown, np.arange(len(flag)), -1))
-            stop = np.concatenate([[0], np.cumsum((flag & _STOP) > 0)])
-            before = np.concatenate([[-1], carried[:-1]])
-            ends = (before < 0) | (stop[np.arange(len(flag))] - stop[np.maximum(before, 0)] > 0)
-            numbers, flag, ends = numbers[shown], flag[shown], ends[shown]
+        stop = (flag & _STOP) > 0
+        if not shown.all():  # a mark standing alone may end the sentence of the word before it
+            ended = np.concatenate([[0], np.cumsum(stop)])
+            at = np.flatnonzero(shown)
+            upto = np.append(at[1:], len(flag))
+            stop = ended[upto] > ended[at]
+            numbers, flag = numbers[shown], flag[shown]
+        n = len(numbers)
+        if not n:
+            return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        capital, number = (flag & _CAPITAL) > 0, (flag & _NUMBER) > 0
+        after = np.zeros(n, bool)  # a token that goes on with the one before
+        after[1:] = (capital[1:] & capital[:-1] & ~stop[:-1]) | (((flag[1:] & _UNIT) > 0) & number[:-1])
+        measured = np.zeros(n, bool)
+        measured[:-1] = number[:-1] & after[1:]
         t = codes[numbers]
-        number = (flag & _NUMBER) > 0
-        t = np.where(((flag & _CAPITAL) > 0) & ~ends, np.uint64(NAME), t)
-        t = np.where(((flag & _UNIT) > 0) & np.concatenate([[False], number[:-1]])[: len(t)], np.uint64(UNIT), t)
+        t = np.where(capital, np.uint64(NAME), t)
         t = np.where(number, np.uint64(NUMBER), t)
-        return np.where((flag & _QUANTITY) > 0, np.uint64(QUANTITY), t), numbers
-
-    def numbers(self, text: str) -> np.ndarray:
-        words = text.split()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        t = np.where(measured | ((flag & _QUANTITY) > 0), np.uint64(QUANTITY), t)
+        first = np.flatnonzero(~after)
+        v = values[numbers]
+        # the words of a token, in order
+        place = np.arange(n) - first[np.cumsum(~after) - 1]
+        v = np.add.reduceat(v * (np.uint64(2) * place.astype(np.uint64) + np.uint64(1)), first)
+        return t[first], v
 
 
-def window_hashes(t: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every n tokens in a row, and whether enough of them are literal."""
+def _rolled(t: np.ndarray, n: int) -> np.ndarray:
     k = len(t) - n + 1
-    if k <= 0:
-        return np.empty(0, np.uint64), np.empty(0, bool)
     h = np.zeros(k, np.uint64)
     for j in range(n):
         h = (h + t[j : j + k]) * _MULTIPLIER
         h ^= h >> np.uint64(29)
+    return h
+
+
+def windows(t: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every n tokens in a row: of the template, or of the words where fewer than LITERAL tokens are literal."""
+    if len(t) < n:
+        return np.empty(0, np.uint64)
     literal = np.concatenate([[0], np.cumsum(t > QUANTITY)])
-    return h, literal[n:] - literal[:-n] >= min(LITERAL, n)
+    poor = literal[n:] - literal[:-n] < min(LITERAL, n)
+    h = _rolled(t, n)
+    return np.where(poor, ~_rolled(v, n), h) if poor.any() else h
 
 
-def _consistent(filled: list[tuple], start: int, end: int) -> Iterator[tuple[int, int]]:
-    """The longest parts of a run in which each value of a placeholder stands for one value throughout; filled has (place, key, value)."""
-    bound: dict = {}
-    for k, (i, key, value) in enumerate(filled):
-        if key in bound and bound[key][0] != value:
-            yield start, i
-            start = bound[key][1] + 1
-            bound = {}
-            for j, other, its in filled[:k]:
-                if j >= start:
-                    bound[other] = (its, j)
-        bound[key] = (value, i)
-    yield start, end
+def _slots(t: np.ndarray, v: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """For each window the values in its slots, 0 where it is literal. The lowest bits of a value tell its kind."""
+    filled = np.where(t <= QUANTITY, (v & ~np.uint64(3)) | t | np.uint64(1 << 63), np.uint64(0))
+    return filled[at[:, None] + np.arange(n)] if len(at) else np.empty((0, n), np.uint64)
 
 
-class Benchmark:
-    """Windows of the items; broadcast when small enough."""
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([r.shape[1] for r in rows for _ in range(len(r))])]).astype(np.int32) if rows else np.zeros(1, np.int32)
+    flat = np.concatenate([r.ravel() for r in rows]) if rows else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
-    def __init__(self, items: list[tuple]):
+
+def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(h, item, tokens, q, n, slots): every window of every text; of items with one text the least id stands for all.
+
+    The windows are WINDOW tokens long, or as long as the item if it is shorter; an item of fewer than LEAST tokens has none.
+    """
+    kind = benchmark.schema[id_col].dataType.simpleString()
+    texts = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("text IS NOT NULL").groupBy("text").agg(F.min("item").alias("item"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Templates()
-        self.ids, self.tokens, self.values = [], [], []
-        found = defaultdict(list)  # window length: (hash, item, position)
-        for k, (item, text) in enumerate(items):
-            numbers = words.numbers(text or "")
-            t, numbers = words.template(numbers)
-            self.ids.append(item)
-            self.tokens.append(t)
-            self.values.append([words.cores[x] for x in numbers.tolist()])
-            n = min(WINDOW, len(t))
-            if n >= LITERAL:
-                h, good = window_hashes(t, n)
-                found[n] += [(int(x), k, p) for p, (x, g) in enumerate(zip(h, good, strict=True)) if g]
-        self.windows = {}
-        for n, rows in found.items():
-            rows.sort()
-            self.windows[n] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
-            seen = np.zeros(1 << 16, bool)
-            seen[(self.windows[n][0] >> np.uint64(48)).astype(np.int64)] = True
-            self.windows[n] += (seen,)
-
-    def __len__(self) -> int:
-        return sum(len(w[0]) for w in self.windows.values())
-
-    def matches(self, t: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(item, document position, item position, length) of every window in common."""
-        for n, (hashes, item, position, seen) in self.windows.items():
-            h, good = window_hashes(t, n)
-            at = np.flatnonzero(good & seen[(h >> np.uint64(48)).astype(np.int64)]) if len(h) else np.empty(0, np.int64)
-            if not len(at):
-                continue
-            lo, hi = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
-            for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                for k in range(a, b):
-                    yield int(item[k]), p, int(position[k]), n
-
-    def leaks(self, t: np.ndarray, values) -> Iterator[tuple]:
-        """(item id, tokens in the longest run, item tokens, slots, changed slots, first document token) of each item that leaked.
-
-        values(i) is the word behind the document's token i. Of several alignments the longest consistent one counts.
-        """
-        runs = defaultdict(list)
-        for item, p, q, n in self.matches(t):
-            runs[item, p - q].append((p, n))
-        best: dict[int, tuple] = {}
-        for (item, shift), found in runs.items():
-            found.sort()
-            start, end = found[0][0], found[0][0] + found[0][1]
-            spans = []
-            for p, n in found[1:]:
-                if p > end:
-                    spans.append((start, end))
-                    start = p
-                end = max(end, p + n)
-            spans.append((start, end))
-            need = min(RUN, max(LITERAL, int(np.ceil(SHARE * len(self.tokens[item])))))
-            for start, end in spans:
-                if end - start < need:
+        for b in slices(batches):
+            h, own, size, q, n, slots = [], [], [], [], [], []
+            for k, text in enumerate(b.column("text").to_pylist()):
+                t, v = words.template(words.numbers(text))
+                width = min(WINDOW, len(t))
+                if width < LEAST:
                     continue
-                filled = [(i, (int(t[i]), self.values[item][i - shift]), values(i)) for i in range(start, end) if t[i] <= QUANTITY]
-                for a, z in _consistent(filled, start, end):
-                    if z - a >= need and (item not in best or z - a > best[item][0]):
-                        own = [f for f in filled if a <= f[0] < z]
-                        best[item] = (z - a, len(self.tokens[item]), len(own), sum(k[1] != v for _, k, v in own), a)
-        for item, x in sorted(best.items()):
-            yield self.ids[item], *x
-
-
-def read_benchmark(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[tuple]:
-    """(id, text) of the items in order. The driver holds the benchmark's texts; their windows go out in blocks of bounded size."""
-    rows = benchmark.select(id_col, text_col).where(F.col(text_col).isNotNull()).distinct().orderBy(id_col, text_col)
-    return [tuple(r) for r in rows.toLocalIterator()]
-
-
-def blocks_of(items: list[tuple]) -> list[Benchmark]:
-    """The items in blocks of at most BROADCAST_WINDOWS windows each; every document meets every block."""
-    out, some, n = [], [], 0
-    for item in items:
-        k = len((item[1] or "").split())
-        if some and n + k > BROADCAST_WINDOWS:
-            out.append(Benchmark(some))
-            some, n = [], 0
-        some.append(item)
-        n += k
-    return [*out, Benchmark(some)] if some else out
+                found = windows(t, v, width)
+                at = np.arange(len(found))
+                h.append(found)
+                own += [k] * len(found)
+                size += [len(t)] * len(found)
+                q += at.tolist()
+                n += [width] * len(found)
+                slots.append(_slots(t, v, at, width))
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), b.column("item").take(pa.array(own)), *(pa.array(x, pa.int32()) for x in (size, q, n)), _lists(slots)], names=["h", "item", "tokens", "q", "n", "slots"])
+
+    return materialise(spread(texts).mapInArrow(run, f"h bigint, item {kind}, tokens int, q int, n int, slots array<bigint>"), "leak-items")
+
+
+def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    top = np.uint64(FILTER_BITS - 1)
+    return (h & top).astype(np.int64), ((h >> np.uint64(32)) & top).astype(np.int64)
+
+
+def _filter(items: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """Which bits the items' hashes set, and their window lengths. What reaches the driver is bounded by FILTER_BITS."""
+    bit = F.explode(F.array(F.col("h").bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned("h", 32).bitwiseAND(FILTER_BITS - 1)))
+    words = items.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("set")).toPandas()
+    held = np.zeros(FILTER_BITS // 64, np.int64)
+    held[words["word"].to_numpy(dtype=np.int64)] = words["set"].to_numpy(dtype=np.int64)
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # at most WINDOW
+    return np.unpackbits(held.view(np.uint8), bitorder="little").view(bool), lengths
+
+
+def document_windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tie, p, n, h, slots): the windows of whole texts that pass the items' filter."""
+    held, lengths = _filter(items)
+    packed = docs.sparkSession.sparkContext.broadcast((np.packbits(held), lengths))  # FILTER_BITS / 8 bytes
+    text = text_or_empty(text_col)
+    kept = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, lengths = packed.value
+        held = np.unpackbits(raw).view(bool)
+        for b in slices(batches):
+            texts = b.column("text").to_pylist()
+            own, p, n, h, slots = [], [], [], [], []
+            for k, numbers in enumerate(_numbers(texts)):
+                t, v = _words().template(numbers)
+                for width in lengths:
+                    found = windows(t, v, width)
+                    one, two = _bits(found)
+                    at = np.flatnonzero(held[one])
+                    at = at[held[two[at]]]
+                    if len(at):
+                        own += [k] * len(at)
+                        p.append(at)
+                        n += [width] * len(at)
+                        h.append(found[at])
+                        slots.append(_slots(t, v, at, width))
+            if own:
+                which = pa.array(own)
+                yield pa.RecordBatch.from_arrays([b.column("id").take(which), b.column("tie").take(which), pa.array(np.concatenate(p).astype(np.int32)), pa.array(n, pa.int32()), pa.array(np.concatenate(h).view(np.int64)), _lists(slots)], names=["id", "tie", "p", "n", "h", "slots"])
+
+    return spread(kept).mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, tie bigint, p int, n int, h bigint, slots array<bigint>")
 
 
 def _words() -> Templates:
-    """A worker's table of known words, kept for its later tasks and emptied when full."""
+    """A worker's table of known words, kept for its later tasks."""
+    return kept_by_worker("template words", lambda: [Templates()])[0]
+
+
+def _numbers(texts: list[str]) -> Iterator[np.ndarray]:
+    """Word numbers of each text. Words are numbered for many texts before the first is used, so that the tables of codes grow once for all of them."""
     known = kept_by_worker("template words", lambda: [Templates()])
     if len(known[0]) > KEPT_WORDS:
         known[:] = [Templates()]
-    return known[0]
+    yield from [known[0].numbers(t) for t in texts]
 
 
-def _finder(block: Benchmark):
-    def find(texts: list[str]) -> Iterator[list[tuple]]:
-        """The leaks of each text. Words are numbered for many texts at once: the tables of codes grow once for all of them."""
-        words = _words()
-        for numbers in [words.numbers(t) for t in texts]:
-            t, numbers = words.template(numbers)
-            yield list(block.leaks(t, lambda i, numbers=numbers: words.cores[numbers[i]]))
+def chains(found: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """(p, q, n) windows in common, as chains of spans (p, q, length): first runs along one alignment, then runs with at most GAP tokens between them on both sides.
 
-    return find
+    Spans of a chain do not overlap in the document or the item.
+    """
+    runs = defaultdict(list)
+    for p, q, n in sorted(set(found)):
+        own = runs[p - q]
+        if own and p <= own[-1][0] + own[-1][2]:
+            own[-1] = (own[-1][0], own[-1][1], max(own[-1][2], p + n - own[-1][0]))
+        else:
+            own.append((p, q, n))
+    spans = sorted(s for own in runs.values() for s in own)
+    score, back = [s[2] for s in spans], [-1] * len(spans)
+    first = 0
+    ends = [s[0] + s[2] for s in spans]
+    longest = max((s[2] for s in spans), default=0)
+    for k, (p, q, n) in enumerate(spans):
+        while spans[first][0] + longest + GAP < p:
+            first += 1
+        for j in range(first, k):
+            a, b, m = spans[j]
+            # where spans meet the later one gives way
+            over = max(0, ends[j] - p, b + m - q)
+            if over < n and 0 <= p + over - ends[j] <= GAP and 0 <= q + over - (b + m) <= GAP and score[j] + n - over > score[k]:
+                score[k], back[k] = score[j] + n - over, j
+    used = set(back)
+    for k in range(len(spans)):
+        if k in used:
+            continue
+        chain = []
+        while k >= 0:
+            chain.append(spans[k])
+            k = back[k]
+        out: list[tuple[int, int, int]] = []
+        for p, q, n in reversed(chain):
+            over = max(0, out[-1][0] + out[-1][2] - p, out[-1][1] + out[-1][2] - q) if out else 0
+            out.append((p + over, q + over, n - over))
+        yield out
+
+
+def consistent(tokens: list[tuple[int, int, int]]) -> tuple[int, int]:
+    """The longest stretch [a, z) of (document place, item's value, document's value) in which values stand for each other one to one; 0 is a literal token."""
+    here: dict[int, tuple[int, int]] = {}
+    there: dict[int, tuple[int, int]] = {}
+    best, start = (0, 0), 0
+    for k, (_, own, its) in enumerate(tokens):
+        if own:
+            for table, key, value in ((here, own, its), (there, its, own)):
+                known = table.get(key)
+                if known and known[0] != value:
+                    start = max(start, known[1] + 1)
+            for table, key, value in ((here, own, its), (there, its, own)):
+                table[key] = (value, k)
+        if k + 1 - start > best[1] - best[0]:
+            best = start, k + 1
+    return best
+
+
+def _needed(tokens: int) -> int:
+    return min(RUN, max(LEAST, int(np.ceil(SHARE * tokens))))
+
+
+def longest_leak(tokens: int, found: list[tuple]) -> tuple[int, int, int, int] | None:
+    """(matched tokens, slots, changed slots, first document token) of the best chain of windows (p, q, n, document's slots, item's slots), None without a leak.
+
+    Of chains alike the one that starts first in the document counts.
+    """
+    value = {}
+    for p, q, n, its, own in found:
+        for j in range(n):
+            value[p + j, q + j] = own[j] or 0, its[j] or 0
+    best = None
+    for chain in chains([f[:3] for f in found]):
+        placed = [(p + j, *value[p + j, q + j]) for p, q, n in chain for j in range(n)]
+        a, z = consistent(placed)
+        if z - a >= _needed(tokens) and (best is None or (a - z, placed[a][0]) < (-best[0], best[3])):
+            slots = [x for x in placed[a:z] if x[1]]
+            best = z - a, len(slots), sum(x[1] != x[2] for x in slots), placed[a][0]
+    return best
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """(id, tie, item_id, run_tokens, item_tokens, slots, changed_slots, first_token) with the class's least item id."""
+    items = item_windows(benchmark, item_col, item_text)
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = materialise(document_windows(docs, items, id_col, text_col).distinct(), "leak-windows")
+    # a window of many documents is split by salt; Spark broadcasts the items only where they are small
+    salted = items.select("h", "item", "tokens", "q", "n", F.col("slots").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = found.withColumn("salt", F.pmod(F.xxhash64("id", "tie"), F.lit(SALTS)).cast("int"))
+    common = dealt.join(salted, ["h", "n", "salt"]).select("id", "tie", "item", "tokens", F.struct("p", "q", "n", "slots", "own").alias("w"))
+    grouped = common.groupBy("id", "tie", "item", "tokens").agg(F.collect_list("w").alias("found"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            keep, rows = [], []
+            for k, (tokens, ws) in enumerate(zip(b.column("tokens").to_pylist(), b.column("found").to_pylist(), strict=True)):
+                leak = longest_leak(tokens, [(w["p"], w["q"], w["n"], w["slots"], w["own"]) for w in ws])
+                if leak:
+                    keep.append(k)
+                    rows.append(leak)
+            if keep:
+                which = pa.array(keep)
+                run_tokens, slots, changed, first = (pa.array(c, pa.int32()) for c in zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(which) for c in ("id", "tie", "item")), run_tokens, b.column("tokens").take(which), slots, changed, first], names=["id", "tie", "item_id", "run_tokens", "item_tokens", "slots", "changed_slots", "first_token"])
+
+    item_kind = benchmark.schema[item_col].dataType.simpleString()
+    out = materialise(grouped.mapInArrow(run, f"id {kind}, tie bigint, item_id {item_kind}, run_tokens int, item_tokens int, slots int, changed_slots int, first_token int"), "leaks")
+    for done in (items, found):
+        discard(done)
+    return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """(id, item_id, run_tokens, item_tokens, slots, changed_slots, first_token, kind): one row for each item that leaked into a row of docs.
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(id, item_id, run_tokens, item_tokens, slots, changed_slots, first_token, kind): one row for each item that leaked into a document.
 
-    kind is `verbatim` or, with changed slots, `reparameterised`. Null and empty texts and items never match; items of
-    fewer than LITERAL template tokens neither. Repeated items with one text each give rows of their own. An empty
-    benchmark or corpus gives no rows. Texts are read whole, in one pass for each block of the benchmark.
+    kind is `verbatim` or, with changed slots, `reparameterised`. Null and empty texts and items never match, nor do items
+    of fewer than LEAST template tokens; windows poor in literal tokens match word for word only. Rows with one id and one
+    text are one document; items with one text each give rows of their own. Other columns, whatever their names, are left
+    out. An empty benchmark or corpus gives no rows. Of chains alike the first in the document counts. Texts are read whole.
     """
-    spark = docs.sparkSession
-    kept = spread(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")))
-    item_type = benchmark.schema[item_col].dataType.simpleString()
-    schema = f"id {kept.schema['id'].dataType.simpleString()}, item_id {item_type}, run_tokens int, item_tokens int, slots int, changed_slots int, first_token int"
-    out = None
-    for block in blocks_of(read_benchmark(benchmark, item_col)) or [Benchmark([])]:
-        cast = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], cast=cast) -> Iterator[pa.RecordBatch]:
-            find = _finder(cast.value)
-            names = ["id", "item_id", "run_tokens", "item_tokens", "slots", "changed_slots", "first_token"]
-            for b in slices(batches):
-                own, rows = [], []
-                for k, found in enumerate(find(b.column("text").to_pylist())):
-                    own += [k] * len(found)
-                    rows += found
-                if rows:
-                    columns = list(zip(*rows, strict=True))
-                    item = pa.array(columns[0])
-                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(own)), item, *(pa.array(c, pa.int32()) for c in columns[1:])], names=names)
-
-        found = kept.mapInArrow(run, schema)
-        out = found if out is None else out.union(found)
-    return out.withColumn("kind", F.when(F.col("changed_slots") > 0, "reparameterised").otherwise("verbatim")).withColumnRenamed("id", id_col)
-
-
-def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """Rows of docs, all their columns, into which no item leaked. Nothing is shuffled."""
-    out = spread(docs)
-    for block in blocks_of(read_benchmark(benchmark, item_col)):
-        cast = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], cast=cast) -> Iterator[pa.RecordBatch]:
-            find = _finder(cast.value)
-            for b in slices(batches):
-                yield b.filter(pa.array([not found for found in find([t or "" for t in b.column(text_col).to_pylist()])], pa.bool_()))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    found = _leaks(docs, benchmark, id_col, text_col, item_col, item_text)
+    texts = benchmark.select(F.col(item_col).alias("item"), F.xxhash64(item_text).alias("a"), F.xxhash64(F.lit(1), item_text).alias("b")).where(F.col(item_text).isNotNull()).distinct()
+    same = texts.join(texts.groupBy("a", "b").agg(F.min("item").alias("item_id")), ["a", "b"]).select("item_id", "item")
+    out = found.join(same, "item_id").select(F.col("id").alias(id_col), F.col("item").alias("item_id"), "run_tokens", "item_tokens", "slots", "changed_slots", "first_token")
+    return out.withColumn("kind", F.when(F.col("changed_slots") > 0, "reparameterised").otherwise("verbatim")).distinct()
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Rows of docs, all their columns, into which no item leaked."""
+    found = _leaks(docs, benchmark, id_col, text_col, item_col, item_text).select("id", "tie").distinct()
+    tie = free_name(docs, "tie")
+    own = docs.withColumn(tie, F.xxhash64(text_or_empty(text_col)))
+    hit = found.select(F.col("id").alias("hit_id"), F.col("tie").alias("hit_tie"))
+    return own.join(hit, F.col(f"`{id_col}`").eqNullSafe(F.col("hit_id")) & (F.col(tie) == F.col("hit_tie")), "left_anti").select(*[f"`{c}`" for c in docs.columns])

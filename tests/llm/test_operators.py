@@ -125,14 +125,121 @@ def test_leaks_against_plain_search(spark):
     assert got == {(i, k) for i, t in rows for k, b in enumerate(bench) if b in t}
 
 
-def test_benchmark_in_blocks(spark, monkeypatch):
-    rng = random.Random(4)
-    bench = [words(rng, 30) for _ in range(12)]
-    docs = spark.createDataFrame([(i, words(rng, 9) + " " + b) for i, b in enumerate(bench)], "doc_id bigint, text string")
-    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 90)
-    assert len(decontam.blocks_of(list(enumerate(bench)))) == 4
-    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items(spark, *bench)).collect()} == {(i, i) for i in range(12)}
-    assert decontam.clean_rows(docs, items(spark, *bench)).count() == 0
+def leaked(spark, texts, bench):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {(r.doc_id, r.item_id): (r.kind, r.changed_slots) for r in decontam.leaks(df, items(spark, *bench)).collect()}
+
+
+def test_changed_names_that_open_short_sentences(spark):
+    anna = "Anna has 5 apples. Anna gives 2 to Bert. Then Bert eats 1 of them. How many do Anna and Bert have?"
+    other = "Mary Ann has 8 apples. Mary Ann gives 3 to Carlos. Then Carlos eats 2 of them. How many do Mary Ann and Carlos have?"
+    merged = other.replace("Carlos", "Mary Ann")
+    got = leaked(spark, ["Quiz: " + other + " Think.", "so " + anna, "Quiz: " + merged], [anna])
+    assert got[0, 0][0] == "reparameterised" and got[1, 0] == ("verbatim", 0) and (2, 0) not in got
+
+
+def test_changed_arithmetic(spark):
+    bench = ["Compute 12 + 7 * 3 - 5 / 2 + 9 - 4 = ?", "Evaluate 12*35+4/7-2*8=?", "3 5 7 9 11 13 15 17 19 21 23 25 27 29", "How far is 5 km plus 300 m and then 2 km more for Anna on day 3?"]
+    texts = [
+        "Now compute 90 + 8 * 2 - 11 / 6 + 1 - 3 = ?", "please evaluate 1 * 2 + 3 / 4 - 5 * 6 =?", "evaluate 1*2+3/4-5*6=?", "list: 3 5 7 9 11 13 15 17 19 21 23 25 27 29 and on", "list: 4 6 8 10 12 14 16 18 20 22 24 26 28 30 and on",
+        "how far is 7km plus 450 m and then 9 km more for Carla on day 8?", "compute nothing of that sort here",
+    ]
+    got = leaked(spark, texts, bench)
+    assert set(got) == {(0, 0), (1, 1), (2, 1), (3, 2), (5, 3)} and got[3, 2] == ("verbatim", 0) and got[0, 0][1] > 0
+
+
+def test_a_changed_word_does_not_break_a_leak(spark):
+    rng = random.Random(5)
+    item = words(rng, 30).lower().split(" ")
+    edited = item[:12] + ["inserted", "words"] + item[13:]
+    got = leaked(spark, [" ".join(edited), " ".join(item[:12] + [f"w{i}" for i in range(9)] + item[12:20])], [" ".join(item)])
+    assert set(got) == {(0, 0)}
+
+
+def plain_leak(t, u):
+    """Longest consistent chain of (kind, word) tokens t and u by trying every chain of common runs."""
+    n = min(decontam.WINDOW, len(u))
+    if n < decontam.LEAST:
+        return 0
+    key = lambda w: tuple(x[1] for x in w) if sum(not x[0] for x in w) < min(decontam.LITERAL, n) else tuple(x[0] or x[1] for x in w)
+    rich = lambda w: sum(not x[0] for x in w) >= min(decontam.LITERAL, n)
+    hits = {(p, q) for p in range(len(t) - n + 1) for q in range(len(u) - n + 1) if rich(t[p : p + n]) == rich(u[q : q + n]) and key(t[p : p + n]) == key(u[q : q + n])}
+    covered = collections.defaultdict(set)
+    for p, q in hits:
+        covered[p - q] |= set(range(p, p + n))
+    best = 0
+
+    def stretch(places):
+        return max((z - a for a in range(len(places)) for z in range(a + 1, len(places) + 1) if one_to_one(places[a:z])), default=0)
+
+    def one_to_one(places):
+        pairs = {(u[q], t[p]) for p, q in places if u[q][0]}
+        return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+
+    for shift, ps in covered.items():
+        run = []
+        for p in sorted(ps):
+            if run and p != run[-1][0] + 1:
+                run = []
+            run.append((p, p - shift))
+            best = max(best, stretch(run))
+    return best
+
+
+def test_runs_against_plain_search():
+    """Without gaps to chain over, the longest stretch is that of the plain search."""
+    rng = random.Random(7)
+    sample = ["5", "6", "7", "Anna", "Bert", "walks", "home", "with", "a", "dog", "+", "3km"]
+    known = decontam.Templates()
+
+    def tokens(text):
+        t, v = known.template(known.numbers(text))
+        return t, v
+
+    checked = 0
+    for _ in range(250):
+        item = " , ".join(rng.choice(sample) for _ in range(rng.randint(3, 18)))
+        near = [w if rng.random() < 0.9 else rng.choice(sample) for w in item.split(" , ")]
+        doc = " , ".join([rng.choice(sample) for _ in range(rng.randint(0, 6))] + near + [rng.choice(sample) for _ in range(rng.randint(0, 6))])
+        (t, v), (u, w) = tokens(doc), tokens(item)
+        n = min(decontam.WINDOW, len(u))
+        if n < decontam.LEAST:
+            continue
+        a, b = decontam.windows(t, v, n), decontam.windows(u, w, n)
+        its, own = decontam._slots(t, v, np.arange(len(a)), n), decontam._slots(u, w, np.arange(len(b)), n)
+        found = [(p, q, n, its[p].tolist(), own[q].tolist()) for p in range(len(a)) for q in range(len(b)) if a[p] == b[q]]
+        alone = [f for f in found if len({(g[0] - g[1]) for g in found}) == 1]
+        kinds = lambda t, v: [(int(k) if k <= decontam.QUANTITY else 0, int(x) & ~3 if k <= decontam.QUANTITY else int(k)) for k, x in zip(t, v, strict=True)]
+        want = plain_leak(kinds(t, v), kinds(u, w))
+        if len(alone) != len(found) or len(list(decontam.chains([f[:3] for f in found]))) > 1:
+            continue
+        one = list(decontam.chains([f[:3] for f in found]))
+        if one and len(one[0]) > 1:
+            continue
+        got = decontam.longest_leak(len(u), found)
+        assert (got[0] if got else 0) == (want if want >= decontam._needed(len(u)) else 0)
+        checked += 1
+    assert checked > 60
+
+
+def test_leaks_of_awkward_rows(spark, docs, none):
+    passage = next(t for i, t, *_ in awkward() if i == 8).split("\n")[0]
+    bench = spark.createDataFrame([(1, passage, "x"), (2, passage, "x"), (1, passage, "x"), (3, None, "x"), (4, "", "x"), (None, "a text that stands nowhere at all in any of these rows", "x"), (5, words(random.Random(77), 9000), "x")], "item_id bigint, text string, id string")
+    got = decontam.leaks(docs, bench)
+    assert sorted((r.doc_id, r.item_id, r.kind) for r in got.collect()) == [(7, 1, "verbatim"), (7, 2, "verbatim"), (8, 1, "verbatim"), (8, 2, "verbatim")]
+    clean = decontam.clean_rows(docs, bench)
+    assert clean.columns == docs.columns
+    left = collections.Counter(tuple(r) for r in clean.collect())
+    assert left == collections.Counter(r for r in awkward() if r[0] not in (7, 8))
+    assert decontam.leaks(none, bench).count() == 0 and decontam.clean_rows(docs, bench.where("false")).count() == len(awkward())
+
+
+def test_a_window_of_many_documents(spark):
+    """Every document holds the item; nothing is capped."""
+    item = words(random.Random(15), 25)
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(f"{item} "), F.col("id").cast("string")).alias("text"))
+    assert decontam.leaks(df, items(spark, item, item)).count() == 6000
+    assert decontam.clean_rows(df, items(spark, item)).count() == 0
 
 
 # 3: sharding
