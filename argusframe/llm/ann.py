@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, spread
+from .common import materialise, slices, spread, trim
 
 #: Bound of the sample that the index is fitted on, neighbours in its graph, and the share of true neighbours asked for there.
 SAMPLE, GRAPH, WANTED = 8192, 10, 0.955
-#: Rows that a partition should hold, partitions at most, and rows and queries that meet in one unit of work.
-PER_PART, MOST_PARTS, ROWS, QUERIES = 2000, 256, 20_000, 4_000
+#: Rows of the sample behind each partition, partitions at least, and rows of the table that a partition should hold: their number
+#: follows the table until the sample can carry no more. Rows that are ranked together as one block.
+PER_SEED, LEAST_PARTS, PER_PART, BLOCK_ROWS = 16, 6, 2000, 20_000
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
@@ -126,8 +127,8 @@ def learn_router(x: np.ndarray, target: np.ndarray, rng: np.random.Generator, hi
 def fit(x: np.ndarray, rows: int, k: int, seed: int = 11) -> Router:
     """Partitions and router from a sample; rows is the size of the whole table, which sets the number of partitions."""
     rng = np.random.default_rng(seed)
-    m = int(min(MOST_PARTS, max(1, rows // PER_PART), max(1, len(x) // 16)))
-    if m == 1:
+    m = int(max(1, min(len(x) // PER_SEED, max(LEAST_PARTS, rows // PER_PART))))
+    if len(x) < 3:  # no graph to cut
         return Router(np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
     near = neighbours(x, min(GRAPH, len(x) - 1))
     part = balanced_parts(x, near, m, rng)
@@ -167,16 +168,25 @@ def _matrix(column, d: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, d)
 
 
+def _finite(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    raw = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    return raw.where("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)")
+
+
 def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, a row whose id is divisible by `every`.
 
-    Every row but the query's own id is a candidate. Null, zero and non-finite vectors, null ids, and vectors whose
-    length is not the commonest take no part. An empty table gives no rows. The largest table of counts that reaches
-    the driver has a row for each partition, MOST_PARTS at most.
+    Every row but the query's own id is a candidate. Null, zero and non-finite vectors, null ids, and vectors whose length is
+    not the commonest (the shorter on a tie) take no part. Of rows with one id and one vector one counts; an id with several
+    vectors asks with each, and is found by its nearest to any of them. Ties go to the smaller id. Other columns are left
+    out, whatever their names. An empty table gives no rows.
+
+    What reaches the driver is the sample and a count for each partition, SAMPLE / PER_SEED at most. A partition's rows are
+    cut into blocks of BLOCK_ROWS; a query goes to every block of its partitions, a row to its one block, and a task holds one
+    block while queries stream past it.
     """
     spark = vectors.sparkSession
-    raw = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    fine = raw.where("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)")
+    fine = _finite(vectors, id_col, vec_col)
     sizes = fine.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if sizes is None:
@@ -188,7 +198,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     cast = spark.sparkContext.broadcast(fit(x, rows, k))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2000):
             if not b.num_rows:
                 continue
             v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
@@ -203,23 +213,67 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     held = F.create_map(*[F.lit(y) for kv in sorted(counts.items()) for y in kv])
     start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("met"))
     more = F.aggregate("ranked", start, lambda a, p: F.when(a["met"] >= 2 * k + 2, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["met"] + F.coalesce(F.try_element_at(held, p), F.lit(0))).alias("met"))))["n"]
-    asked = index.where(is_query).select("id", "v", F.explode(F.slice("ranked", 1, F.greatest(F.lit(cast.value.probes), more))).alias("part"))
-    asked = materialise(asked, "ann-queries")
-    q_counts = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect()}
-    blocks = lambda have, per: F.coalesce(F.try_element_at(F.create_map(*[F.lit(y) for p in sorted({*counts, *q_counts}) for y in (p, max(1, -(-have.get(p, 0) // per)))]), F.col("part")), F.lit(1))
-    row_blocks, query_blocks = blocks(counts, ROWS), blocks(q_counts, QUERIES)
-    left = index.select("part", F.pmod(F.xxhash64("id"), row_blocks).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), query_blocks - 1)).alias("qb"), F.lit(False).alias("query"), "id", "v")
-    right = asked.select("part", F.explode(F.sequence(F.lit(0), row_blocks - 1)).alias("rb"), F.pmod(F.xxhash64("id"), query_blocks).cast("int").alias("qb"), F.lit(True).alias("query"), "id", "v")
-
-    def rank(rows: pa.Table) -> pa.Table:
-        of = rows.column("query").to_numpy()
-        ids = rows.column("id").to_numpy()
-        v = _matrix(rows.column("v"), d)
-        q, q_ids, x, x_ids = v[of], ids[of], v[~of], ids[~of]
-        found = [(np.full(len(i), q_ids[r]), i, s) for r, i, s in best(q, q_ids, x, x_ids, k)] if len(q) and len(x) else []
-        out = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, out), strict=True)))
-
-    met = left.unionByName(right).groupBy("part", "rb", "qb").applyInArrow(rank, "query_id bigint, vec_id bigint, score double")
+    blocks = {p: -(-n // BLOCK_ROWS) for p, n in sorted(counts.items())}
+    block_of = F.coalesce(F.try_element_at(F.create_map(*[F.lit(y) for kv in blocks.items() for y in kv]), F.col("part")), F.lit(0))
+    left = index.select("part", F.pmod(F.xxhash64("id", "v"), block_of).cast("int").alias("block"), F.lit(False).alias("query"), "id", "v")
+    asked = index.where(is_query).select("id", "v", F.explode(F.slice("ranked", 1, F.greatest(F.lit(cast.value.probes), more))).alias("part")).distinct()
+    right = asked.where(block_of > 0).select("part", F.explode(F.sequence(F.lit(0), block_of - 1)).alias("block"), F.lit(True).alias("query"), "id", "v")
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, some, ids = None, [], None  # the block at hand: vectors as they come, then as a matrix
+        for b in batches:
+            part, block, query = (b.column(c).to_numpy(zero_copy_only=False) for c in ("part", "block", "query"))
+            cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(block) != 0) | (np.diff(query.astype(np.int8)) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                if own != (part[lo], block[lo]):
+                    own, some, ids = (part[lo], block[lo]), [], None
+                rows = b.slice(lo, hi - lo)
+                if not query[lo]:
+                    some.append((rows.column("id").to_numpy(), _matrix(rows.column("v"), d)))
+                    continue
+                if ids is None and not some:  # no row fell into this block
+                    continue
+                if ids is None:
+                    ids, x = (np.concatenate(c) for c in zip(*some, strict=True))
+                    some = []
+                for at in range(0, len(rows), 1000):
+                    piece = rows.slice(at, 1000)
+                    q_ids = piece.column("id").to_numpy()
+                    found = [(np.full(len(i), q_ids[r]), i, s) for r, i, s in best(_matrix(piece.column("v"), d), q_ids, x, ids, k)]
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
+        trim()
+
+    units = sum(blocks.values())
+    # rows of a block come before its queries
+    met = left.unionByName(right).repartition(max(units, spark.sparkContext.defaultParallelism), "part", "block").sortWithinPartitions("part", "block", "query").mapInArrow(rank, "query_id bigint, vec_id bigint, score double")
+    once = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return once.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def recall(vectors: DataFrame, found: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", queries: int = 256) -> float:
+    """The share of true neighbours among found, by brute force over every row for the first so many queries by hash of their id.
+
+    The queries are broadcast; each partition of rows keeps its k best for each query.
+    """
+    fine = _finite(vectors, id_col, vec_col)
+    asked = found.select("query_id").distinct().orderBy(F.xxhash64("query_id")).limit(queries)
+    held = [(r["id"], r["v"]) for r in fine.join(F.broadcast(asked), F.col("id") == F.col("query_id"), "left_semi").collect()]
+    d = max({len(v) for _, v in held}, key=lambda n: sum(len(v) == n for _, v in held))
+    q_ids, q = np.array([i for i, v in held if len(v) == d], np.int64), np.array([v for _, v in held if len(v) == d])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 5000):
+            if b.num_rows:
+                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                rows = [(np.full(len(i), q_ids[r]), i, s) for r, i, s in best(q, q_ids, x, b.column("id").to_numpy(), k)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["query_id", "vec_id", "score"])
+
+    met = fine.where(F.size("v") == d).mapInArrow(rank, "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    true = met.select("query_id", "vec_id", F.row_number().over(w).alias("place")).where(F.col("place") <= k)
+    both = true.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left").agg(F.count("hit"), F.count("*")).first()
+    return both[0] / max(both[1], 1)

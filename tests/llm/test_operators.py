@@ -432,33 +432,64 @@ def test_discriminant_against_plain_densities():
 # 5: nearest neighbours
 
 
-def test_nearest(spark, monkeypatch):
+def plain_nearest(rows, every, k):
+    want = {}
+    for q, v in rows:
+        if q % every == 0:
+            s = {}
+            for i, x in rows:
+                if i != q:
+                    s[i] = max(s.get(i, -np.inf), float((np.array(v) * np.array(x)).sum()))
+            want[q] = sorted(s, key=lambda i: (-s[i], i))[:k]
+    return want
+
+
+@pytest.mark.parametrize("block", [40, 20_000])
+def test_nearest(spark, monkeypatch, block):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(900, 16)) + 3 * rng.normal(size=(6, 16))[rng.integers(0, 6, 900)]
     x[7] = x[11]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [1.0, None] * 8), (None, [1.0] * 16), (2080, [1.0] * 3)]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    monkeypatch.setattr(ann, "PER_PART", 100)
-    monkeypatch.setattr(ann, "ROWS", 40)
-    monkeypatch.setattr(ann, "QUERIES", 10)
-    got = ann.search(df, 20, 20).collect()
-    want = {}
-    for q in range(0, 900, 20):
-        s = (x[q] * x).sum(1)
-        s[q] = -np.inf
-        want[q] = np.lexsort((np.arange(900), -s))[:20].tolist()
+    own = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows = own + [own[3], own[20]] + [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [1.0, None] * 8), (None, [1.0] * 16), (2080, [1.0] * 3), (2100, [])]
+    df = spark.createDataFrame([(*r, 1, "x", 0.5) for r in rows], "vec_id bigint, embedding array<double>, id int, part string, score double")
+    monkeypatch.setattr(ann, "BLOCK_ROWS", block)
+    found = ann.search(df, 20, 20)
+    got, want = found.collect(), plain_nearest(own, 20, 20)
     by = collections.defaultdict(dict)
     for r in got:
         by[r.query_id][r.rank] = (r.vec_id, r.score)
         assert np.isclose(r.score, (x[r.query_id] * x[r.vec_id]).sum(), atol=1e-12)
-    assert set(by) == set(want) and all(sorted(v) == list(range(1, 21)) for v in by.values())
-    assert np.mean([len({a for a, _ in by[q].values()} & set(want[q])) / 20 for q in want]) >= 0.9
+    assert set(by) == set(want) and all(sorted(v) == list(range(1, 21)) and len({a for a, _ in v.values()}) == 20 for v in by.values())
+    share = np.mean([len({a for a, _ in by[q].values()} & set(want[q])) / 20 for q in want])
+    assert share >= 0.9 and ann.recall(df, found) == pytest.approx(share)
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_recall_on_shipped_tables(spark, sf):
+    """With the constants as they are; the router sends queries to some partitions, not to all."""
+    df = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
+    assert ann.recall(df, ann.search(df)) >= 0.9
+
+
+def test_partitions_follow_the_table():
+    x = np.random.default_rng(1).normal(size=(400, 8))
+    assert ann.fit(x, 400, 5).w2.shape[1] == ann.LEAST_PARTS and ann.fit(x, 40_000, 5).w2.shape[1] == 20 and ann.fit(x, 10**9, 5).w2.shape[1] == 25
+
+
+def test_nearest_of_ties(spark, monkeypatch):
+    """All vectors alike, over several blocks: the smallest ids."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 30)
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(200)], "vec_id bigint, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.search(df, 50, 20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == {0, 50, 100, 150} and all(len(v) == 20 and v == sorted(v) for v in got.values())
 
 
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(5)], "vec_id bigint, embedding array<double>")
     assert [(r.rank, r.vec_id) for r in ann.search(df).orderBy("rank").collect()] == [(1, 1), (2, 2), (3, 3), (4, 4)]
-    assert ann.search(df.where("false")).count() == 0
+    assert ann.search(df.where("false")).count() == 0 and ann.search(df.limit(1)).count() == 0
 
 
 # 6: line dedup
