@@ -762,8 +762,8 @@ def byte_rows(n=40):
     return rows + [(n, None), (n + 1, ""), (n + 2, "z" * 500), (n + 3, "ab" * 260), (n + 4, "z" * 101), (n + 5, words(rng, 9000)), (n + 6, "é" * 200), (n + 7, "é" * 75)]
 
 
-def dedup_rows(spark, rows):
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+def dedup_rows(spark, rows, kind="bigint"):
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string")
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixdedup.dedup(df.repartition(5)).collect()}
 
 
@@ -772,12 +772,39 @@ def test_bytes(spark, none):
     assert suffixdedup.dedup(none).count() == 0
 
 
-def test_bytes_of_hot_tokens(spark, monkeypatch):
-    monkeypatch.setattr(suffixdedup, "PER_BUCKET", 3)
-    monkeypatch.setattr(suffixdedup, "PER_PARTITION", 40)
+@pytest.mark.parametrize("chunk,per", [(3, 40), (50, 15)])
+def test_bytes_of_hot_tokens(spark, monkeypatch, chunk, per):
+    """Tokens over the ends of chunks and ranges."""
+    monkeypatch.setattr(suffixdedup, "CHUNK", chunk)
+    monkeypatch.setattr(suffixdedup, "PER_PARTITION", per)
     assert dedup_rows(spark, byte_rows(25)) == plain_byte_dedup(byte_rows(25))
 
 
+def test_bytes_of_text_ids(spark):
+    rows = [(f"{i:03d}" if i % 7 else f"{i:03d}é", t) for i, t in byte_rows(12)]
+    assert dedup_rows(spark, rows, "string") == plain_byte_dedup(sorted(rows))
+
+
+def test_ranges_of_suffixes():
+    """As Python's order of tuples has it."""
+    rng = np.random.default_rng(3)
+    rows = [tuple(int(x) for x in rng.integers(-2, 3, 6)) for _ in range(400)]
+    keys = sorted({tuple(int(x) for x in rng.integers(-2, 3, 6)) for _ in range(60)})
+    import pyarrow as pa
+
+    t = pa.table({c: pa.array([r[k] for r in rows]) for k, c in enumerate(suffixdedup._KEYS)})
+    import bisect
+
+    assert suffixdedup.ranges_of(t, keys).tolist() == [bisect.bisect_right(keys, r) for r in rows]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 300])
+def test_multikey_quicksort(n):
+    words_ = np.random.default_rng(n).integers(0, 3, (n, 5), dtype=np.uint64)
+    got = suffixdedup.multikey_quicksort(words_)
+    assert sorted(got.tolist()) == list(range(n)) and words_[got].tolist() == sorted(words_.tolist())
+
+
 def test_bytes_of_repeated_rows(docs):
     got = suffixdedup.dedup(docs).collect()
     assert len(got) == len(awkward())
