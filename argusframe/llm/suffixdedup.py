@@ -178,7 +178,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
 
     def out(rows: pa.Table, kind: np.ndarray) -> pa.RecordBatch:
-        rows = rows.select(["lead", "token", "around", "doc", "tie", "at"])
+        # who is wholly repeated is known by its place alone
+        kept = {c: pa.nulls(rows.num_rows, pa.int64()) if not kind.any() and c in ("lead", "token", "around") else rows[c] for c in _KEYS}
+        rows = pa.table(kept)
         return rows.append_column("kind", pa.array(kind.astype(np.int32))).append_column("part", pa.array(np.full(rows.num_rows, part, np.int32))).combine_chunks().to_batches()
 
     held: pa.Table | None = None  # firsts of the token at hand
