@@ -167,23 +167,44 @@ def components(docs: DataFrame, width: int = 3, budget: int = 2, id_col: str = "
 #: At exactly 0.8 about 15 % of bits differ, so a table links such a pair with probability 0.13 and one of 24 does
 #: with 0.96; at 0.85 that is 0.998. Unrelated pairs meet with probability 1e-8 a table and fail the exact check.
 TABLES, TABLE_BITS, TABLE_BUDGET = 24, 40, 3
-#: Of all the tables' bits, those that may differ for a candidate pair to be worth an exact check.
-MOST_DIFFERENT = 0.23
+#: Of all the tables' bits, those that may differ for a candidate pair to be worth an exact check: at 0.8 they differ by 0.15 for long
+#: texts and 0.19 for short ones, with a deviation of 0.013, so that no such pair is lost.
+MOST_DIFFERENT = 0.27
+#: Texts of so many distinct shingles at most also meet exactly, by their rarest shingles.
+FEW = 31
 
 
 def _long_fingerprints(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, long array<bigint>): TABLES x TABLE_BITS bits over the distinct shingles of each text."""
+    """(id, long array<bigint>, few array<bigint>): TABLES x TABLE_BITS bits over the distinct shingles of each text; the shingles themselves if they are FEW."""
     words = TABLES * TABLE_BITS // 64
     kept = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = [majority(more_hashes(np.unique(shingle_hashes(t, width)), words)) for t in b.column("text").to_pylist()]
+            found, few = [], []
+            for t in b.column("text").to_pylist():
+                h = np.unique(shingle_hashes(t, width))
+                found.append(majority(more_hashes(h, words)))
+                few.append(h.view(np.int64) if 0 < len(h) <= FEW else None)
             flat = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
             ends = np.arange(0, len(flat) + 1, words, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "long"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(few, pa.list_(pa.int64()))], names=["id", "long", "few"])
 
-    return spread(kept).mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, long array<bigint>")
+    return spread(kept).mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, long array<bigint>, few array<bigint>")
+
+
+def _rare_shingles(classes: DataFrame, similarity: float) -> DataFrame:
+    """(class, t, v): of a text of few shingles the rarest, so many that two texts of that similarity share one of theirs. t is TABLES, a table of equal values only.
+
+    Of n shingles a text shares similarity * n at least with any that is so alike, so one of the n - ceil(similarity * n) + 1
+    first in whatever order; the rarest first, for those are in few texts.
+    """
+    every = classes.where("few IS NOT NULL").select("class", F.size("few").alias("n"), F.explode("few").alias("v"))
+    counts = every.groupBy("v").agg(F.count("*").alias("texts"))
+    known = every.join(counts, "v").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "v"))).alias("all"))
+    # rounded so that 0.8 * 5 is no more than 4
+    first = F.slice("all", 1, (F.col("n") - F.ceil(F.round(F.lit(similarity) * F.col("n"), 9)) + 1).cast("int"))
+    return known.select("class", F.explode(first).alias("x")).where("x.texts > 1").select("class", F.lit(TABLES).alias("t"), F.col("x.v").alias("v"))
 
 
 def _table_values(classes: DataFrame) -> DataFrame:
@@ -204,8 +225,8 @@ def _table_values(classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id): ids of docs in groups linked by a Jaccard similarity of distinct shingles of `similarity` or more.
 
-    Candidates come from the trie self-join over several short fingerprints, and every one is checked exactly on whole
-    texts. Documents with the same long fingerprint are one class from the start: copies never make pairs. Texts
+    Candidates come from the trie self-join over several short fingerprints, and for texts of few shingles from the rarest of
+    these, exactly; every one is checked on whole texts. Documents with the same long fingerprint are one class from the start: copies never make pairs. Texts
     without words are copies of each other. First each class meets the smallest of those it shares a short fingerprint
     with; then all links of the join and all pairs with one short fingerprint are checked, except inside a group that
     verified pairs already join. So a large group that is alike makes few pairs, while one that is linked but fails the
@@ -213,8 +234,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     """
     own = docs.where(F.col(id_col).isNotNull())
     longs = materialise(_long_fingerprints(own, width, id_col, text_col), "near-docs")
-    classes = materialise(longs.groupBy("long").agg(F.min("id").alias("class")), "near-classes")
-    placed = materialise(_table_values(classes), "near-placed")
+    classes = materialise(longs.groupBy("long").agg(F.min("id").alias("class"), F.first("few").alias("few")), "near-classes")
+    placed = materialise(_table_values(classes).unionByName(_rare_shingles(classes, similarity)), "near-placed")
     kind = docs.schema[id_col].dataType.simpleString()
     # a class's long fingerprint tells unrelated pairs apart before any text moves
     x, y = classes.select(F.col("class").alias("src"), F.col("long").alias("x")), classes.select(F.col("class").alias("dst"), F.col("long").alias("y"))
@@ -229,6 +250,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
                 good.append(common >= similarity * (len(p) + len(q) - common))
             yield b.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
+    made: list[DataFrame] = []
+
     def verified(found: DataFrame) -> DataFrame:
         pairs = found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
         pairs = materialise(pairs.join(x, "src").join(y, "dst").where(apart <= int(MOST_DIFFERENT * TABLES * TABLE_BITS)).select("src", "dst"), "near-pairs")
@@ -236,26 +259,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
         texts = materialise(texts, "near-texts")
         both = pairs.join(texts.withColumnRenamed("id", "src").withColumnRenamed("text", "x"), "src").join(texts.withColumnRenamed("id", "dst").withColumnRenamed("text", "y"), "dst")
         out = materialise(both.select("src", "dst", "x", "y").mapInArrow(check, f"src {kind}, dst {kind}"), "near-links")
-        discard(texts)
+        made.extend([pairs, texts])
         return out
 
     shared = materialise(placed.groupBy("t", "v").agg(F.min("class").alias("rep"), F.count("*").alias("n")).where("n > 1").select("t", "v", "rep"), "near-shared")
     stars = verified(placed.join(shared, ["t", "v"]).where("class <> rep").select(F.col("rep").alias("src"), F.col("class").alias("dst")))
     groups = materialise(connected_components(stars).select(F.col("node").alias("class"), F.xxhash64("component").alias("g")), "near-groups")
-    placed = placed.join(groups, "class", "left")
+    first, placed = placed, placed.join(groups, "class", "left")
     # the group of a value is that of all its classes, or none
     values = materialise(placed.groupBy("t", "v").agg(F.when(F.count("g") == F.count("*"), F.when(F.min("g") == F.max("g"), F.min("g"))).alias("g")), "near-values")
-    links = materialise(open_links(values, TABLE_BITS, TABLE_BUDGET), "near-open")
+    links = materialise(open_links(values.where(F.col("t") < TABLES), TABLE_BITS, TABLE_BUDGET), "near-open")
     a = placed.select("t", "v", F.col("class").alias("src"), F.col("g").alias("gx"))
     b = placed.select("t", F.col("v").alias("w"), F.col("class").alias("dst"), F.col("g").alias("gy"))
     other = F.col("gx").isNull() | F.col("gy").isNull() | (F.col("gx") != F.col("gy"))
     far = links.join(a, ["t", "v"]).join(b, ["t", "w"]).where(other).select("src", "dst")
     mixed = shared.join(values.where("g IS NULL"), ["t", "v"], "left_semi").select("t", "v")
     same = mixed.join(a, ["t", "v"]).join(b.withColumnRenamed("w", "v"), ["t", "v"]).where(other & (F.col("src") < F.col("dst"))).select("src", "dst")
-    checked = stars.union(verified(far.union(same)))
-    groups = connected_components(checked).withColumnRenamed("node", "class")
-    labels = classes.join(groups, "class", "left").select("long", F.coalesce("component", "class").alias("component_id"))
-    return longs.join(labels, "long").select(F.col("id").alias(id_col), "component_id")
+    rest = verified(far.union(same))
+    joined = connected_components(stars.union(rest)).withColumnRenamed("node", "class")
+    labels = classes.join(joined, "class", "left").select("long", F.coalesce("component", "class").alias("component_id"))
+    out = materialise(longs.join(labels, "long").select(F.col("id").alias(id_col), "component_id"), "near-labels")
+    for done in (longs, classes, first, shared, stars, groups, values, links, rest, *made):
+        discard(done)
+    return out
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Pairs of nodes in hand at once, and pairs of values small enough to compare one by one.
-FRONTIER, LEAF = 1 << 19, 6
+FRONTIER, LEAF = 1 << 17, 6
 
 
 def _pairs_of(alo, ahi, blo, bhi):

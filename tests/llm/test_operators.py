@@ -721,6 +721,37 @@ def test_near_duplicates(spark, docs, none):
     assert simhash.one_of_each(none).count() == 0
 
 
+def plain_similarity(a, b, width=5):
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_duplicates_of_few_words(spark):
+    """Exactly, against every pair: texts of one word to thirty, with a word added, dropped or changed at any place."""
+    rng = random.Random(41)
+    texts = []
+    for n in [1, 2, 5, 6, 7, *range(8, 34)]:
+        base = words(rng, n).lower().split(" ")
+        texts.append(" ".join(base))
+        for _ in range(3):
+            w = list(base)
+            k = rng.choice([0, len(w) - 1, rng.randrange(len(w))])
+            how = rng.randrange(3)
+            w[k : k + (how > 0)] = [] if how == 2 else [f"new{rng.randint(0, 99)}"]
+            texts.append(" ".join(w) or "none")
+        texts.append("shared words that many texts begin with " + words(rng, 3))
+    label = list(range(len(texts)))
+    near = [(i, j) for i in label for j in range(i) if plain_similarity(texts[i], texts[j]) >= 0.8]
+    for _ in label:
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == dict(enumerate(label)) and len(near) > 15
+
+
 def test_near_pairs_in_a_large_group(spark):
     """Any two texts share at most two of their twelve changed places: 0.73 to 0.76 alike, which fails the check. Planted pairs are 0.87 alike."""
     base = words(random.Random(31), 789).split(" ")
