@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 
 #: Bytes of an Arrow batch.
-ARROW_BATCH = "16m"
+ARROW_BATCH = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

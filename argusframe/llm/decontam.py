@@ -92,20 +92,20 @@ class Templates(dict):
     """Numbers the words it has met; template() turns word numbers into typed tokens."""
 
     def __init__(self):
-        self.described: list[tuple[int, int, int]] = []
+        self.new: list[tuple[int, int, int]] = []
         self._held = np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, np.uint64)
 
     def __missing__(self, word: str) -> int:
-        out = self[word] = len(self.described)
-        self.described.append(_describe(word))
+        out = self[word] = len(self)
+        self.new.append(_describe(word))
         return out
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes, flags and values of the words met so far, without converting those of earlier calls again."""
-        n = len(self._held[0])
-        if n < len(self.described):
-            new = zip(*self.described[n:], strict=True)
+        """Codes, flags and values of the words met so far; those of earlier calls are arrays already."""
+        if self.new:
+            new = zip(*self.new, strict=True)
             self._held = tuple(np.concatenate([old, np.array(x, old.dtype)]) for old, x in zip(self._held, new, strict=True))
+            self.new.clear()
         return self._held
 
     def numbers(self, text: str) -> np.ndarray:
@@ -233,7 +233,7 @@ def document_windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, lengths = packed.value
-        held = np.unpackbits(raw).view(bool)
+        set_ = lambda bit: (raw[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
         for b in slices(batches):
             texts = b.column("text").to_pylist()
             own, p, n, h, slots = [], [], [], [], []
@@ -242,8 +242,8 @@ def document_windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: s
                 for width in lengths:
                     found = windows(t, v, width)
                     one, two = _bits(found)
-                    at = np.flatnonzero(held[one])
-                    at = at[held[two[at]]]
+                    at = np.flatnonzero(set_(one))
+                    at = at[set_(two[at]) > 0]
                     if len(at):
                         own += [k] * len(at)
                         p.append(at)
