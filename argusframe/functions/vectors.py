@@ -32,12 +32,15 @@ def centred(a: Column, floor: float = 1e-8) -> Column:
     return F.transform(c, lambda x: x / n)
 
 
-def correlation(a: Column, b: Column) -> Column:
-    """Pearson's, 0 where a side is constant."""
-    return dot(centred(a), centred(b))
+def correlation(a: Column, b: Column, floor: float = 1e-8) -> Column:
+    """Pearson's, 0 where a side is constant. By sums over each array once: what a lambda refers to is worked out for every element."""
+    n = F.size(a)
+    spread = lambda x: F.sqrt(F.greatest(dot(x, x) - _sum(x) * _sum(x) / n, F.lit(0.0)))
+    left, right = spread(a), spread(b)
+    return F.when((left <= floor) | (right <= floor), 0.0).otherwise((dot(a, b) - _sum(a) * _sum(b) / n) / (left * right))
 
 
-def difference_hash(a: Column, rows: int = 7, width: int = 9) -> Column:
+def difference_hash(a: Column, rows: int = 8, width: int = 9) -> Column:
     """Bits of left < right in a row-major grid of rows x width values, first comparison in the highest bit."""
     pairs = F.array(*[F.when(F.get(a, r * width + c) < F.get(a, r * width + c + 1), 1).otherwise(0).cast("bigint") for r in range(rows) for c in range(width - 1)])
     return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda h, b: F.shiftleft(h, 1).bitwiseOR(b))

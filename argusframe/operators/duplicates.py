@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import correlation, hamming, mean_absolute_error
 
-#: Bits of a perceptual hash, and bands it is cut into for a search within fewer bits than bands.
-HASH_BITS = 64
+#: Bits of a perceptual hash, those up to which a search goes by equal bands, and hashes that a block should hold.
+HASH_BITS, BANDED, PER_BLOCK = 64, 5, 4096
 
 
 def cross_split(rows: DataFrame, key: str, split: str = "split", name: str = "image") -> DataFrame:
@@ -26,15 +29,47 @@ def _banded(rows: DataFrame, hash_col: str, most: int) -> DataFrame:
     return rows.select("*", F.explode(F.array(*cell)).alias("_c")).select("*", "_c._band", "_c._bits").drop("_c")
 
 
-def within(a: DataFrame, b: DataFrame, most: int, name: str = "vec_id", hash_col: str = "dhash") -> DataFrame:
-    """(x, y, h): pairs of a and b whose hashes differ in at most `most` bits, exactly, by equal bands.
+def _met(rows: pa.Table, most: int) -> pa.Table:
+    """Of a unit's two sides every pair within `most` bits, a slab of the first side at a time."""
+    side, name, value = rows.column("side").to_numpy(), rows.column("name"), rows.column("hash").to_numpy().view(np.uint64)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    found = [(np.empty(0, np.int64),) * 3]
+    for at in range(0, len(left), 256):
+        some = left[at : at + 256]
+        h = np.bitwise_count(value[some][:, None] ^ value[right][None])
+        i, j = np.nonzero(h <= most)
+        found.append((some[i], right[j], h[i, j].astype(np.int64)))
+    i, j, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.table({"x": name.take(pa.array(i)), "y": name.take(pa.array(j)), "h": pa.array(h.astype(np.int32))})
 
-    With many bands a band is short and the join wide; up to a budget of eight bits it stays selective.
+
+def within(a: DataFrame, b: DataFrame | None, most: int, name: str = "vec_id", hash_col: str = "dhash") -> DataFrame:
+    """(x, y, h): pairs of a and b whose hashes differ in at most `most` bits, exactly; with b None those of a with x < y.
+
+    Up to BANDED bits hashes meet on equal bands, which are long enough to be rare. Beyond that hashes are dealt by their leading
+    bits, and two leads meet if they are themselves within `most` bits; a lead that holds too many is cut into blocks. A task
+    compares two blocks of bounded size by bit counts. Null hashes meet nothing.
     """
-    p = _banded(a.select(F.col(name).alias("x"), F.col(hash_col).alias("hx")), "hx", most)
-    q = _banded(b.select(F.col(name).alias("y"), F.col(hash_col).alias("hy")), "hy", most)
-    h = hamming(F.col("hx"), F.col("hy"))
-    return p.join(q, ["_band", "_bits"]).where(h <= most).select("x", "y", h.alias("h")).distinct()
+    one = a.select(F.col(name).alias("x"), F.col(hash_col).alias("hx")).where("hx IS NOT NULL")
+    two = one.select(F.col("x").alias("y"), F.col("hx").alias("hy")) if b is None else b.select(F.col(name).alias("y"), F.col(hash_col).alias("hy")).where("hy IS NOT NULL")
+    if most <= BANDED:
+        h = hamming(F.col("hx"), F.col("hy"))
+        kept = (h <= most) & (F.col("x") < F.col("y")) if b is None else h <= most
+        return _banded(one, "hx", most).join(_banded(two, "hy", most), ["_band", "_bits"]).where(kept).select("x", "y", h.alias("h")).distinct()
+    n = max(one.count(), two.count())
+    depth = min(16, max(0, math.ceil(math.log2(max(1, n) / PER_BLOCK))))
+    lead = lambda c: F.shiftrightunsigned(c, HASH_BITS - depth).cast("int") if depth else F.lit(0)
+    blocks = max(1, -(-n // (PER_BLOCK << depth)))
+    leads = F.filter(F.sequence(F.lit(0), F.lit((1 << depth) - 1)), lambda q: F.bit_count(q.bitwiseXOR(lead(F.col("hash")))) <= most)
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    block = F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")
+    left = one.select(F.col("x").alias("name"), F.col("hx").alias("hash")).select("name", "hash", F.lit(0).alias("side"), lead(F.col("hash")).alias("p"), F.explode(leads).alias("q"), block.alias("i"))
+    left = left.select("*", F.explode(every).alias("j"))
+    right = two.select(F.col("y").alias("name"), F.col("hy").alias("hash")).select("name", "hash", F.lit(1).alias("side"), F.explode(leads).alias("p"), lead(F.col("hash")).alias("q"), block.alias("j"))
+    right = right.select("*", F.explode(every).alias("i"))
+    kind = a.schema[name].dataType.simpleString()
+    met = left.unionByName(right).groupBy("p", "q", "i", "j").applyInArrow(lambda t: _met(t, most), f"x {kind}, y {kind}, h int")
+    return met.where("x < y") if b is None else met
 
 
 def nearest(holdout: DataFrame, train: DataFrame, most: int = 4, name: str = "vec_id", hash_col: str = "dhash") -> DataFrame:
