@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import kept_by_worker, slices, spread, text_or_empty
 
-#: Entries at which a worker's table of encoded words is emptied, and characters of texts that are encoded together.
-KEPT, AT_ONCE = 200_000, 1 << 20
+#: Entries at which a worker's tables of encoded pieces and words are emptied, and characters of texts that are encoded together.
+KEPT, AT_ONCE = 250_000, 1 << 20
 
 
 def byte_characters() -> list[str]:
@@ -74,6 +74,7 @@ class Codec:
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall if pattern else None
         self.tangled = regex.compile(r"\p{White_Space} (?:\p{White_Space}|\Z)").search
         self.tokenizer = Tokenizer.from_str(spec)
+        self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}  # what stands between two spaces, encoded with the space before it
         back = {c: b for b, c in enumerate(byte_characters())}
         vocab = json.loads(spec)["model"]["vocab"]
@@ -82,10 +83,10 @@ class Codec:
             self.tokens[i] = bytes(back[c] for c in shown)
         self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
 
-    def _encoded(self, pieces: set[str]) -> dict[str, bytes]:
-        some = list(pieces)
+    def _learn(self, pieces: set[str]) -> None:
+        some = [p for p in pieces if p not in self.pieces]
         found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-        return {p: struct.pack(f"<{len(e.ids)}I", *e.ids) for p, e in zip(some, found, strict=True)}
+        self.pieces.update((p, struct.pack(f"<{len(e.ids)}I", *e.ids)) for p, e in zip(some, found, strict=True))
 
     def encode(self, texts: list[str], by_words: bool = False) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
@@ -104,13 +105,14 @@ class Codec:
             at = upto
 
     def _encode(self, texts: list[str], by_words: bool) -> Iterator[bytes]:
-        if len(self.words) > KEPT:
-            self.words.clear()
+        for table in (self.pieces, self.words):
+            if len(table) > KEPT:
+                table.clear()
         cut = [t.split(" ") if by_words and not self.tangled(t) else [t] for t in texts]
         heads = [self.split(head) for head, *_ in cut]
         new = {w: self.split(" " + w) for w in {w for words in cut for w in words[1:]} if w not in self.words}
-        pieces = self._encoded({p for found in (*heads, *new.values()) for p in found})
-        get = pieces.__getitem__
+        self._learn({p for found in (*heads, *new.values()) for p in found})
+        get = self.pieces.__getitem__
         self.words.update((w, b"".join(map(get, found))) for w, found in new.items())
         word = self.words.__getitem__
         for head, words in zip(heads, cut, strict=True):
