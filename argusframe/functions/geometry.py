@@ -60,6 +60,12 @@ def anchors(size: int, strides=(8, 16, 32, 64)) -> Column:
     return F.concat(*per)
 
 
+def from_distances(x: Column, y: Column, left: Column, top: Column, right: Column, bottom: Column, side: int) -> Column:
+    """The box that lies at these distances around a point, held inside a square."""
+    held = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(float(side)))
+    return F.struct(held(x - left).alias("x1"), held(y - top).alias("y1"), held(x + right).alias("x2"), held(y + bottom).alias("y2"))
+
+
 def integral_distance(logits: Column, stride: Column) -> Column:
     """Softmax expectation of bins 0, 1, 2 ... times stride."""
     e = F.transform(logits, F.exp)

@@ -70,5 +70,10 @@ def index_list(x: Column) -> Column:
     return F.when(~F.exists(parts, lambda p: F.coalesce(p < 0, F.lit(True))), F.array_sort(F.array_distinct(parts)))
 
 
+def whole_numbers(x: Column) -> Column:
+    """A JSON array of whole numbers as an array."""
+    return F.from_json(x, "array<bigint>")
+
+
 def class_name(names: list[str], class_id: Column) -> Column:
     return F.get(F.array(*map(F.lit, names)), class_id)

@@ -40,6 +40,14 @@ def correlation(a: Column, b: Column, floor: float = 1e-8) -> Column:
     return F.when((left <= floor) | (right <= floor), 0.0).otherwise((dot(a, b) - _sum(a) * _sum(b) / n) / (left * right))
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Pearson's correlation, NaN where a side is constant."""
+    n = F.size(a)
+    square = lambda x: dot(x, x) - _sum(x) * _sum(x) / n
+    flat = lambda x: F.array_min(x) == F.array_max(x)
+    return F.when(flat(a) | flat(b), F.lit(float("nan"))).otherwise((dot(a, b) - _sum(a) * _sum(b) / n) / F.sqrt(square(a) * square(b)))
+
+
 def difference_hash(a: Column, rows: int = 8, width: int = 9) -> Column:
     """Bits of left < right in a row-major grid of rows x width values, first comparison in the highest bit."""
     pairs = F.array(*[F.when(F.get(a, r * width + c) < F.get(a, r * width + c + 1), 1).otherwise(0).cast("bigint") for r in range(rows) for c in range(width - 1)])

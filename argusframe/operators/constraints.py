@@ -108,6 +108,25 @@ def assignment_rules() -> list[Rule]:
     return [at_least("sequence_number", 0), Rule("absent_assigned", "an absent target has no track", ~F.col("target_visible") & F.col("assigned_track_id").isNotNull()), at_least("unmatched_track_count", 0)]
 
 
+def config_rules() -> list[Rule]:
+    """Settings of a recorder: no negative duration, size or camera."""
+    return [at_least(x, 0) for x in ("pre_roll_seconds", "post_roll_seconds", "max_bytes", "camera_index")]
+
+
+def same_size(width: str, height: str, dims: str) -> Rule:
+    """An image of two or three dimensions whose size is its frame's."""
+    return Rule("image_size", "the image must have two or three dimensions and its frame's size", _not(F.col(dims).isin(2, 3) & (F.col(width) == F.col("width")) & (F.col(height) == F.col("height"))))
+
+
+def update_violations(rows: DataFrame, update: list[str], observation: str = "observation") -> DataFrame:
+    """(update, observation_id, code) for the input of a tracker: observations whose ids repeat within an update or that are not of the frame they come with."""
+    o = lambda f: F.col(f"{observation}.{f}")
+    many = F.count("*").over(Window.partitionBy(*update, o("observation_id")))
+    cells = [F.when(many > 1, F.lit("id_repeated"))] + [F.when(_not(o(f) == F.col(f)), F.lit(f"{f}_differs")) for f in ("sensor_id", "frame_id", "captured_at")]
+    t = rows.select(*update, o("observation_id").alias("observation_id"), F.array(*cells).alias("_codes"))
+    return t.select(*update, "observation_id", F.explode(F.array_compact("_codes")).alias("code"))
+
+
 def audit(rows: DataFrame, rules: list[Rule], keys: list[str]) -> DataFrame:
     """(keys, code, message): a row for each violation."""
     cells = F.array_compact(F.array(*[F.when(r.violated, F.struct(F.lit(r.code).alias("code"), F.lit(r.message).alias("message"))) for r in rules]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import iou
+
 #: The overlaps at which average precision is taken.
 OVERLAPS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 
@@ -44,17 +45,36 @@ def matches(predictions: DataFrame, truths: DataFrame, overlap: float = 0.5) ->
     return predictions.join(taken, ["image", "class_id", "pred"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
 
 
-def average_precision(found: DataFrame, truths: DataFrame, points: int = 101) -> DataFrame:
-    """(class_id, ap, precision, recall): interpolated precision at evenly spaced recalls, and both at the end of the list."""
+def matches_at(predictions: DataFrame, truths: DataFrame, overlaps: tuple[float, ...] = OVERLAPS) -> DataFrame:
+    """matches() at each of several overlaps: a row for each prediction and overlap, from one join of boxes."""
+    every = lambda keep: F.explode(F.filter(F.array(*map(F.lit, overlaps)), keep))
+    met = predictions.join(truths, ["image", "class_id"]).withColumn("_iou", iou("b", "t")).where(F.col("_iou") >= min(overlaps))
+    met = met.select("image", "class_id", "pred", "truth", "score", "_iou", every(lambda o: F.col("_iou") >= o).alias("overlap"))
+    best = met.groupBy("overlap", "image", "class_id", "pred").agg(F.max_by("truth", F.struct("_iou", -F.col("truth"))).alias("truth"), F.first("score").alias("score"))
+    w = Window.partitionBy("overlap", "image", "class_id", "truth").orderBy(F.desc("score"), "pred")
+    taken = best.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("overlap", "image", "class_id", "pred", F.lit(1).alias("hit"))
+    asked = predictions.select("image", "class_id", "pred", "score", every(lambda o: F.lit(True)).alias("overlap"))
+    return asked.join(taken, ["overlap", "image", "class_id", "pred"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+
+
+def average_precision(found: DataFrame, truths: DataFrame, points: int = 101, by: tuple[str, ...] = ("class_id",)) -> DataFrame:
+    """(by, ap, precision, recall): interpolated precision at evenly spaced recalls, and both at the end of the list."""
     n = truths.groupBy("class_id").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy("class_id").orderBy(F.desc("score"), "image", "pred")
+    w = Window.partitionBy(*by).orderBy(F.desc("score"), "image", "pred")
     c = found.join(F.broadcast(n), "class_id").withColumn("_tp", F.sum("hit").over(w)).withColumn("_k", F.row_number().over(w))
-    c = c.select("class_id", "_k", "_tp", "_n", (F.col("_tp") / F.col("_k")).alias("p"))
-    after = c.withColumn("env", F.max("p").over(Window.partitionBy("class_id").orderBy(F.desc("_k"))))
+    c = c.select(*by, "_k", "_tp", "_n", (F.col("_tp") / F.col("_k")).alias("p"))
+    after = c.withColumn("env", F.max("p").over(Window.partitionBy(*by).orderBy(F.desc("_k"))))
     # the first place at which each number of hits is reached carries the best precision from there on
-    steps = after.groupBy("class_id", "_n", "_tp").agg(F.max("env").alias("env"))
-    w2 = Window.partitionBy("class_id").orderBy("_tp")
+    steps = after.groupBy(*by, "_n", "_tp").agg(F.max("env").alias("env"))
+    w2 = Window.partitionBy(*by).orderBy("_tp")
     at = steps.where("_tp > 0").withColumn("_from", F.floor((F.col("_tp") - 1) * (points - 1) / F.col("_n")) + 1).withColumn("_from", F.when(F.row_number().over(w2) == 1, 0).otherwise(F.col("_from"))).withColumn("_to", F.floor(F.col("_tp") * (points - 1) / F.col("_n")))
-    ap = at.groupBy("class_id").agg((F.sum(F.col("env") * F.greatest(F.col("_to") - F.col("_from") + 1, F.lit(0))) / points).alias("ap"))
-    end = c.groupBy("class_id").agg((F.max("_tp") / F.max("_k")).alias("precision"), (F.max("_tp") / F.max("_n")).alias("recall"))
-    return end.join(ap, "class_id", "left").select("class_id", F.coalesce("ap", F.lit(0.0)).alias("ap"), "precision", "recall")
+    ap = at.groupBy(*by).agg((F.sum(F.col("env") * F.greatest(F.col("_to") - F.col("_from") + 1, F.lit(0))) / points).alias("ap"))
+    end = c.groupBy(*by).agg((F.max("_tp") / F.max("_k")).alias("precision"), (F.max("_tp") / F.max("_n")).alias("recall"))
+    return end.join(ap, list(by), "left").select(*by, F.coalesce("ap", F.lit(0.0)).alias("ap"), "precision", "recall")
+
+
+def mean_average_precision(predictions: DataFrame, truths: DataFrame, overlaps: tuple[float, ...] = OVERLAPS) -> DataFrame:
+    """(class_id, ap50, ap50_95): average precision at the least overlap and its mean over all; the row without a class is the mean of the classes."""
+    ap = average_precision(matches_at(predictions, truths, overlaps), truths, by=("overlap", "class_id"))
+    per = ap.groupBy("class_id").agg(F.max(F.when(F.col("overlap") == min(overlaps), F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap50_95"))
+    return per.unionByName(per.agg(F.lit(None).cast("int").alias("class_id"), F.avg("ap50").alias("ap50"), F.avg("ap50_95").alias("ap50_95")))

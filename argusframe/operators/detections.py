@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.geometry import letterbox
 from ..functions.text import observation_id
 from ..functions.vectors import differs
 
@@ -40,6 +41,23 @@ def progress(rows: DataFrame, every: int, key: str, order: str, time_ms: str) ->
     return t.where(F.col("frames") % every == 0).select(key, "frames", F.try_divide(F.col("frames") * 1000.0, "_ms").alias("effective_fps"))
 
 
+def running_totals(rows: DataFrame, key: str, order: str, time_ms: str) -> DataFrame:
+    """(key, frames, mean_ms, fps, steady_mean_ms, steady_fps): as latency_summary(), with 0 where there is nothing to tell. One aggregation: the first frame is taken off the sums."""
+    t = rows.groupBy(key).agg(F.count("*").alias("frames"), F.sum(time_ms).alias("_all"), F.min_by(time_ms, order).alias("_first"))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    t = t.withColumns({"mean_ms": zero(F.try_divide("_all", "frames")), "steady_mean_ms": zero(F.when(F.col("frames") > 1, (F.col("_all") - F.col("_first")) / (F.col("frames") - 1)))})
+    return t.select(key, "frames", "mean_ms", zero(F.try_divide(F.lit(1000.0), "mean_ms")).alias("fps"), "steady_mean_ms", zero(F.try_divide(F.lit(1000.0), "steady_mean_ms")).alias("steady_fps"))
+
+
+def people(rows: DataFrame, side: int, class_id: int = 0) -> DataFrame:
+    """Boxes (x1, y1, x2, y2) of one class in a letterboxed square, back in their image of width x height; boxes that clipping leaves without a size go."""
+    box = letterbox(F.col("width"), F.col("height"), side)
+    t = rows.where(F.col("class_id") == class_id).withColumn("_l", box)
+    back = lambda c, pad, size, new: F.least(F.greatest((F.col(c) - F.col(f"_l.{pad}")) * F.col(size) / F.col(f"_l.{new}"), F.lit(0.0)), F.col(size) - 1.0)
+    t = t.withColumns({"x1": back("x1", "left", "width", "new_w"), "y1": back("y1", "top", "height", "new_h"), "x2": back("x2", "left", "width", "new_w"), "y2": back("y2", "top", "height", "new_h")})
+    return t.where("x2 > x1 AND y2 > y1").drop("_l")
+
+
 def class_histogram(rows: DataFrame, key: str, name: str = "class_name") -> DataFrame:
     """(key, classes): counts of each class as a map in order of its keys."""
     per = rows.groupBy(key, name).agg(F.count("*").alias("n"))

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.vectors import correlation, hamming, mean_absolute_error
 
@@ -128,6 +129,26 @@ def components(nodes: DataFrame, edges: DataFrame, name: str = "vec_id", rounds:
     return nodes.select(name).distinct().join(e.select(F.col("u").alias(name), F.col("v").alias("component")), name, "left").select(name, F.coalesce("component", name).alias("component"))
 
 
+def ranked_groups(rows: DataFrame, group: str = "component", name: str = "vec_id", buckets: int = 64) -> DataFrame:
+    """(group, size, first, rank): groups numbered from 0, largest first, ties by their first name, a number.
+
+    Groups of one size are cut into ranges of names; a count for each size and range places them, so no task orders all groups.
+    """
+    per = rows.groupBy(group).agg(F.count("*").alias("size"), F.min(name).alias("first"))
+    span = per.agg(F.min("first").alias("_lo"), F.max("first").alias("_hi"))
+    per = per.join(F.broadcast(span), how="cross").withColumn("_b", F.floor((F.col("first") - F.col("_lo")) * buckets / (F.col("_hi") - F.col("_lo") + 1))).drop("_lo", "_hi")
+    # a row for each size and range
+    held = per.groupBy("size", "_b").agg(F.count("*").alias("_n"))
+    before = held.select("size", "_b", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("size"), "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("size", "_b").orderBy("first")) - 1
+    return per.withColumn("_own", own).join(before, ["size", "_b"]).select(group, "size", "first", (F.col("_before") + F.col("_own")).alias("rank"))
+
+
+def names_of_pairs(pairs: DataFrame, name: str = "name") -> DataFrame:
+    """Every name on either side of a pair, once."""
+    return pairs.select(F.explode(F.array("x", "y")).alias(name)).distinct()
+
+
 def diagnostics(candidates: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
     """candidate_pairs, accepted_edges, groups, multi_groups, largest, min_corr."""
     size = groups.groupBy("component").agg(F.count("*").alias("n"))

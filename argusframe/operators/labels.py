@@ -10,6 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def unpaired(images: DataFrame, label_files: DataFrame, name: str = "image") -> DataFrame:
+    """(name, side): images without a label file and label files without an image."""
+    a, b = images.select(name).distinct(), label_files.select(name).distinct()
+    return a.join(b, name, "left_anti").withColumn("side", F.lit("no_label")).unionByName(b.join(a, name, "left_anti").withColumn("side", F.lit("no_image")))
+
+
 def _fields(raw: Column) -> Column:
     return F.filter(F.split(F.trim(F.coalesce(raw, F.lit(""))), r"\s+"), lambda x: x != "")
 

@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import iso_text, whole_numbers
+
 DAY = 86_400_000_000
 
 
+#: Columns of the event log, and the version of its layout, kept beside it.
+LOG = "id BIGINT, identity_kind STRING, state STRING, started_at STRING, ended_at STRING, person_name STRING, confidence DOUBLE, track_ids STRING, protected INT, version BIGINT, deleted BOOLEAN"
+LAYOUT = 1
+
+
+def opened(spark: SparkSession, path: str) -> DataFrame:
+    """The event log below path, made empty if it is not there; a log of another layout fails. What was written is read back, so calls on one path are idempotent."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at = jvm.Path(f"{path}/layout")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        spark.createDataFrame([], LOG).write.mode("append").parquet(f"{path}/log")
+        spark.createDataFrame([(LAYOUT,)], "layout INT").write.json(f"{path}/layout")
+    found = spark.read.schema("layout INT").json(f"{path}/layout").first()
+    if found is None or found[0] != LAYOUT:
+        raise RuntimeError(f"the event log has layout {found and found[0]}, not {LAYOUT}")
+    return spark.read.schema(LOG).parquet(f"{path}/log")
+
+
 def current(log: DataFrame, key: str = "id", version: str = "version", deleted: str = "deleted") -> DataFrame:
     """The latest version of each row that is not a tombstone. One aggregation, no sort."""
     rest = [c for c in log.columns if c != key]
@@ -39,6 +59,20 @@ def removed(log: DataFrame, ids: DataFrame, key: str = "id", version: str = "ver
     return have.withColumn(version, F.col(version) + 1).withColumn(deleted, F.lit(True))
 
 
+def encoded(rows: DataFrame) -> DataFrame:
+    """Events as they are stored: times as ISO-8601 text, track ids as a JSON array, flags as 0 and 1."""
+    at = lambda c: iso_text(F.timestamp_micros(F.col(c)))
+    t = rows.withColumns({"started_at": at("started_us"), "ended_at": at("ended_us"), "track_ids": F.to_json("track_ids"), "protected": F.col("protected").cast("int")})
+    return t.drop("started_us", "ended_us")
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """The events of encoded() rows."""
+    at = lambda c: F.unix_micros(F.to_timestamp(F.col(c)))
+    t = rows.withColumns({"started_us": at("started_at"), "ended_us": at("ended_at"), "track_ids": whole_numbers(F.col("track_ids")), "protected": F.col("protected") != 0})
+    return t.drop("started_at", "ended_at")
+
+
 def newest(rows: DataFrame, limit: int = 100, include_recording: bool = True, started: str = "started_us", key: str = "id") -> DataFrame:
     if limit < 1:
         raise ValueError("limit must be at least 1")

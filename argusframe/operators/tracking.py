@@ -225,3 +225,9 @@ def replay_summary(tracks: DataFrame, key: str = "sensor_id", order: str = "sequ
     """(key, frames_with_tracks, frames_confirmed, track_ids, confirmed_ids): sorted distinct ids as arrays."""
     sure = F.col(state) == "confirmed"
     return tracks.groupBy(key).agg(F.countDistinct(order).alias("frames_with_tracks"), F.countDistinct(F.when(sure, F.col(order))).alias("frames_confirmed"), F.array_sort(F.collect_set(track)).alias("track_ids"), F.array_sort(F.collect_set(F.when(sure, F.col(track)))).alias("confirmed_ids"))
+
+
+def positional(rows: DataFrame, candidates: DataFrame, update: list[str], position: str = "position") -> DataFrame:
+    """rows, one for each track a backend returns, with the candidate observation at their position of the same update; a position outside fails the query."""
+    both = rows.join(candidates.withColumn("_found", F.lit(True)), [*update, position], "left")
+    return both.where(F.when(F.col("_found").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.lit("a track's position is outside its observations")).cast("boolean"))).drop("_found")

@@ -1 +1 @@
-
+from . import files, records, registry
