@@ -1,4 +1,7 @@
-"""Text expressions: escaping, names, ids, formatted labels."""
+"""Text expressions: escaping, names, ids, formatted labels.
+
+The formats of ids and labels, their prefixes and the characters of a safe name are fixed values.
+"""
 
 from __future__ import annotations
 

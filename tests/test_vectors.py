@@ -21,9 +21,9 @@ def scene(spark, rows, nbytes=12):
 @pytest.mark.parametrize(
     "rows,post,states,signals",
     [
-        ([(1, 1), (2, 0), (6.9, 0), (7, 0)], 5, ["recording", "post_roll", "post_roll", "idle"], ["start", "", "", "finish"]),
-        ([(1, 1), (2, 0), (7, 1)], 5, ["recording", "post_roll", "recording"], ["start", "", ""]),
-        ([(1, 1), (2, 0)], 0, ["recording", "idle"], ["start", "finish"]),
+        ([(10, 2), (13, 0), (14.5, 0), (16, 0), (17, 3)], 3, ["recording", "post_roll", "post_roll", "idle", "recording"], ["start", "", "", "finish", "start"]),
+        ([(2, 0), (3, 4), (3.5, 0), (4, 1)], 2, ["idle", "recording", "post_roll", "recording"], ["", "start", "", ""]),
+        ([(7, 3), (8, 0), (9, 0)], 0, ["recording", "idle", "idle"], ["start", "finish", ""]),
     ],
 )
 def test_scene_states(spark, rows, post, states, signals):
@@ -34,9 +34,9 @@ def test_scene_states(spark, rows, post, states, signals):
 @pytest.mark.parametrize(
     "rows,pre,post,want",
     [
-        ([(0, 0), (1, 0), (2, 1), (3, 1), (4, 0), (6, 0)], 2, 2, {1: [0, 1, 2, 3, 4, 5]}),
-        ([(0, 1), (1, 0), (3, 0), (10, 1)], 2, 2, {1: [0, 1, 2], 2: [3]}),
-        ([(5, 1)], 0, 2, {1: [0]}),
+        ([(0, 0), (3, 0), (5, 2), (6, 0), (8, 0), (9, 0)], 2, 3, {1: [1, 2, 3, 4, 5]}),
+        ([(1, 0), (2, 1), (4, 0), (20, 0), (22.5, 1)], 1, 5, {1: [0, 1, 2, 3], 2: [4]}),
+        ([(3, 0), (30, 4)], 0, 1, {1: [1]}),
     ],
 )
 def test_recorded_frames(spark, rows, pre, post, want):
@@ -130,13 +130,13 @@ def test_path_containment(spark):
 
 
 def test_latency_summary(spark):
-    df = spark.createDataFrame([(0, 1000.0, 0), (1, 100.0, 1), (2, 100.0, 1)], "i int, ms double, n int")
+    df = spark.createDataFrame([(5, 640.0, 2), (6, 25.0, 0), (7, 15.0, 3), (8, 20.0, 0)], "i int, ms double, n int")
     r = detections.latency_summary(df, None, "i", "ms", "n").first()
-    assert (r.first_ms, r.steady_mean_ms, r.steady_fps, r.frames_with_detections) == (1000.0, 100.0, 10.0, 2)
+    assert (r.first_ms, r.steady_mean_ms, r.steady_fps, r.frames_with_detections) == (640.0, 20.0, 50.0, 2)
 
 
 def test_even_sampling(spark):
-    want = {(101, 3): [0, 50, 100], (2, 10): [0, 1], (178, 12): [0, 16, 32, 48, 64, 80, 97, 113, 129, 145, 161, 177], (9, 1): [0], (0, 3): None}
+    want = {(50, 4): [0, 16, 33, 49], (6, 3): [0, 2, 5], (4, 9): [0, 1, 2, 3], (7, 1): [0], (0, 5): None, (5, 0): None}
     df = spark.createDataFrame(list(want), "c bigint, k bigint")
     assert {(r.c, r.k): r.i for r in df.select("c", "k", geometry.even_indices(F.col("c"), F.col("k")).alias("i")).collect()} == want
 
@@ -157,8 +157,8 @@ def test_canonical_hash(spark):
 
 
 def test_observation_ids(spark):
-    df = spark.createDataFrame([(0,), (1,), (12345,)], "i int").select(text.observation_id(F.lit("north-camera"), F.lit("000042"), F.col("i")).alias("x"))
-    assert [r.x for r in df.collect()] == ["north-camera:000042:observation:0000", "north-camera:000042:observation:0001", "north-camera:000042:observation:12345"]
+    df = spark.createDataFrame([(3,), (0,), (70321,)], "i int").select(text.observation_id(F.lit("roof-7"), F.lit("f19"), F.col("i")).alias("x"))
+    assert [r.x for r in df.collect()] == ["roof-7:f19:observation:0003", "roof-7:f19:observation:0000", "roof-7:f19:observation:70321"]
 
 
 def runs(spark, rows):
@@ -187,15 +187,11 @@ def test_votes(spark):
     assert got == {"t": ("a", 0.6), "u": (None, 0.0)}
 
 
-def box(x):
-    return [("o", x, 0.8, 0)]
-
-
 def test_track_life_cycle():
     c, s = tracking.TrackerConfig(), tracking.TrackerState()
-    one = tracking.step(s, 0, 0, [("o0", (100, 200, 130, 225), 0.8, 0)], c)
+    one = tracking.step(s, 0, 0, [("o0", (40, 60, 90, 120), 0.9, 0)], c)
     two = tracking.step(s, 1, 40, [], c)
-    three = tracking.step(s, 2, 80, [("o2", (108, 201, 138, 226), 0.72, 0)], c)
+    three = tracking.step(s, 2, 80, [("o2", (44, 63, 94, 123), 0.85, 0)], c)
     assert [(r[0]["state"], r[0]["observation_count"], r[0]["missed_updates"]) for r in (one, two, three)] == [("tentative", 1, 0), ("lost", 1, 1), ("confirmed", 2, 0)]
     assert one[0]["number"] == three[0]["number"]
 
@@ -259,3 +255,69 @@ def test_scalar_functions(spark):
     )
     r = df.first()
     assert (r.h, r.c, r.n, r.b, r.d, r.a, r.e) == ("f" * 16, 0.0, "Ab_c-1", False, 28.0, 52**2 + 26**2 + 13**2 + 7**2, "&lt;a&amp;&#x27;&quot;&gt;")
+
+
+def test_ranked_groups(spark):
+    rng = random.Random(8)
+    data = [(rng.randrange(400), i) for i in range(1000)]
+    got = {r.component: r["rank"] for r in duplicates.ranked_groups(spark.createDataFrame(data, "component int, vec_id int")).collect()}
+    held = {}
+    for g, i in data:
+        held.setdefault(g, []).append(i)
+    assert got == {g: k for k, g in enumerate(sorted(held, key=lambda g: (-len(held[g]), min(held[g]))))}
+
+
+def test_positions(spark):
+    found = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "frame int, position int, observation string")
+    rows = spark.createDataFrame([(1, 1, "t1"), (2, 0, "t2")], "frame int, position int, track string")
+    assert {(r.track, r.observation) for r in tracking.positional(rows, found, ["frame"]).collect()} == {("t1", "b"), ("t2", "c")}
+    with pytest.raises(Exception, match="outside"):
+        tracking.positional(rows.union(spark.createDataFrame([(2, 3, "t3")], rows.schema)), found, ["frame"]).collect()
+
+
+def test_event_log(spark, tmp_path):
+    path = str(tmp_path / "events")
+    assert store.opened(spark, path).count() == 0 and store.opened(spark, path).count() == 0
+    row = spark.sql("SELECT 4L AS id, 'known' AS identity_kind, 'complete' AS state, 1500000L AS started_us, NULL AS ended_us, 'Ann' AS person_name, 0.5D AS confidence, array(3L, 1L) AS track_ids, true AS protected")
+    store.insert(store.opened(spark, path), store.encoded(row)).select(*store.opened(spark, path).columns).write.mode("append").parquet(f"{path}/log")
+    r = store.decoded(store.current(store.opened(spark, path))).first()
+    assert (r.started_us, r.ended_us, r.track_ids, r.protected) == (1_500_000, None, [3, 1], True)
+    with pytest.raises(ValueError):
+        store.insert(store.opened(spark, path), store.encoded(row))
+    spark.createDataFrame([(9,)], "layout INT").write.mode("overwrite").json(f"{path}/layout")
+    with pytest.raises(RuntimeError, match="layout"):
+        store.opened(spark, path)
+
+
+def test_mean_average_precision(spark):
+    """Plain folds over two classes, at two overlaps."""
+    from argusframe.operators import detection_metrics as m
+
+    rng = random.Random(6)
+    boxes = lambda n: [(i, c, k, (x := rng.randrange(20)) * 1.0, (y := rng.randrange(20)) * 1.0, x + 8.0 + rng.randrange(6), y + 9.0) for i in range(12) for c in (0, 1) for k in range(n)]
+    truth = boxes(2)
+    pred = [(i, c, 10 + k, a + rng.randrange(3), b, e, f, rng.random()) for i, c, k, a, b, e, f in truth if rng.random() < 0.8] + [(*r[:2], 50 + r[2], *r[3:], rng.random()) for r in boxes(1)]
+    t = spark.createDataFrame([(i, c, k, r) for i, c, k, *r in truth], "image int, class_id int, truth int, t struct<x1:double,y1:double,x2:double,y2:double>")
+    p = spark.createDataFrame([(i, c, k, s, r) for i, c, k, *r, s in pred], "image int, class_id int, pred int, score double, b struct<x1:double,y1:double,x2:double,y2:double>")
+
+    def iou(a, b):
+        w, h = max(0, min(a[2], b[2]) - max(a[0], b[0])), max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
+
+    def ap(c, least):
+        taken, hits = set(), []
+        for q in sorted((q for q in pred if q[1] == c), key=lambda q: (-q[7], q[0], q[2])):
+            near = [(iou(q[3:7], g[3:]), -g[2], g) for g in truth if g[:2] == q[:2] and iou(q[3:7], g[3:]) >= least]
+            g = max(near)[2][:3] if near else None
+            hits.append(g is not None and g not in taken)
+            taken |= {g}
+        n, tp, curve = sum(g[1] == c for g in truth), 0, []
+        for k, hit in enumerate(hits, 1):
+            tp += hit
+            curve.append((tp, tp / k))
+        return sum(max([v for h, v in curve if h * 100 >= x * n], default=0) for x in range(101)) / 101
+
+    got = {r.class_id: r for r in m.mean_average_precision(p, t, (0.5, 0.75)).collect()}
+    for c in (0, 1):
+        assert math.isclose(got[c].ap50, ap(c, 0.5), abs_tol=1e-9) and math.isclose(got[c].ap50_95, (ap(c, 0.5) + ap(c, 0.75)) / 2, abs_tol=1e-9)
+    assert math.isclose(got[None].ap50, (got[0].ap50 + got[1].ap50) / 2)
