@@ -9,6 +9,7 @@ only candidates for an exact check, a unit gives all of them but those inside on
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -18,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, slices, spread, text_or_empty, trim
+from .common import discard, materialise, release, slices, spread, text_or_empty, trim
 from .components import connected_components
 from .trie import linked, near_pairs
 
-#: Fingerprints that one prefix should hold, and those beyond which it is cut into blocks.
-PER_NODE, PER_BLOCK = 1 << 16, 1 << 18
+#: Fingerprints that one prefix should hold, and those beyond which it is cut into blocks. A finer prefix has more neighbours
+#: within the budget, and each fingerprint is dealt to all of them: few large prefixes keep that number fixed as tables grow.
+PER_NODE, PER_BLOCK = 1 << 19, 1 << 20
+#: Rows dealt to units of the trie join at once; tables beyond that go one after the other, each leaving no shuffle files to the next.
+AT_ONCE = 1 << 25
 
 _ONES = np.uint64(0x0101010101010101)
 
@@ -74,10 +78,23 @@ def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col:
     return spread(kept).mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, fp bigint")
 
 
+def _largest(values: DataFrame) -> int:
+    return values.groupBy("t").count().agg(F.max("count")).first()[0] or 0
+
+
+def _depth(largest: int, bits: int) -> int:
+    """Leading bits by which a table of so many values is dealt."""
+    return min(bits - 1, max(3, math.ceil(math.log2(max(1, largest) / PER_NODE))))
+
+
+def _dealt(largest: int, bits: int, budget: int) -> int:
+    """Rows that a table of so many values is dealt to its units as."""
+    return largest * sum(math.comb(_depth(largest, bits), r) for r in range(budget + 1))
+
+
 def _units(values: DataFrame, bits: int, budget: int) -> DataFrame:
     """The rows of values dealt to the units of work (t, p, i, q, j); first tells the side of a unit on which a row is."""
-    largest = values.groupBy("t").count().agg(F.max("count")).first()[0] or 0
-    depth = min(bits - 1, max(3, math.ceil(math.log2(max(1, largest) / PER_NODE)) if largest else 3))
+    depth = _depth(_largest(values), bits)
     prefix = F.shiftrightunsigned("v", bits - depth).cast("int") if bits < 64 else F.shiftrightunsigned("v", 64 - depth).cast("int")
     own = [c for c in values.columns if c != "t"]
     rows = values.select("t", *own, prefix.alias("p"))
@@ -144,6 +161,17 @@ def open_links(values: DataFrame, bits: int, budget: int) -> DataFrame:
     return _units(values, bits, budget).groupBy("t", "p", "i", "q", "j").applyInArrow(run, "t int, v bigint, w bigint")
 
 
+def _open_by_tables(values: DataFrame, tables: int, bits: int, budget: int) -> list[DataFrame]:
+    """open_links() of tables 0 to tables - 1, written, so many tables at a time that at most AT_ONCE rows are dealt, one table at least."""
+    some = max(1, AT_ONCE // max(1, _dealt(_largest(values), bits, budget)))
+    parts = []
+    for at in range(0, tables, some):
+        parts.append(materialise(open_links(values.where(F.col("t").between(at, min(at + some, tables) - 1)), bits, budget), "near-open"))
+        if at + some < tables:
+            release(values.sparkSession)
+    return parts
+
+
 def components(docs: DataFrame, width: int = 3, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id): one row per row of docs; component_id is the smallest id reachable over links.
 
@@ -268,7 +296,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     first, placed = placed, placed.join(groups, "class", "left")
     # the group of a value is that of all its classes, or none
     values = materialise(placed.groupBy("t", "v").agg(F.when(F.count("g") == F.count("*"), F.when(F.min("g") == F.max("g"), F.min("g"))).alias("g")), "near-values")
-    links = materialise(open_links(values.where(F.col("t") < TABLES), TABLE_BITS, TABLE_BUDGET), "near-open")
+    opened = _open_by_tables(values, TABLES, TABLE_BITS, TABLE_BUDGET)
+    links = functools.reduce(DataFrame.union, opened)
     a = placed.select("t", "v", F.col("class").alias("src"), F.col("g").alias("gx"))
     b = placed.select("t", F.col("v").alias("w"), F.col("class").alias("dst"), F.col("g").alias("gy"))
     other = F.col("gx").isNull() | F.col("gy").isNull() | (F.col("gx") != F.col("gy"))
@@ -279,7 +308,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     joined = connected_components(stars.union(rest)).withColumnRenamed("node", "class")
     labels = classes.join(joined, "class", "left").select("long", F.coalesce("component", "class").alias("component_id"))
     out = materialise(longs.join(labels, "long").select(F.col("id").alias(id_col), "component_id"), "near-labels")
-    for done in (longs, classes, first, shared, stars, groups, values, links, rest, *made):
+    for done in (longs, classes, first, shared, stars, groups, values, *opened, rest, *made):
         discard(done)
     return out
 

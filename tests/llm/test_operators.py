@@ -702,6 +702,18 @@ def test_links_in_blocks(spark, monkeypatch):
     assert {int(x): groups.get(int(x), int(x)) for x in v} == dict(zip(v.tolist(), label.tolist(), strict=True))
 
 
+def test_dealt_rows_grow_as_the_values(spark, monkeypatch):
+    """A table of 3 million values (6 GB of texts) is dealt as often a value as a small one; tables dealt one after the other give the same links."""
+    assert simhash._dealt(3_000_000, 40, 3) == 8 * 3_000_000
+    rng = np.random.default_rng(8)
+    v = np.unique(np.concatenate([x := rng.integers(0, 1 << 40, 60), x ^ 9]))
+    df = spark.createDataFrame([(t, int(x), None) for t in range(4) for x in v[t:]], "t int, v bigint, g bigint")
+    whole = sorted(map(tuple, simhash.open_links(df, 40, 3).collect()))
+    monkeypatch.setattr(simhash, "AT_ONCE", 1 << 11)
+    parts = simhash._open_by_tables(df, 4, 40, 3)
+    assert len(parts) == 2 and len(whole) > 200 and sorted(tuple(r) for p in parts for r in p.collect()) == whole
+
+
 def test_near_duplicates(spark, docs, none):
     rng = random.Random(12)
     rows = []
