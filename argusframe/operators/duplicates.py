@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import correlation, hamming, mean_absolute_error
 
-#: Bits of a perceptual hash, those up to which a search goes by equal bands, and hashes that a block should hold.
-HASH_BITS, BANDED, PER_BLOCK = 64, 5, 4096
+#: Bits of a perceptual hash, and those up to which a search goes by equal bands.
+HASH_BITS, BANDED = 64, 5
+#: Rows of a block at most; a smaller table is cut into so many blocks, if each keeps so many rows, for the sake of all cores.
+PER_BLOCK, LEAST_BLOCKS, SMALL_BLOCK = 1 << 15, 8, 1 << 11
+#: Pairs of hashes compared at once, and pairs of vectors.
+SLAB, CHUNK = 1 << 21, 1 << 16
+#: Spread up to which a vector counts as constant.
+FLAT = 1e-8
 
 
 def cross_split(rows: DataFrame, key: str, split: str = "split", name: str = "image") -> DataFrame:
@@ -30,47 +37,115 @@ def _banded(rows: DataFrame, hash_col: str, most: int) -> DataFrame:
     return rows.select("*", F.explode(F.array(*cell)).alias("_c")).select("*", "_c._band", "_c._bits").drop("_c")
 
 
-def _met(rows: pa.Table, most: int) -> pa.Table:
-    """Of a unit's two sides every pair within `most` bits, a slab of the first side at a time."""
-    side, name, value = rows.column("side").to_numpy(), rows.column("name"), rows.column("hash").to_numpy().view(np.uint64)
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    found = [(np.empty(0, np.int64),) * 3]
-    for at in range(0, len(left), 256):
-        some = left[at : at + 256]
-        h = np.bitwise_count(value[some][:, None] ^ value[right][None])
+class _Signatures:
+    """A block's vectors by component, with each row's sum and spread; all sums run in the order of the components, as those of functions.vectors do."""
+
+    def __init__(self, column: pa.ListArray):
+        values, self.size = column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+        width = int(self.size.max(initial=0))
+        self.valid = np.ones(len(column), bool)
+        if column.null_count or values.null_count or len(values) != width * len(column):
+            rows = column.to_pylist()
+            self.valid = np.array([r is not None and None not in r for r in rows], bool)
+            v = np.array([(r + [0.0] * (width - len(r))) if ok else [0.0] * width for r, ok in zip(rows, self.valid)], float).reshape(len(column), width)
+        else:
+            v = values.to_numpy().reshape(len(column), width)
+        self.parts = np.ascontiguousarray(v.T)
+        self.total, square = np.zeros(len(column)), np.zeros(len(column))
+        for x in self.parts:
+            self.total += x
+            square += x * x
+        with np.errstate(invalid="ignore", divide="ignore"):
+            self.spread = np.sqrt(np.maximum(square - self.total * self.total / self.size, 0.0))
+        self.flat = ~self.valid | (self.spread <= FLAT)  # as greatest() passes nulls over
+
+    def against(self, other: _Signatures, i: np.ndarray, j: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Correlation and mean absolute error of rows i with rows j of the other block."""
+        product, apart = np.zeros(len(i)), np.zeros(len(i))
+        for p, q in zip(self.parts, other.parts, strict=False):  # rows of one length have no part beyond the narrower block
+            x, y = p[i], q[j]
+            product += x * y
+            apart += np.abs(x - y)
+        n = self.size[i]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            corr = (product - self.total[i] * other.total[j] / n) / (self.spread[i] * other.spread[j])
+            apart /= n
+        flat, odd = self.flat[i] | other.flat[j], ~(self.valid[i] & other.valid[j] & (n == other.size[j]))
+        corr[flat] = 0.0
+        return pa.array(corr, mask=odd & ~flat), pa.array(apart, mask=odd)
+
+
+def _near(x: np.ndarray, y: np.ndarray | None, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, bits) of pairs within `most` bits, a slab of x at a time; with y None those of x with i < j."""
+    at, same = 0, y is None
+    while at < len(x):
+        right = x[at:] if same else y
+        some = x[at : at + max(1, SLAB // max(1, len(right)))]
+        h = np.bitwise_count(some[:, None] ^ right[None])
         i, j = np.nonzero(h <= most)
-        found.append((some[i], right[j], h[i, j].astype(np.int64)))
-    i, j, h = (np.concatenate(x) for x in zip(*found, strict=True))
-    return pa.table({"x": name.take(pa.array(i)), "y": name.take(pa.array(j)), "h": pa.array(h.astype(np.int32))})
+        if same:
+            i, j = i[i < j], j[i < j]
+        for k in range(0, len(i), CHUNK):
+            m, n = i[k : k + CHUNK], j[k : k + CHUNK]
+            yield at + m, n + (at if same else 0), h[m, n].astype(np.int32)
+        at += len(some)
 
 
-def within(a: DataFrame, b: DataFrame | None, most: int, name: str = "vec_id", hash_col: str = "dhash") -> DataFrame:
+def _blocks(n: int) -> int:
+    return max(1, -(-n // PER_BLOCK), min(LEAST_BLOCKS, -(-n // SMALL_BLOCK)))
+
+
+def within(a: DataFrame, b: DataFrame | None, most: int, name: str = "vec_id", hash_col: str = "dhash", vector: str | None = None) -> DataFrame:
     """(x, y, h): pairs of a and b whose hashes differ in at most `most` bits, exactly; with b None those of a with x < y.
 
-    Up to BANDED bits hashes meet on equal bands, which are long enough to be rare. Beyond that hashes are dealt by their leading
-    bits, and two leads meet if they are themselves within `most` bits; a lead that holds too many is cut into blocks. A task
-    compares two blocks of bounded size by bit counts. Null hashes meet nothing.
+    Up to BANDED bits hashes meet on equal bands, which are long enough to be rare. Beyond that every two hashes are compared by bit
+    counts: rows are cut into blocks of bounded size, a task takes two of them and gives its pairs as it finds them. Null
+    hashes meet nothing. With a vector column the result is that of similar_pairs(): vectors travel with their block, not with each pair.
     """
-    one = a.select(F.col(name).alias("x"), F.col(hash_col).alias("hx")).where("hx IS NOT NULL")
-    two = one.select(F.col("x").alias("y"), F.col("hx").alias("hy")) if b is None else b.select(F.col(name).alias("y"), F.col(hash_col).alias("hy")).where("hy IS NOT NULL")
+    own = [F.col(name).alias("name"), F.col(hash_col).alias("hash"), *([F.col(vector).cast("array<double>").alias("v")] if vector else [])]
+    one = a.select(*own).where("hash IS NOT NULL")
+    two = None if b is None else b.select(*own).where("hash IS NOT NULL")
     if most <= BANDED:
+        left = one.select(F.col("name").alias("x"), F.col("hash").alias("hx"))
+        right = (one if two is None else two).select(F.col("name").alias("y"), F.col("hash").alias("hy"))
         h = hamming(F.col("hx"), F.col("hy"))
         kept = (h <= most) & (F.col("x") < F.col("y")) if b is None else h <= most
-        return _banded(one, "hx", most).join(_banded(two, "hy", most), ["_band", "_bits"]).where(kept).select("x", "y", h.alias("h")).distinct()
-    n = max(one.count(), two.count())
-    depth = min(16, max(0, math.ceil(math.log2(max(1, n) / PER_BLOCK))))
-    lead = lambda c: F.shiftrightunsigned(c, HASH_BITS - depth).cast("int") if depth else F.lit(0)
-    blocks = max(1, -(-n // (PER_BLOCK << depth)))
-    leads = F.filter(F.sequence(F.lit(0), F.lit((1 << depth) - 1)), lambda q: F.bit_count(q.bitwiseXOR(lead(F.col("hash")))) <= most)
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    block = F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")
-    left = one.select(F.col("x").alias("name"), F.col("hx").alias("hash")).select("name", "hash", F.lit(0).alias("side"), lead(F.col("hash")).alias("p"), F.explode(leads).alias("q"), block.alias("i"))
-    left = left.select("*", F.explode(every).alias("j"))
-    right = two.select(F.col("y").alias("name"), F.col("hy").alias("hash")).select("name", "hash", F.lit(1).alias("side"), F.explode(leads).alias("p"), lead(F.col("hash")).alias("q"), block.alias("j"))
-    right = right.select("*", F.explode(every).alias("i"))
+        met = _banded(left, "hx", most).join(_banded(right, "hy", most), ["_band", "_bits"]).where(kept).select("x", "y", h.alias("h")).distinct()
+        return met if not vector else similar_pairs(met, a if b is None else a.unionByName(b), name, vector)
+    n, m = _blocks(one.count()), None if two is None else _blocks(two.count())
+    block = lambda k: F.pmod(F.xxhash64("name"), F.lit(k)).cast("int").alias("_at")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_with")
+    i, j = F.col("_at"), F.col("_with")
+    left = one.select("*", block(n)).select("*", every(n if m is None else m))
+    if two is None:
+        dealt = left.select("*", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), (i > j).alias("second"))
+    else:
+        right = two.select("*", block(m)).select("*", every(n))
+        dealt = left.select("*", i.alias("i"), j.alias("j"), F.lit(False).alias("second")).unionByName(right.select("*", j.alias("i"), i.alias("j"), F.lit(True).alias("second")))
+
+    alone = b is None
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        second = rows.column("second").to_numpy()
+        left, right = rows.take(pa.array(np.flatnonzero(~second))).combine_chunks(), rows.take(pa.array(np.flatnonzero(second))).combine_chunks()
+        del rows
+        whole = alone and key[0].as_py() == key[1].as_py()  # a block with itself
+        hashes = lambda t: t.column("hash").to_numpy().view(np.uint64)
+        signs = [_Signatures(t.column("v").combine_chunks()) for t in (left, right)] if vector else []
+        named = [t.column("name").combine_chunks() for t in (left, left if whole else right)]
+        for i, j, h in _near(hashes(left), None if whole else hashes(right), most):
+            names = [named[0].take(pa.array(i)), named[1].take(pa.array(j))]
+            found = signs[0].against(signs[0 if whole else 1], i, j) if vector else ()
+            yield pa.RecordBatch.from_arrays([*names, pa.array(h), *found], names=["x", "y", "h", *(("corr", "mae") if vector else ())])
+
     kind = a.schema[name].dataType.simpleString()
-    met = left.unionByName(right).groupBy("p", "q", "i", "j").applyInArrow(lambda t: _met(t, most), f"x {kind}, y {kind}, h int")
-    return met.where("x < y") if b is None else met
+    columns = ["i", "j", "second", "name", "hash", *(["v"] if vector else [])]
+    met = dealt.select(*columns).groupBy("i", "j").applyInArrow(run, f"x {kind}, y {kind}, h int" + (", corr double, mae double" if vector else ""))
+    if b is not None:
+        return met
+    rest = ["h", *(["corr", "mae"] if vector else [])]
+    return met.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), *rest)
 
 
 def nearest(holdout: DataFrame, train: DataFrame, most: int = 4, name: str = "vec_id", hash_col: str = "dhash") -> DataFrame:

@@ -394,9 +394,8 @@ q AS (SELECT x, y, h, round(list_dot_product(ca, cb) / (greatest(sqrt(list_dot_p
 
 
 def _pairs(spark, sf):
-    h = _hashes(spark, sf)
-    met = duplicates.within(h, None, SCENE_BITS)
-    return duplicates.similar_pairs(met, h).withColumns({"corr": F.round("corr", 6), "mae": F.round("mae", 6)})
+    met = duplicates.within(_hashes(spark, sf), None, SCENE_BITS, vector="v")
+    return met.withColumns({"corr": F.round("corr", 6), "mae": F.round("mae", 6)})
 
 
 @query(f"WITH {PAIRS} SELECT * FROM q")
@@ -455,9 +454,10 @@ def split_decision(spark, sf):
     given = images.select("image", split.alias("split"))
     assigned = given.where("image % 53 <> 0").unionByName(given.where("image % 71 = 0 AND image > 0").withColumn("image", -x))
     side = lambda n, s: assigned.select(x.alias(n), F.col("split").alias(s))
-    crossing = _pairs(spark, sf).join(side("x", "sx"), "x").join(side("y", "sy"), "y").where("sx <> sy")
+    # far fewer pairs fit a rule than are candidates
+    crossing = duplicates.scene_rule(_pairs(spark, sf), RULES).join(side("x", "sx"), "x").join(side("y", "sy"), "y").where("sx <> sy")
     out = allocator.decision(images, assigned, images, duplicates.scene_rule(crossing, RULES[:1]))
-    return out.join(duplicates.scene_rule(crossing, RULES).agg(F.count("*").alias("sensitivity_pairs")), how="cross")
+    return out.join(crossing.agg(F.count("*").alias("sensitivity_pairs")), how="cross")
 
 
 ALIASES = {"en": "close_drone", "de": "distant_drone", "fr": "bird"}

@@ -321,3 +321,24 @@ def test_mean_average_precision(spark):
     for c in (0, 1):
         assert math.isclose(got[c].ap50, ap(c, 0.5), abs_tol=1e-9) and math.isclose(got[c].ap50_95, (ap(c, 0.5) + ap(c, 0.75)) / 2, abs_tol=1e-9)
     assert math.isclose(got[None].ap50, (got[0].ap50 + got[1].ap50) / 2)
+
+
+def test_pairs_measured_inside_blocks(spark, monkeypatch):
+    """Vectors travel with their block, not with each pair: no join in the plan, and the values of the column functions, odd vectors included."""
+    rng = random.Random(4)
+    odd = [None, [], [1.0, 2.0], [0.5] * 4, [1.0, None, 2.0, 3.0], [float("nan")] * 4]
+    data = [(i, rng.getrandbits(20), odd[i] if i < 6 else [rng.random() for _ in range(4)]) for i in range(60)]
+    df = spark.createDataFrame([(i, h, v) for i, h, v in data if v != []], "vec_id int, dhash bigint, v array<double>")
+    monkeypatch.setattr(duplicates, "PER_BLOCK", 9)
+    monkeypatch.setattr(duplicates, "CHUNK", 7)
+    met = duplicates.within(df, None, 8, vector="v")
+    assert "Join" not in met._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.x, r.y): (r.h, r.corr, r.mae) for r in met.collect()}
+    a, b = df.select(*[F.col(c).alias(c + "1") for c in df.columns]), df.select(*[F.col(c).alias(c + "2") for c in df.columns])
+    h = F.bit_count(F.col("dhash1").bitwiseXOR(F.col("dhash2")))
+    pairs = a.join(b, (F.col("vec_id1") < F.col("vec_id2")) & (h <= 8))
+    want = {(r[0], r[1]): r[2:] for r in pairs.select("vec_id1", "vec_id2", h, vectors.correlation(F.col("v1"), F.col("v2")), vectors.mean_absolute_error(F.col("v1"), F.col("v2"))).collect()}
+    # vectors of unlike lengths have no correlation; one without numbers counts as constant
+    want = {k: (x[0], None, None) if 2 in k and not {0, 3, 4} & set(k) else x for k, x in want.items()}
+    plain = lambda d: {k: tuple(str(x) for x in v) for k, v in d.items()}
+    assert len(want) > 300 and plain(got) == plain(want)
