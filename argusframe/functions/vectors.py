@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,3 +69,15 @@ def differs(a: Column, b: Column, tolerance: float) -> Column:
     """abs(a - b) > tolerance, never for NaN."""
     d = F.abs(a - b)
     return ~F.isnan(d) & (d > tolerance)
+
+
+def dense(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, sizes, valid) of a column of vectors: a row each, zeros beyond its size; one that is null or holds a null is not valid and all zeros."""
+    flat, sizes = column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    width = int(sizes.max(initial=0))
+    if not column.null_count and not flat.null_count and len(flat) == width * len(column):
+        return flat.to_numpy().reshape(len(column), width), sizes, np.ones(len(column), bool)
+    rows = column.to_pylist()
+    valid = np.array([r is not None and None not in r for r in rows], bool)
+    v = np.array([(r + [0.0] * (width - len(r))) if ok else [0.0] * width for r, ok in zip(rows, valid, strict=True)], float)
+    return v.reshape(len(column), width), sizes, valid

@@ -7,12 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import correlation, hamming, mean_absolute_error
+from ..functions.vectors import correlation, dense, hamming, mean_absolute_error
 
 #: Bits of a perceptual hash, and those up to which a search goes by equal bands.
 HASH_BITS, BANDED = 64, 5
@@ -41,15 +40,7 @@ class _Signatures:
     """A block's vectors by component, with each row's sum and spread; all sums run in the order of the components, as those of functions.vectors do."""
 
     def __init__(self, column: pa.ListArray):
-        values, self.size = column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy()
-        width = int(self.size.max(initial=0))
-        self.valid = np.ones(len(column), bool)
-        if column.null_count or values.null_count or len(values) != width * len(column):
-            rows = column.to_pylist()
-            self.valid = np.array([r is not None and None not in r for r in rows], bool)
-            v = np.array([(r + [0.0] * (width - len(r))) if ok else [0.0] * width for r, ok in zip(rows, self.valid)], float).reshape(len(column), width)
-        else:
-            v = values.to_numpy().reshape(len(column), width)
+        v, self.size, self.valid = dense(column)
         self.parts = np.ascontiguousarray(v.T)
         self.total, square = np.zeros(len(column)), np.zeros(len(column))
         for x in self.parts:

@@ -2,27 +2,83 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import dot
+from ..functions.vectors import dense
 
-#: Gallery samples that go to every task as one array; a larger gallery is dealt to tasks in blocks of so many.
-GALLERY_BLOCK = 2_000
+#: Rows of a block of probes or of the gallery, blocks into which fewer probes are cut for the sake of all cores, and products held at once.
+BLOCK, LEAST_BLOCKS, SMALL_BLOCK, SLAB = 1 << 13, 12, 1 << 9, 1 << 20
+
+
+def _best(p: np.ndarray, g: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of p the row of g with the largest inner product, the least in order on ties, and that product; -1 and -inf for none that is a number.
+
+    Candidates come from a matrix product; those that its rounding leaves open are summed again one component after the
+    other, as functions.vectors.dot does, so equal samples tie.
+    """
+    best, score = np.full(len(p), -1), np.full(len(p), -np.inf)
+    if not len(g):
+        return best, score
+    exact = np.isfinite(p).all() and np.isfinite(g).all()
+    slack = 8 * (p.shape[1] + 1) * np.finfo(float).eps * np.sqrt((g * g).sum(1).max()) * np.sqrt((p * p).sum(1)) if exact else None
+    for at in range(0, len(p), step := max(1, SLAB // len(g))):
+        some = p[at : at + step]
+        if exact and np.isfinite(slack[at : at + step]).all():
+            s = some @ g.T
+            i, j = np.nonzero(s >= (s.max(1) - slack[at : at + step])[:, None])
+        else:
+            i, j = (x.ravel() for x in np.indices((len(some), len(g))))
+        t = np.zeros(len(i))
+        with np.errstate(invalid="ignore", over="ignore"):
+            for k in range(p.shape[1]):
+                t += some[i, k] * g[j, k]
+        i, j, t = (x[t > -np.inf] for x in (i, j, t))  # neither NaN
+        by = np.lexsort((order[j], -t, i))
+        own, first = np.unique(i[by], return_index=True)
+        best[at + own], score[at + own] = j[by][first], t[by][first]
+    return best, score
 
 
 def identify(probes: DataFrame, gallery: DataFrame, threshold: float = 0.363, probe_id: str = "probe_id", vector: str = "v", name: str = "name", ordinal: str = "ordinal") -> DataFrame:
     """(probe_id, name, score): the gallery sample with the largest inner product, the first on ties.
 
-    Under the threshold the name is Unknown and the score max(score, 0). The gallery travels as arrays of at most
-    GALLERY_BLOCK samples; each probe meets each array once.
+    Under the threshold the name is Unknown and the score max(score, 0). Probes and gallery are cut into blocks of bounded
+    size, and a task takes one of each; a block gives one row a probe.
     """
-    blocks = gallery.groupBy(F.floor(F.col(ordinal) / GALLERY_BLOCK).alias("_block")).agg(F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(name).alias("n"), F.col(vector).alias("g")))).alias("_samples"))
-    start = F.struct(F.lit(float("-inf")).alias("s"), F.lit(None).cast("bigint").alias("o"), F.lit(None).cast(gallery.schema[name].dataType).alias("n"))
-    best = F.aggregate(F.transform("_samples", lambda x: F.struct(dot(F.col(vector), x["g"]).alias("s"), x["o"].cast("bigint").alias("o"), x["n"].alias("n"))), start, lambda a, x: F.when(~F.isnan(x["s"]) & (x["s"] > a["s"]), x).otherwise(a))
-    met = probes.select(probe_id, vector).join(blocks if gallery.limit(GALLERY_BLOCK + 1).count() > GALLERY_BLOCK else F.broadcast(blocks), how="cross").select(probe_id, best.alias("b"))
-    top = met.groupBy(probe_id).agg(F.max_by("b", F.struct(F.col("b.s"), -F.col("b.o"))).alias("b"))
+    cut = lambda d: max(1, -(-d.count() // BLOCK))
+    asked, known = probes.count(), cut(gallery)
+    parts = max(1, -(-asked // BLOCK), min(LEAST_BLOCKS, -(-asked // SMALL_BLOCK)))
+    block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    double = F.col(vector).cast("array<double>").alias("v")
+    kinds = {"p": probes.schema[probe_id].dataType.simpleString(), "n": gallery.schema[name].dataType.simpleString()}
+    empty = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    left = probes.select(block(probe_id, parts).alias("i"), every(known).alias("j"), F.col(probe_id).alias("p"), empty("n"), F.lit(None).cast("bigint").alias("o"), double, F.lit(False).alias("known"))
+    right = gallery.select(every(parts).alias("i"), block(ordinal, known).alias("j"), empty("p"), F.col(name).alias("n"), F.col(ordinal).cast("bigint").alias("o"), double, F.lit(True).alias("known"))
+
+    def run(t: pa.Table) -> pa.Table:
+        of = t.column("known").to_numpy()
+        p, g = (t.take(pa.array(np.flatnonzero(x))) for x in (~of, of))
+        pv, ps, pok = dense(p.column("v").combine_chunks())
+        gv, gs, gok = dense(g.column("v").combine_chunks())
+        order, best, score = g.column("o").to_numpy(), np.full(len(pv), -1), np.full(len(pv), -np.inf)
+        for size in np.unique(ps[pok]):
+            i, j = np.flatnonzero(pok & (ps == size)), np.flatnonzero(gok & (gs == size))
+            at, score[i] = _best(pv[i, :size], gv[j, :size], order[j])
+            best[i[at >= 0]] = j[at[at >= 0]]
+        if not len(gv):  # nobody to meet
+            best = best[:0]
+            p = p.slice(0, 0)
+            score = score[:0]
+        found = pa.array(best, mask=best < 0)
+        return pa.table({"p": p.column("p"), "s": pa.array(score), "o": g.column("o").take(found), "n": g.column("n").take(found)})
+
+    met = left.unionByName(right).groupBy("i", "j").applyInArrow(run, f"p {kinds['p']}, s double, o bigint, n {kinds['n']}")
+    top = met.groupBy(F.col("p").alias(probe_id)).agg(F.max_by(F.struct("s", "o", "n"), F.struct(F.col("s"), -F.col("o"))).alias("b"))
     hit = F.col("b.s") >= threshold
     return top.select(probe_id, F.when(hit, F.col("b.n")).otherwise("Unknown").alias("name"), F.when(hit, F.col("b.s")).otherwise(F.greatest("b.s", F.lit(0.0))).alias("score"))
 

@@ -342,3 +342,28 @@ def test_pairs_measured_inside_blocks(spark, monkeypatch):
     want = {k: (x[0], None, None) if 2 in k and not {0, 3, 4} & set(k) else x for k, x in want.items()}
     plain = lambda d: {k: tuple(str(x) for x in v) for k, v in d.items()}
     assert len(want) > 300 and plain(got) == plain(want)
+
+
+def test_gallery_in_blocks(spark, monkeypatch):
+    """Blocks of probes and samples, equal samples, samples without a number: the rows of every pair compared; no pair leaves its block."""
+    rng = random.Random(9)
+    unit = lambda: [rng.choice([0.1, 0.3, 0.7, -0.2]) for _ in range(5)]
+    samples = [(i, f"n{i % 7}", unit()) for i in range(40)]
+    samples += [(40 + i, f"m{i}", samples[i][2]) for i in range(20)] + [(60, "none", None), (61, "nan", [float("nan")] * 5), (62, "hole", [1.0, None, 9.0, 9.0, 9.0]), (63, "short", [9.0])]
+    probes = [(i, unit()) for i in range(30)] + [(30, None), (31, [float("nan")] * 5), (32, [-x for x in [9.0] * 5])]
+    monkeypatch.setattr(identity, "BLOCK", 8)
+    got = identity.identify(spark.createDataFrame(probes, "probe_id int, v array<double>"), spark.createDataFrame(samples, "ordinal int, name string, v array<double>"))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for i, p in probes:
+        met = []
+        for o, n, g in samples:
+            if p and g and None not in g and len(g) == len(p):
+                s = 0.0
+                for x, y in zip(p, g):
+                    s += x * y
+                if s == s:
+                    met.append((-s, o, n))
+        s, o, n = min(met, default=(math.inf, 0, None))
+        want[i] = (n, -s) if -s >= 0.363 else ("Unknown", max(-s, 0.0))
+    assert {r.probe_id: (r.name, r.score) for r in got.collect()} == want and len({n for n, _ in want.values()}) > 4
