@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import iou
+from .duplicates import checkpoint_folder
 
 #: The overlaps at which average precision is taken.
 OVERLAPS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
@@ -46,35 +47,56 @@ def matches(predictions: DataFrame, truths: DataFrame, overlap: float = 0.5) ->
 
 
 def matches_at(predictions: DataFrame, truths: DataFrame, overlaps: tuple[float, ...] = OVERLAPS) -> DataFrame:
-    """matches() at each of several overlaps: a row for each prediction and overlap, from one join of boxes."""
-    every = lambda keep: F.explode(F.filter(F.array(*map(F.lit, overlaps)), keep))
+    """matches() at each of several overlaps: a row for each prediction, with hits, an array with a 0 or 1 for each overlap, from one join of boxes."""
     met = predictions.join(truths, ["image", "class_id"]).withColumn("_iou", iou("b", "t")).where(F.col("_iou") >= min(overlaps))
-    met = met.select("image", "class_id", "pred", "truth", "score", "_iou", every(lambda o: F.col("_iou") >= o).alias("overlap"))
-    best = met.groupBy("overlap", "image", "class_id", "pred").agg(F.max_by("truth", F.struct("_iou", -F.col("truth"))).alias("truth"), F.first("score").alias("score"))
-    w = Window.partitionBy("overlap", "image", "class_id", "truth").orderBy(F.desc("score"), "pred")
-    taken = best.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("overlap", "image", "class_id", "pred", F.lit(1).alias("hit"))
-    asked = predictions.select("image", "class_id", "pred", "score", every(lambda o: F.lit(True)).alias("overlap"))
-    return asked.join(taken, ["overlap", "image", "class_id", "pred"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    met = met.select("image", "class_id", "pred", "truth", "score", "_iou", F.posexplode(F.array(*map(F.lit, overlaps))).alias("_at", "overlap")).where("_iou >= overlap")
+    best = met.groupBy("_at", "image", "class_id", "pred").agg(F.max_by("truth", F.struct("_iou", -F.col("truth"))).alias("truth"), F.first("score").alias("score"))
+    w = Window.partitionBy("_at", "image", "class_id", "truth").orderBy(F.desc("score"), "pred")
+    taken = best.withColumn("_r", F.row_number().over(w)).where("_r = 1").groupBy("image", "class_id", "pred").agg(F.collect_set("_at").alias("_hits"))
+    hits = F.array(*[F.coalesce(F.array_contains("_hits", k), F.lit(False)).cast("int") for k in range(len(overlaps))])
+    return predictions.join(taken, ["image", "class_id", "pred"], "left").select("image", "class_id", "pred", "score", hits.alias("hits"))
 
 
-def average_precision(found: DataFrame, truths: DataFrame, points: int = 101, by: tuple[str, ...] = ("class_id",)) -> DataFrame:
-    """(by, ap, precision, recall): interpolated precision at evenly spaced recalls, and both at the end of the list."""
+def _ranked(found: DataFrame, hits: int) -> DataFrame:
+    """(class_id, _k, _h, _tp): of each prediction its place by falling score in its class, its hits, and the hits up to it, arrays of so many.
+
+    Predictions are dealt by ranges of class and score; counts of each range, of which there are as many as partitions, place it.
+    """
+    checkpoint_folder(found.sparkSession)
+    order = (F.desc("score"), "image", "pred")
+    dealt = found.repartitionByRange("class_id", *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    counts = [F.sum(F.get("hits", F.lit(k))).alias(f"_h{k}") for k in range(hits)]
+    parts = dealt.groupBy("class_id", "_part").agg(F.count("*").alias("_n"), *counts)
+    up = Window.partitionBy("class_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(up), F.lit(0))
+    offsets = parts.select("class_id", "_part", before("_n").alias("_k0"), F.array(*[before(f"_h{k}") for k in range(hits)]).alias("_tp0"))
+    w = Window.partitionBy("class_id", "_part").orderBy(*order)
+    own = dealt.select("class_id", "_part", "hits", F.row_number().over(w).alias("_own"), F.array(*[F.sum(F.get("hits", F.lit(k))).over(w) for k in range(hits)]).alias("_up"))
+    return own.join(F.broadcast(offsets), ["class_id", "_part"]).select("class_id", (F.col("_k0") + F.col("_own")).alias("_k"), F.col("hits").alias("_h"), F.zip_with("_tp0", "_up", lambda x, y: x + y).alias("_tp"))
+
+
+def _precisions(found: DataFrame, truths: DataFrame, points: int, hits: int) -> DataFrame:
+    """(at, class_id, ap, precision, recall) for each of so many places of the array hits."""
     n = truths.groupBy("class_id").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(F.desc("score"), "image", "pred")
-    c = found.join(F.broadcast(n), "class_id").withColumn("_tp", F.sum("hit").over(w)).withColumn("_k", F.row_number().over(w))
-    c = c.select(*by, "_k", "_tp", "_n", (F.col("_tp") / F.col("_k")).alias("p"))
-    after = c.withColumn("env", F.max("p").over(Window.partitionBy(*by).orderBy(F.desc("_k"))))
-    # the first place at which each number of hits is reached carries the best precision from there on
-    steps = after.groupBy(*by, "_n", "_tp").agg(F.max("env").alias("env"))
-    w2 = Window.partitionBy(*by).orderBy("_tp")
-    at = steps.where("_tp > 0").withColumn("_from", F.floor((F.col("_tp") - 1) * (points - 1) / F.col("_n")) + 1).withColumn("_from", F.when(F.row_number().over(w2) == 1, 0).otherwise(F.col("_from"))).withColumn("_to", F.floor(F.col("_tp") * (points - 1) / F.col("_n")))
-    ap = at.groupBy(*by).agg((F.sum(F.col("env") * F.greatest(F.col("_to") - F.col("_from") + 1, F.lit(0))) / points).alias("ap"))
-    end = c.groupBy(*by).agg((F.max("_tp") / F.max("_k")).alias("precision"), (F.max("_tp") / F.max("_n")).alias("recall"))
-    return end.join(ap, list(by), "left").select(*by, F.coalesce("ap", F.lit(0.0)).alias("ap"), "precision", "recall")
+    ranked = _ranked(found, hits).join(F.broadcast(n), "class_id")
+    each = F.array(*[F.struct(F.lit(k).alias("at"), F.get("_h", F.lit(k)).alias("h"), F.get("_tp", F.lit(k)).alias("tp")) for k in range(hits)])
+    c = ranked.select("class_id", "_k", "_n", F.explode(each).alias("x")).select(F.col("x.at").alias("at"), "class_id", "_k", "_n", F.col("x.h").alias("h"), F.col("x.tp").alias("tp"))
+    # a row for each recall asked for: the best precision of the places at which it is the last one reached; between hits precision only falls
+    reached = F.floor(F.col("tp") * (points - 1) / F.col("_n")).cast("int")
+    per = c.groupBy("at", "class_id", F.when(F.col("h") > 0, reached).otherwise(-1).alias("x")).agg(F.max(F.when(F.col("h") > 0, F.col("tp") / F.col("_k"))).alias("p"), F.max("_k").alias("k"), F.max("tp").alias("tp"), F.max("_n").alias("n"))
+    out = per.groupBy("at", "class_id").agg(F.collect_list(F.struct("x", "p")).alias("_s"), (F.max("tp") / F.max("k")).alias("precision"), (F.max("tp") / F.max("n")).alias("recall"))
+    best = lambda x: F.coalesce(F.array_max(F.transform(F.filter("_s", lambda s: s["x"] >= x), lambda s: s["p"])), F.lit(0.0))
+    total = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), best), F.lit(0.0), lambda a, v: a + v)
+    return out.select("at", "class_id", (total / points).alias("ap"), "precision", "recall")
+
+
+def average_precision(found: DataFrame, truths: DataFrame, points: int = 101) -> DataFrame:
+    """(class_id, ap, precision, recall): interpolated precision at evenly spaced recalls, and both at the end of the list."""
+    return _precisions(found.select("image", "class_id", "pred", "score", F.array("hit").alias("hits")), truths, points, 1).drop("at")
 
 
 def mean_average_precision(predictions: DataFrame, truths: DataFrame, overlaps: tuple[float, ...] = OVERLAPS) -> DataFrame:
     """(class_id, ap50, ap50_95): average precision at the least overlap and its mean over all; the row without a class is the mean of the classes."""
-    ap = average_precision(matches_at(predictions, truths, overlaps), truths, by=("overlap", "class_id"))
-    per = ap.groupBy("class_id").agg(F.max(F.when(F.col("overlap") == min(overlaps), F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap50_95"))
+    ap = _precisions(matches_at(predictions, truths, overlaps), truths, 101, len(overlaps))
+    per = ap.groupBy("class_id").agg(F.max(F.when(F.col("at") == overlaps.index(min(overlaps)), F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap50_95"))
     return per.unionByName(per.agg(F.lit(None).cast("int").alias("class_id"), F.avg("ap50").alias("ap50"), F.avg("ap50_95").alias("ap50_95")))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -164,18 +164,22 @@ def threshold_counts(pairs: DataFrame, corr: list[float], mae: list[float]) -> D
     return pairs.agg(F.count("*").alias("pairs"), *[F.count_if((F.col("corr") >= c) & ~F.isnan("corr")).alias(f"corr_{round(c * 100)}") for c in corr], *[F.count_if(F.col("mae") <= m).alias(f"mae_{round(m * 1000)}") for m in mae])
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Let reliable checkpoints go to the folder that all executors share."""
+    if not spark.sparkContext.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset; a cluster needs a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="argusframe-"))
+
+
 def components(nodes: DataFrame, edges: DataFrame, name: str = "vec_id", rounds: int = 100) -> DataFrame:
     """(name, component): the smallest name reachable over edges (x, y); a node without edges is its own component.
 
     Large-star and small-star rounds by turns (Kiveris and others, 2014); each round is an aggregation with map-side
     combine and a join, and lineage is cut by a reliable checkpoint.
     """
-    spark = nodes.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir is unset; a cluster needs a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="argusframe-"))
+    checkpoint_folder(nodes.sparkSession)
     e = edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct().checkpoint()
     before = None
     for _ in range(rounds):

@@ -387,3 +387,26 @@ def test_buffer_streams_past(spark):
                 assert got[k, i] == (len(held), sum(x[3] for x in held))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_predictions_ranked_by_ranges(spark):
+    """One class of one score is ranked in several ranges, none of which holds most of it; places and hits as in one ordered list."""
+    from argusframe.operators import detection_metrics as m
+
+    rng = random.Random(6)
+    data = [(i, 0, 1, 0.5, [rng.randrange(2), rng.randrange(2)]) for i in range(4000)]
+    found = spark.createDataFrame(rng.sample(data, len(data)), "image int, class_id int, pred int, score double, hits array<int>")
+    ranked = m._ranked(found, 2)
+    got = sorted((r["_k"], list(r["_h"]), list(r["_tp"])) for r in ranked.collect())
+    up, want = [0, 0], []
+    for k, r in enumerate(data):
+        up = [a + b for a, b in zip(up, r[4])]
+        want.append((k + 1, r[4], up))
+    assert got == want
+    sizes = [r["n"] for r in ranked.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(sizes) == 4000 and "_part" in plan.split("Window", 1)[1]
+    truths = spark.createDataFrame([(i, 0, 1) for i in range(5000)], "image int, class_id int, truth int")
+    ap = m.average_precision(found.withColumn("hit", F.get("hits", F.lit(0))), truths).first()
+    p = [(t[0] / k, t[0]) for k, _, t in want]
+    assert ap.ap == pytest.approx(sum(max((v for v, tp in p if tp * 100 >= x * 5000), default=0) for x in range(101)) / 101) and ap.recall == up[0] / 5000
