@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 def unpaired(images: DataFrame, label_files: DataFrame, name: str = "image") -> DataFrame:
     """(name, side): images without a label file and label files without an image."""
-    a, b = images.select(name).distinct(), label_files.select(name).distinct()
-    return a.join(b, name, "left_anti").withColumn("side", F.lit("no_label")).unionByName(b.join(a, name, "left_anti").withColumn("side", F.lit("no_image")))
+    both = images.select(name, F.lit(0).alias("_side")).unionByName(label_files.select(name, F.lit(1).alias("_side")))
+    # a null name pairs with nothing
+    per = both.groupBy(name, F.when(F.col(name).isNull(), F.col("_side")).alias("_own")).agg(F.min("_side").alias("_lo"), F.max("_side").alias("_hi"))
+    return per.where("_lo = _hi").select(name, F.when(F.col("_lo") == 0, "no_label").otherwise("no_image").alias("side"))
 
 
 def _fields(raw: Column) -> Column:

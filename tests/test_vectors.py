@@ -410,3 +410,13 @@ def test_predictions_ranked_by_ranges(spark):
     ap = m.average_precision(found.withColumn("hit", F.get("hits", F.lit(0))), truths).first()
     p = [(t[0] / k, t[0]) for k, _, t in want]
     assert ap.ap == pytest.approx(sum(max((v for v, tp in p if tp * 100 >= x * 5000), default=0) for x in range(101)) / 101) and ap.recall == up[0] / 5000
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+
+def test_unpaired_in_one_aggregation(spark):
+    a, b = spark.createDataFrame([(1,), (1,), (2,), (None,)], "image int"), spark.createDataFrame([(2,), (3,), (3,), (None,)], "image int")
+    got = labels.unpaired(a, b)
+    assert joins(got) == 0 and sorted(map(str, map(tuple, got.collect()))) == ["(1, 'no_label')", "(3, 'no_image')", "(None, 'no_image')", "(None, 'no_label')"]
