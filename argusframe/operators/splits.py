@@ -49,10 +49,11 @@ def leaks(rows: DataFrame, group: str = "group_id", split: str = "split") -> Dat
 
 def preflight(splits: DataFrame, images: DataFrame, bad_lines: DataFrame, name: str = "image", split: str = "split") -> DataFrame:
     """(split, listed, missing, bad_labels, overlap, ready) for each split list against images at hand and faulty label lines."""
-    listed = splits.select(name, split).distinct()
-    at_hand = images.select(name).distinct().withColumn("_here", F.lit(1))
-    bad = bad_lines.groupBy(name).agg(F.count("*").alias("_bad"))
-    many = listed.groupBy(name).agg(F.count("*").alias("_in"))
-    t = listed.join(at_hand, name, "left").join(bad, name, "left").join(many, name)
+    row = lambda d, in_, here, bad: d.select(name, in_.alias("_in"), F.lit(here).alias("_here"), F.lit(bad).alias("_bad"))
+    none = F.lit(None).cast(f"struct<s:{splits.schema[split].dataType.simpleString()}>")
+    # one aggregation by name in place of four and their joins
+    every = row(splits, F.struct(F.col(split).alias("s")), 0, 0).unionByName(row(images, none, 1, 0)).unionByName(row(bad_lines, none, 0, 1)).where(F.col(name).isNotNull())
+    per = every.groupBy(name).agg(F.collect_set("_in").alias("_in"), F.max("_here").alias("_here"), F.sum("_bad").alias("_bad"))
+    t = per.select(F.explode("_in").alias("_s"), F.size("_in").alias("_in"), F.when(F.col("_here") > 0, 1).alias("_here"), "_bad").select(F.col("_s.s").alias(split), "_in", "_here", "_bad")
     out = t.groupBy(split).agg(F.count("*").alias("listed"), F.count_if(F.col("_here").isNull()).alias("missing"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad_labels"), F.count_if(F.col("_in") > 1).alias("overlap"))
     return out.withColumn("ready", (F.col("missing") == 0) & (F.col("bad_labels") == 0) & (F.col("overlap") == 0))

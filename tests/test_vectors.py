@@ -420,3 +420,10 @@ def test_unpaired_in_one_aggregation(spark):
     a, b = spark.createDataFrame([(1,), (1,), (2,), (None,)], "image int"), spark.createDataFrame([(2,), (3,), (3,), (None,)], "image int")
     got = labels.unpaired(a, b)
     assert joins(got) == 0 and sorted(map(str, map(tuple, got.collect()))) == ["(1, 'no_label')", "(3, 'no_image')", "(None, 'no_image')", "(None, 'no_label')"]
+
+
+def test_preflight_in_one_aggregation(spark):
+    lists = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (3, None), (None, "b")], "image int, split string")
+    got = splits.preflight(lists, spark.createDataFrame([(1,), (3,), (9,)], "image int"), spark.createDataFrame([(1,), (1,), (9,)], "image int"))
+    assert joins(got) == 0
+    assert {tuple(r) for r in got.collect()} == {("a", 2, 1, 2, 1, False), ("b", 1, 0, 2, 1, False), (None, 1, 0, 0, 0, True)}
