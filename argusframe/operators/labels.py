@@ -24,12 +24,14 @@ def _fields(raw: Column) -> Column:
 
 def parsed(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """lines with blank, n_fields, cls and numbers; unreadable values are null. Underscores inside a number are read as Python does."""
-    clean = lambda x: F.regexp_replace(x, r"(?<=\d)_(?=\d)", "")
-    f = _fields(F.col(raw))
-    number = lambda i: F.get(f, F.lit(i))
-    cls = F.when(number(0).rlike(r"^[+-]?\d+(_\d+)*$"), clean(number(0)).try_cast("bigint"))
+    clean = lambda x: F.when(F.contains(x, F.lit("_")), F.regexp_replace(x, r"(?<=\d)_(?=\d)", "")).otherwise(x)
+    f, first = F.col("_fields"), F.get("_fields", F.lit(0))
+    cls = F.when(first.rlike(r"^[+-]?\d+(_\d+)*$"), clean(first).try_cast("bigint"))
     floats = F.transform(F.slice(f, 2, 4), lambda x: clean(x).try_cast("double"))
-    return lines.withColumn("blank", F.size(f) == 0).withColumn("n_fields", F.size(f)).withColumn("cls", cls).withColumn("numbers", floats)
+    read = F.struct((F.size(f) == 0).alias("blank"), F.size(f).alias("n_fields"), cls.alias("cls"), floats.alias("numbers"))
+    # a generator of one row: filters on what was read stay above it, so a line is read once and not once a mention
+    kept = lines.drop("blank", "n_fields", "cls", "numbers")
+    return kept.withColumn("_fields", _fields(F.col(raw))).select(*kept.columns, F.inline(F.array(read)))
 
 
 def _at(i: int) -> Column:

@@ -77,3 +77,10 @@ def test_allocator_against_a_plain_fold(spark):
         want[i] = min(change, key=lambda name: change[name])
         have[want[i]] = plus[want[i]]
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["yolo_validate_a", "yolo_validate_b", "yolo_parse_c", "yolo_preflight_d", "label_class_counts"])
+def test_label_lines_are_read_once(spark, name):
+    """A line is split into fields once and not once a mention in filters and checks."""
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
