@@ -19,10 +19,19 @@ def most_common(rows: DataFrame, value: list[str], order: str, k: int = 12) -> D
     return per.orderBy(F.desc("n"), "first", *value).limit(k)
 
 
-def smallest_targets(images: DataFrame, objects: DataFrame, k: int = 24, image: str = "image", area: str = "area") -> DataFrame:
-    """The k images with the smallest object; those without objects come last, ties by name."""
-    least = objects.groupBy(image).agg(F.min(area).alias("min_area"))
-    return images.select(image).distinct().join(least, image, "left").orderBy(F.coalesce("min_area", F.lit(float("inf"))), image).limit(k)
+def smallest_targets(images: DataFrame, objects: DataFrame, k: int = 24, image: str = "image", area: str = "area", named: bool = False) -> DataFrame:
+    """The k images with the smallest object; those without objects come last, ties by name.
+
+    An object of null area counts for nothing but its image; with named, only images of some object take part. One
+    aggregation by name takes the place of a join, so a task holds a name and an area and sorts no rows.
+    """
+    none = F.lit(None).cast(objects.schema[area].dataType)
+    own = images.select(image, none.alias("_area"), F.lit(True).alias("_image"), F.lit(False).alias("_object"))
+    # a null name has no objects
+    theirs = objects.where(F.col(image).isNotNull()).select(image, F.col(area).alias("_area"), F.lit(False).alias("_image"), F.lit(True).alias("_object"))
+    least = own.unionByName(theirs).groupBy(image).agg(F.min("_area").alias("min_area"), F.max("_image").alias("_image"), F.max("_object").alias("_object"))
+    kept = least.where(F.col("_image") & F.col("_object") if named else F.col("_image")).select(image, "min_area")
+    return kept.orderBy(F.coalesce("min_area", F.lit(float("inf"))), image).limit(k)
 
 
 def seeded_sample(rows: DataFrame, k: int, name: str, seed: int = 0) -> DataFrame:

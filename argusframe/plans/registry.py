@@ -279,8 +279,8 @@ def top_dimensions(spark, sf):
 
 @query(f"""WITH {v.BOXES}, a AS (SELECT image, min(w * h) FILTER (class_id = 1) AS min_area FROM boxes GROUP BY 1) SELECT image, min_area FROM a ORDER BY coalesce(min_area, 'inf'::DOUBLE), image LIMIT 24""")
 def smallest_targets(spark, sf):
-    b = v.boxes(spark, sf)
-    return topk.smallest_targets(b, b.where("class_id = 1").withColumn("area", F.col("w") * F.col("h")))
+    images = v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("image"))
+    return topk.smallest_targets(images, v.box_lines(spark, sf).withColumn("area", F.when(F.col("class_id") == 1, F.col("w") * F.col("h"))), named=True)
 
 
 @query(f"""WITH {v.BOXES} SELECT split, level, image, ord, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY split, level ORDER BY score DESC, image * 1000 + ord) AS INT) AS rank FROM boxes) WHERE rank <= 100""")

@@ -57,6 +57,12 @@ DETECTIONS = """detections AS (
   FROM events)"""
 
 
+def box_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, class_id, w, h) as in boxes, of every line item, whether or not its order is there."""
+    q, d = F.col("l_quantity").cast("bigint"), F.round(F.col("l_discount") * 100).cast("bigint")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), (F.col("l_linenumber") % 2).cast("int").alias("class_id"), (2 + q * 4).alias("w"), (2 + F.col("l_linenumber") * 25 + d).cast("bigint").alias("h"))
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised boxes of images (orders), in whole pixels of a 1000 x 800 image; splits by order status."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("q"), F.round(F.col("l_discount") * 100).cast("bigint").alias("d"), F.round(F.col("l_tax") * 100).cast("bigint").alias("t"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("p"))

@@ -84,3 +84,30 @@ def test_label_lines_are_read_once(spark, name):
     """A line is split into fields once and not once a mention in filters and checks."""
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_smallest_targets_of_odd_rows(spark, tmp_path):
+    """Orders without lines, lines without an order, null keys and repeated orders, against the SQL; no rows are sorted to be joined."""
+    li, o = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("lineitem", "orders"))
+    some = o.where("o_orderkey % 3 <> 0")
+    lines = li.where("l_orderkey % 5 <> 0 AND (l_orderkey % 7 <> 0 OR l_linenumber % 2 = 0)")
+    nulled = lambda df, key: df.unionByName(df.limit(3).selectExpr(*[f"CAST(NULL AS BIGINT) AS {c}" if c == key else c for c in df.columns]))
+    nulled(lines, "l_orderkey").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    nulled(some.unionByName(some.limit(50)), "o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df = registry.QUERIES["smallest_targets"](spark, str(tmp_path))
+    assert rows(df.toPandas()) == rows(c.sql(registry.ORACLES["smallest_targets"]).df())
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_smallest_targets_with_and_without_objects(spark):
+    from argusframe.operators import topk
+
+    images = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), (None,)], "image string")
+    objects = spark.createDataFrame([("b", 4.0), ("b", 2.0), ("c", None), (None, 1.0), ("z", 0.5)], "image string, area double")
+    assert [tuple(r) for r in topk.smallest_targets(images, objects).collect()] == [("b", 2.0), (None, None), ("a", None), ("c", None)]
+    assert [tuple(r) for r in topk.smallest_targets(images, objects, named=True).collect()] == [("b", 2.0), ("c", None)]
