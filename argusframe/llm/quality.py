@@ -7,19 +7,20 @@ out with the model, and log-determinants. A logistic curve fitted to that differ
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, spread, text_or_empty
-from .training import labelled_sample
+from .common import discard, held_out, materialise, slices, spread, text_or_empty
+from .training import learnable
 
-#: Bound of the labelled sample: rows of each class.
-SAMPLE = 2500
+#: Rows of a part, about; sums of so many come to the driver at once.
+PART_ROWS = 8192
 #: Shrinkage of each class covariance to the pooled one, and of that to a sphere.
 TO_POOLED, TO_SPHERE = 0.2, 0.05
 
@@ -81,15 +82,24 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.difference(x) + self.offset, -35, 35)))
 
 
-def logistic(d: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+#: Sums over rows by part: each(f) gives f(statistics, labels) of every part, in order of the parts.
+Each = Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray]], list[np.ndarray]]
+
+
+def logistic(each: Each, difference: Callable[[np.ndarray], np.ndarray], weights: tuple[float, float]) -> tuple[float, float]:
     """Slope and offset by Newton's method, with a slight penalty so that separable data have an end."""
     a, b = 0.1, 0.0
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * d + b, -35, 35)))
-        g = np.array([((p - y) * weight * d).sum() + 1e-2 * a, ((p - y) * weight).sum() + 1e-2 * b])
-        s = np.maximum(p * (1 - p), 1e-6) * weight
-        h = np.array([[(s * d * d).sum() + 1e-2, (s * d).sum()], [(s * d).sum(), s.sum() + 1e-2]])
-        step = np.linalg.solve(h, g)
+
+        def terms(x: np.ndarray, y: np.ndarray, a: float = a, b: float = b) -> np.ndarray:
+            d, weight = difference(x), np.where(y == 1, weights[1], weights[0])
+            p = 1 / (1 + np.exp(-np.clip(a * d + b, -35, 35)))
+            s = np.maximum(p * (1 - p), 1e-6) * weight
+            return np.array([((p - y) * weight * d).sum(), ((p - y) * weight).sum(), (s * d * d).sum(), (s * d).sum(), s.sum()])
+
+        t = sum(each(terms), np.zeros(5))
+        g = t[:2] + 1e-2 * np.array([a, b])
+        step = np.linalg.solve(np.array([[t[2] + 1e-2, t[3]], [t[3], t[4] + 1e-2]]), g)
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-8:
             break
@@ -97,19 +107,29 @@ def logistic(d: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 
 
 def fit(x: np.ndarray, y: np.ndarray, share: float) -> Discriminant:
-    """From rows of statistics and 0/1 labels; share is that of label 1 among all learnable rows.
+    """From rows of statistics and 0/1 labels; share is that of label 1 among all learnable rows."""
+    return fit_over(lambda f: [f(x, y)], share)
+
 
-    With a class missing the score is that share for every document.
-    """
+def fit_over(each: Each, share: float) -> Discriminant:
+    """From the parts of all rows. With a class missing the score is the share for every document."""
     k = len(FEATURES)
-    if not (0 < y.sum() < len(y)):
+    total = sum(each(lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(0)])), np.zeros(2 + k))
+    n, ones = total[:2]
+    if not (0 < ones < n):
         p = min(max(share, 1e-3), 1 - 1e-3)
         return Discriminant(np.zeros(k), np.ones(k), np.zeros((2, k)), np.zeros((2, k, k)), np.zeros(2), 0.0, float(np.log(p / (1 - p))))
-    centre, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    z = np.clip((x - centre) / scale, -8, 8)
-    means = np.array([z[y == c].mean(0) for c in (0, 1)])
-    covs = [np.cov(z[y == c], rowvar=False, bias=True) if (y == c).sum() > 1 else np.eye(k) for c in (0, 1)]
-    pooled = (covs[0] * (y == 0).mean() + covs[1] * (y == 1).mean())
+    centre = total[2:] / n
+    scale = np.maximum(np.sqrt(sum(each(lambda x, y: ((x - centre) ** 2).sum(0)), np.zeros(k)) / n), 1e-6)
+
+    def moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        z = np.clip((x - centre) / scale, -8, 8)
+        return np.concatenate([np.concatenate([z[y == c].sum(0), (z[y == c].T @ z[y == c]).ravel()]) for c in (0, 1)])
+
+    m, counts = sum(each(moments), np.zeros(2 * k * (k + 1))).reshape(2, -1), np.array([n - ones, ones])
+    means = m[:, :k] / counts[:, None]
+    covs = [m[c, k:].reshape(k, k) / counts[c] - np.outer(means[c], means[c]) if counts[c] > 1 else np.eye(k) for c in (0, 1)]
+    pooled = covs[0] * counts[0] / n + covs[1] * counts[1] / n
     factors, log_dets = [], []
     for s in covs:
         s = (1 - TO_POOLED) * s + TO_POOLED * pooled
@@ -118,23 +138,40 @@ def fit(x: np.ndarray, y: np.ndarray, share: float) -> Discriminant:
         factors.append(np.linalg.inv(c))
         log_dets.append(2 * np.log(np.diag(c)).sum())
     out = Discriminant(centre, scale, means, np.array(factors), np.array(log_dets), 1.0, 0.0)
-    weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    out.slope, out.offset = logistic(out.difference(x), y.astype(float), weight)
+    out.slope, out.offset = logistic(each, out.difference, ((1 - share) / (1 - ones / n), share / (ones / n)))
     return out
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
-    """A discriminant from at most SAMPLE learnable rows of each class; statistics are taken on the executors."""
-    rows, share = labelled_sample(docs, labels, label, SAMPLE, SAMPLE, id_col, text_col)
+    """A discriminant from every learnable row; statistics and their sums are taken on the executors."""
+    rows, share, n, _ = learnable(docs, labels, label, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             x = [statistics(t).tolist() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column("label"), b.column("id").cast(pa.string())], names=["x", "y", "id"])
+            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("id"), pa.array(x, pa.list_(pa.float64())), b.column("label")], names=["part", "id", "x", "y"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("id", "ascending"), ("part", "ascending")]).combine_chunks()
+        flat = [pc.list_flatten(table["x"]).to_numpy().tobytes(), table["y"].to_numpy().astype(np.int8).tobytes()]
+        return pa.table([table["part"].slice(0, 1), pa.array(flat[:1], pa.binary()), pa.array(flat[1:], pa.binary())], names=["part", "x", "y"])
+
+    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(max(-(-n // PART_ROWS), 1))).alias("part"), F.col("id").cast("string").alias("id"), "text", "label")
+    stats = dealt.mapInArrow(run, "part bigint, id string, x array<double>, y int").groupBy("part").applyInArrow(pack, "part bigint, x binary, y binary")
+    packs = materialise(stats, "quality-parts")
 
-    found = rows.mapInArrow(run, "x array<double>, y int, id string").toPandas().sort_values(["id", "y"])
-    x = np.array(found["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
-    return fit(x, found["y"].to_numpy(dtype=int), share)
+    def each(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in b.to_pylist():
+                    v = f(np.frombuffer(r["x"]).reshape(-1, len(FEATURES)), np.frombuffer(r["y"], np.int8).astype(int))
+                    yield pa.RecordBatch.from_arrays([pa.array([r["part"]]), pa.array([v.tolist()], pa.list_(pa.float64()))], names=["part", "v"])
+
+        return [np.array(r["v"]) for r in sorted(packs.mapInArrow(sums, "part bigint, v array<double>").collect(), key=lambda r: r["part"])]
+
+    out = fit_over(each, share)
+    discard(packs)
+    return out
 
 
 def scored(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -327,6 +327,19 @@ def test_quality(spark, docs, none):
     assert {r.score for r in quality.judge(docs, lab.where("false")).collect()} == {0.5}
 
 
+def test_quality_learns_from_every_row(spark, monkeypatch):
+    """The model of parts on the executors is that of all learnable rows at once, however many there are."""
+    n = 7000
+    docs = spark.createDataFrame([(i, f"Text {i % 13} of " + "words " * (i % 11) + ("!! " * (i % 5) if i % 2 else ", .")) for i in range(n)], "doc_id bigint, text string")
+    lab = spark.createDataFrame([(i, int(i % 2 == 0 or i % 3 == 0)) for i in range(n)], "doc_id bigint, quality int")
+    monkeypatch.setattr(quality, "PART_ROWS", 2000)
+    got = quality.train(docs, lab)
+    own = [(r.text, r.quality) for r in docs.join(lab, "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    y = np.array([q for _, q in own])
+    want = quality.fit(np.array([quality.statistics(t) for t, _ in own]), y, y.mean())
+    assert np.allclose(got.centre, want.centre) and np.allclose(got.factors, want.factors) and got.slope == pytest.approx(want.slope, rel=1e-4)
+
+
 def test_toxicity(spark, docs, none):
     d, lab = labelled(spark)
     rows = toxicity.judge(d, lab).collect()
