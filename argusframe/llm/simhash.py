@@ -88,8 +88,8 @@ def _depth(largest: int, bits: int) -> int:
 
 
 def _dealt(largest: int, bits: int, budget: int) -> int:
-    """Rows that a table of so many values is dealt to its units as."""
-    return largest * sum(math.comb(_depth(largest, bits), r) for r in range(budget + 1))
+    """Rows that a table of so many values is dealt to the units of open_links() as: twice, by prefixes within half the budget."""
+    return largest * 2 * sum(math.comb(_depth(largest, bits), r) for r in range(budget // 2 + 1))
 
 
 def _units(values: DataFrame, bits: int, budget: int) -> DataFrame:
@@ -131,14 +131,30 @@ def trie_links(values: DataFrame, bits: int, budget: int) -> DataFrame:
     return _units(values, bits, budget).groupBy("t", "p", "i", "q", "j").applyInArrow(run, "t int, v bigint, w bigint")
 
 
+def _turned(values: DataFrame, bits: int) -> DataFrame:
+    """Each value as it is, with 2 t for its table, and with its lower half first, with 2 t + 1."""
+    upper = bits // 2
+    lower = bits - upper
+    turned = F.shiftleft(F.col("v").bitwiseAND(F.lit((1 << lower) - 1)), upper).bitwiseOR(F.shiftrightunsigned("v", lower))
+    both = F.array(F.struct((F.col("t") * 2).alias("t"), F.col("v")), F.struct((F.col("t") * 2 + 1).alias("t"), turned.alias("v")))
+    return values.select("g", F.explode(both).alias("x")).select("x.t", "x.v", "g")
+
+
 def open_links(values: DataFrame, bits: int, budget: int) -> DataFrame:
     """(t, v, w): for each table t every link (v, w) within budget bits, except between values of one group.
 
-    values has distinct (t, v) and a bigint g, the group of v or null for none. Links leave a unit as they are found.
+    values has distinct (t, v), v of fewer than 64 bits, and a bigint g, the group of v or null for none. Links leave a unit as they are found.
+    Of a link's differing bits at most half of the budget are in one half of the bits. So each value is dealt twice, with either half
+    first, and a trie is only searched within half the budget down to that half's end: the node pairs a value grow with its
+    table's depth and not with the depth's budget-th power. A link that both searches find is that of the first.
     """
+    few, upper = budget // 2, bits // 2
+    lower = bits - upper
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, p, i, q, j = (k.as_py() for k in key)
+        t, turned = divmod(t, 2)
+        ahead = lower if turned else upper
         rows = pa.Table.from_batches(batches)
         v, first = rows.column("v").to_numpy().view(np.uint64), rows.column("first").to_numpy(zero_copy_only=False)
         g, alone = rows.column("g").fill_null(0).to_numpy(), rows.column("g").is_null().to_numpy(zero_copy_only=False)
@@ -148,17 +164,24 @@ def open_links(values: DataFrame, bits: int, budget: int) -> DataFrame:
             values, at = np.unique(v[which], return_index=True)
             return values, g[which][at], alone[which][at]
 
+        def given(x):
+            """The value as it came."""
+            x = x if not turned else ((x & np.uint64((1 << upper) - 1)) << np.uint64(lower)) | (x >> np.uint64(upper))
+            return pa.array(x.view(np.int64))
+
         a = side(first)
         b = None if (p, i) == (q, j) else side(~first)
         y = a if b is None else b
-        for m, n, _ in near_pairs(a[0], None if b is None else b[0], bits, budget):
+        for m, n, _ in near_pairs(a[0], None if b is None else b[0], bits, budget, (ahead, few)):
             keep = a[2][m] | y[2][n] | (a[1][m] != y[1][n])
+            if turned:
+                keep &= np.bitwise_count((a[0][m] ^ y[0][n]) & np.uint64((1 << upper) - 1)) > few
             if keep.any():
                 m, n = m[keep], n[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), t, np.int32)), pa.array(a[0][m].view(np.int64)), pa.array(y[0][n].view(np.int64))], names=["t", "v", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), t, np.int32)), given(a[0][m]), given(y[0][n])], names=["t", "v", "w"])
         trim()
 
-    return _units(values, bits, budget).groupBy("t", "p", "i", "q", "j").applyInArrow(run, "t int, v bigint, w bigint")
+    return _units(_turned(values, bits), bits, few).groupBy("t", "p", "i", "q", "j").applyInArrow(run, "t int, v bigint, w bigint")
 
 
 def _open_by_tables(values: DataFrame, tables: int, bits: int, budget: int) -> list[DataFrame]:

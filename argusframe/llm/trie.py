@@ -23,11 +23,13 @@ def _pairs_of(alo, ahi, blo, bhi):
     return alo[own] + k // nb[own], blo[own] + k % nb[own]
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray | None, bits: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def near_pairs(a: np.ndarray, b: np.ndarray | None, bits: int, budget: int, early: tuple[int, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Batches of (i, j, distance) with at most budget bits between a[i] and b[j]; with b None, within a and i < j.
 
-    a and b are sorted, distinct unsigned 64-bit integers below 2 to the power bits.
+    a and b are sorted, distinct unsigned 64-bit integers below 2 to the power bits. early is (leading bits, budget): only pairs that
+    differ in so many of the leading bits at most.
     """
+    ahead, few = early or (0, budget)
     same = b is None
     b = a if same else b
     if not len(a) or not len(b):
@@ -46,7 +48,10 @@ def near_pairs(a: np.ndarray, b: np.ndarray | None, bits: int, budget: int) -> I
             if same:
                 i, j = i[i < j], j[i < j]
             d = np.bitwise_count(a[i] ^ b[j]).astype(np.int64)
-            if (hit := d <= budget).any():
+            hit = d <= budget
+            if ahead:
+                hit &= np.bitwise_count((a[i] ^ b[j]) >> np.uint64(bits - ahead)) <= few
+            if hit.any():
                 yield i[hit], j[hit], d[hit]
             alo, ahi, blo, bhi, err = (x[~small] for x in (alo, ahi, blo, bhi, err))
         if not len(alo):
@@ -61,7 +66,7 @@ def near_pairs(a: np.ndarray, b: np.ndarray | None, bits: int, budget: int) -> I
         own = (alo == blo) if same else np.zeros(len(alo), bool)
         out = [(alo, am, blo, bm, err), (am, ahi, bm, bhi, err), (alo, am, bm, bhi, err + 1), (am, ahi, blo, bm, np.where(own, budget + 1, err + 1))]
         alo, ahi, blo, bhi, err = (np.concatenate(x) for x in zip(*out, strict=True))
-        keep = (ahi > alo) & (bhi > blo) & (err <= budget)
+        keep = (ahi > alo) & (bhi > blo) & (err <= (few if depth < ahead else budget))
         stack.append((depth + 1, *(x[keep] for x in (alo, ahi, blo, bhi, err))))
 
 

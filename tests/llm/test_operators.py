@@ -764,6 +764,33 @@ def test_dealt_rows_grow_as_the_values(spark, monkeypatch):
     assert len(parts) == 2 and len(whole) > 200 and sorted(tuple(r) for p in parts for r in p.collect()) == whole
 
 
+def test_open_links_against_every_pair(spark):
+    """Links whose differing bits lie in either half or both, each once; none inside a group."""
+    rng = np.random.default_rng(21)
+    v = rng.integers(0, 1 << 40, 60)
+    near = [v ^ sum(1 << int(k) for k in places) for places in ([0, 5, 19], [20, 30, 39], [1, 21, 39], [2, 3, 25], [17], [19, 20], [1, 2, 22, 23])]
+    v = np.unique(np.concatenate([v, *near]))
+    g = [None if x % 3 else int(x) % 5 for x in v]
+    df = spark.createDataFrame([(t, int(x), k) for t in (0, 7) for x, k in zip(v, g, strict=True)], "t int, v bigint, g bigint")
+    got = collections.Counter((r.t, *sorted((r.v, r.w))) for r in simhash.open_links(df, 40, 3).collect())
+    i, j = np.where(np.triu(np.bitwise_count(v[:, None] ^ v[None]) <= 3, 1))
+    want = [(int(v[x]), int(v[y])) for x, y in zip(i, j, strict=True) if g[x] is None or g[x] != g[y]]
+    assert got == collections.Counter((t, *p) for t in (0, 7) for p in want) and len(want) > 300
+
+
+def test_trie_visits_grow_as_the_values(monkeypatch):
+    """Node pairs a value: searched from either half within half the budget they hardly grow with the table."""
+    seen = []
+    monkeypatch.setattr(trie.np, "searchsorted", lambda v, x, f=np.searchsorted: seen.append(len(x)) or f(v, x))
+    visits = []
+    for n in (1 << 12, 1 << 15):
+        seen.clear()
+        v = np.unique(np.random.default_rng(n).integers(0, 1 << 40, n, dtype=np.uint64))
+        assert not sum(1 for i, j, d in trie.near_pairs(v, None, 40, 3, (20, 1)) if not (np.bitwise_count((v[i] ^ v[j]) >> np.uint64(20)) <= 1).all())
+        visits.append(sum(seen) / n)
+    assert visits[1] < 1.5 * visits[0] and visits[1] < 100
+
+
 def test_near_duplicates(spark, docs, none):
     rng = random.Random(12)
     rows = []
