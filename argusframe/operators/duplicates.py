@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,8 +20,12 @@ HASH_BITS, BANDED = 64, 5
 PER_BLOCK, LEAST_BLOCKS, SMALL_BLOCK = 1 << 15, 8, 1 << 11
 #: Pairs of hashes compared at once, and pairs of vectors.
 SLAB, CHUNK = 1 << 21, 1 << 16
+#: Rows of vectors gathered at once.
+PIECE = 1 << 12
 #: Spread up to which a vector counts as constant.
 FLAT = 1e-8
+#: How far beyond a rule's bounds pairs still leave their block; what follows decides. Single precision and rounding stay far below it.
+SLACK = 1e-4
 
 
 def cross_split(rows: DataFrame, key: str, split: str = "split", name: str = "image") -> DataFrame:
@@ -49,6 +54,30 @@ class _Signatures:
         with np.errstate(invalid="ignore", divide="ignore"):
             self.spread = np.sqrt(np.maximum(square - self.total * self.total / self.size, 0.0))
         self.flat = ~self.valid | (self.spread <= FLAT)  # as greatest() passes nulls over
+        self._unit: np.ndarray | None = None
+
+    def unit(self) -> np.ndarray:
+        """A row for each vector, centred and of length 1 in single precision; a constant one is zero."""
+        if self._unit is None:
+            self._unit = np.empty((len(self.total), len(self.parts)), np.float32)
+            for at in range(0, len(self._unit), PIECE):
+                some = slice(at, at + PIECE)
+                with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                    x = self.parts[:, some].T - (self.total[some] / self.size[some])[:, None]
+                    x[np.arange(x.shape[1])[None] >= self.size[some][:, None]] = 0.0  # beyond a row's end
+                    x /= np.sqrt((x * x).sum(1))[:, None]
+                x[self.flat[some]] = 0.0
+                self._unit[some] = x
+        return self._unit
+
+    def likely(self, other: _Signatures, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+        """Positions of pairs whose correlation may be `least` or more."""
+        x, y = self.unit(), other.unit()
+        w = min(x.shape[1], y.shape[1])
+        out = np.empty(len(i), np.float32)
+        for at in range(0, len(i), PIECE):
+            out[at : at + PIECE] = np.einsum("ij,ij->i", x[i[at : at + PIECE], :w], y[j[at : at + PIECE], :w])
+        return np.flatnonzero(out >= least - SLACK)
 
     def against(self, other: _Signatures, i: np.ndarray, j: np.ndarray) -> tuple[pa.Array, pa.Array]:
         """Correlation and mean absolute error of rows i with rows j of the other block."""
@@ -86,12 +115,14 @@ def _blocks(n: int) -> int:
     return max(1, -(-n // PER_BLOCK), min(LEAST_BLOCKS, -(-n // SMALL_BLOCK)))
 
 
-def within(a: DataFrame, b: DataFrame | None, most: int, name: str = "vec_id", hash_col: str = "dhash", vector: str | None = None) -> DataFrame:
+def within(a: DataFrame, b: DataFrame | None, most: int, name: str = "vec_id", hash_col: str = "dhash", vector: str | None = None, rules: list[tuple[int, float, float]] | None = None) -> DataFrame:
     """(x, y, h): pairs of a and b whose hashes differ in at most `most` bits, exactly; with b None those of a with x < y.
 
     Up to BANDED bits hashes meet on equal bands, which are long enough to be rare. Beyond that every two hashes are compared by bit
     counts: rows are cut into blocks of bounded size, a task takes two of them and gives its pairs as it finds them. Null
     hashes meet nothing. With a vector column the result is that of similar_pairs(): vectors travel with their block, not with each pair.
+    With rules, too, only pairs leave a block that fit scene_rule() or miss it by less than SLACK, with n null, and each block gives a
+    row without a pair that has n, the number of all its pairs.
     """
     own = [F.col(name).alias("name"), F.col(hash_col).alias("hash"), *([F.col(vector).cast("array<double>").alias("v")] if vector else [])]
     one = a.select(*own).where("hash IS NOT NULL")
@@ -102,7 +133,11 @@ def within(a: DataFrame, b: DataFrame | None, most: int, name: str = "vec_id", h
         h = hamming(F.col("hx"), F.col("hy"))
         kept = (h <= most) & (F.col("x") < F.col("y")) if b is None else h <= most
         met = _banded(left, "hx", most).join(_banded(right, "hy", most), ["_band", "_bits"]).where(kept).select("x", "y", h.alias("h")).distinct()
-        return met if not vector else similar_pairs(met, a if b is None else a.unionByName(b), name, vector)
+        met = met if not vector else similar_pairs(met, a if b is None else a.unionByName(b), name, vector)
+        if not rules:
+            return met
+        met = met.withColumn("n", F.lit(None).cast("bigint"))
+        return scene_rule(met, [(bits, corr - SLACK, mae + SLACK) for bits, corr, mae in rules]).unionByName(met.agg(F.count("*").alias("n")), allowMissingColumns=True)
     n, m = _blocks(one.count()), None if two is None else _blocks(two.count())
     block = lambda k: F.pmod(F.xxhash64("name"), F.lit(k)).cast("int").alias("_at")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_with")
@@ -125,18 +160,34 @@ def within(a: DataFrame, b: DataFrame | None, most: int, name: str = "vec_id", h
         hashes = lambda t: t.column("hash").to_numpy().view(np.uint64)
         signs = [_Signatures(t.column("v").combine_chunks()) for t in (left, right)] if vector else []
         named = [t.column("name").combine_chunks() for t in (left, left if whole else right)]
+        count = 0
         for i, j, h in _near(hashes(left), None if whole else hashes(right), most):
+            if rules:
+                # a name's pair with itself is none
+                count += pc.sum(pc.not_equal(named[0].take(pa.array(i)), named[1].take(pa.array(j)))).as_py() or 0 if alone else len(i)
+                near = signs[0].likely(signs[0 if whole else 1], i, j, min(corr for _, corr, _ in rules))
+                i, j, h = i[near], j[near], h[near]
+                corr, mae = signs[0].against(signs[0 if whole else 1], i, j)
+                c, m = (x.fill_null(np.nan).to_numpy() for x in (corr, mae))
+                fits = np.flatnonzero(np.logical_or.reduce([(h <= bits) & (c >= low - SLACK) & (m <= high + SLACK) for bits, low, high in rules]))
+                if len(fits):
+                    pairs = [named[0].take(pa.array(i[fits])), named[1].take(pa.array(j[fits])), pa.array(h[fits]), corr.take(pa.array(fits)), mae.take(pa.array(fits))]
+                    yield pa.RecordBatch.from_arrays([*pairs, pa.nulls(len(fits), pa.int64())], names=["x", "y", "h", "corr", "mae", "n"])
+                continue
             names = [named[0].take(pa.array(i)), named[1].take(pa.array(j))]
             found = signs[0].against(signs[0 if whole else 1], i, j) if vector else ()
             yield pa.RecordBatch.from_arrays([*names, pa.array(h), *found], names=["x", "y", "h", *(("corr", "mae") if vector else ())])
+        if rules:
+            kinds = [named[0].type, named[0].type, pa.int32(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, k) for k in kinds], pa.array([count], pa.int64())], names=["x", "y", "h", "corr", "mae", "n"])
 
     kind = a.schema[name].dataType.simpleString()
     columns = ["i", "j", "second", "name", "hash", *(["v"] if vector else [])]
-    met = dealt.select(*columns).groupBy("i", "j").applyInArrow(run, f"x {kind}, y {kind}, h int" + (", corr double, mae double" if vector else ""))
+    met = dealt.select(*columns).groupBy("i", "j").applyInArrow(run, f"x {kind}, y {kind}, h int" + (", corr double, mae double" if vector else "") + (", n bigint" if rules else ""))
     if b is not None:
         return met
-    rest = ["h", *(["corr", "mae"] if vector else [])]
-    return met.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), *rest)
+    rest = ["h", *(["corr", "mae"] if vector else []), *(["n"] if rules else [])]
+    return met.where("x <> y OR n IS NOT NULL" if rules else "x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), *rest)
 
 
 def nearest(holdout: DataFrame, train: DataFrame, most: int = 4, name: str = "vec_id", hash_col: str = "dhash") -> DataFrame:
@@ -220,8 +271,8 @@ def names_of_pairs(pairs: DataFrame, name: str = "name") -> DataFrame:
 
 
 def diagnostics(candidates: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """candidate_pairs, accepted_edges, groups, multi_groups, largest, min_corr."""
+    """candidate_pairs, accepted_edges, groups, multi_groups, largest, min_corr. candidates are pairs, or with a column n numbers of pairs."""
     size = groups.groupBy("component").agg(F.count("*").alias("n"))
     g = size.agg(F.count("*").alias("groups"), F.count_if(F.col("n") > 1).alias("multi_groups"), F.max("n").alias("largest"))
-    c, x = candidates.agg(F.count("*").alias("candidate_pairs")), edges.agg(F.count("*").alias("accepted_edges"), F.min("corr").alias("min_corr"))
+    c, x = candidates.agg((F.coalesce(F.sum("n"), F.lit(0).cast("bigint")) if "n" in candidates.columns else F.count("*")).alias("candidate_pairs")), edges.agg(F.count("*").alias("accepted_edges"), F.min("corr").alias("min_corr"))
     return c.join(x, how="cross").join(g, how="cross")

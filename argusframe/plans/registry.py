@@ -413,20 +413,24 @@ SCENES = f"""{PAIRS}, e AS MATERIALIZED (SELECT x, y FROM q WHERE {EDGE}), s AS
 r(n, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT s.b, r.m FROM r JOIN s ON r.n = s.a), comp AS (SELECT n AS vec_id, min(m) AS component FROM r GROUP BY 1)"""
 
 
-def _scenes(spark, sf):
-    return duplicates.components(v.vectors(spark, sf), duplicates.scene_rule(_pairs(spark, sf), RULES))
+def _edges(spark, sf):
+    """(pairs that fit the rules, numbers of candidates), from one comparison of all hashes; only the pairs near the rules leave their block."""
+    duplicates.checkpoint_folder(spark)
+    met = duplicates.within(_hashes(spark, sf), None, SCENE_BITS, vector="v", rules=RULES).checkpoint()
+    pairs = met.where("n IS NULL").select("x", "y", "h", F.round("corr", 6).alias("corr"), F.round("mae", 6).alias("mae"))
+    return duplicates.scene_rule(pairs, RULES), met.where("n IS NOT NULL").select("n")
 
 
 @query(f"WITH RECURSIVE {SCENES} SELECT vec_id, component FROM comp")
 def scene_components(spark, sf):
-    return _scenes(spark, sf)
+    return duplicates.components(v.vectors(spark, sf), _edges(spark, sf)[0])
 
 
 @query(f"""WITH RECURSIVE {SCENES}, z2 AS (SELECT component, count(*) AS n FROM comp GROUP BY 1)
 SELECT (SELECT count(*) FROM q) AS candidate_pairs, (SELECT count(*) FROM e) AS accepted_edges, (SELECT min(corr) FROM q WHERE {EDGE}) AS min_corr, count(*) AS groups, count(*) FILTER (n > 1) AS multi_groups, max(n) AS largest FROM z2""")
 def component_diagnostics(spark, sf):
-    p = _pairs(spark, sf)
-    return duplicates.diagnostics(p, duplicates.scene_rule(p, RULES), _scenes(spark, sf))
+    edges, candidates = _edges(spark, sf)
+    return duplicates.diagnostics(candidates, edges, duplicates.components(v.vectors(spark, sf), edges))
 
 
 def _scene_groups(spark, sf):

@@ -344,6 +344,35 @@ def test_pairs_measured_inside_blocks(spark, monkeypatch):
     assert len(want) > 300 and plain(got) == plain(want)
 
 
+def test_only_pairs_near_the_rules_leave_a_block(spark, monkeypatch):
+    """Accepted pairs and the number of candidates are those of all pairs, odd vectors and repeated names included; few other pairs leave their block."""
+    rng = random.Random(6)
+    base = [[rng.random() for _ in range(6)] for _ in range(6)]
+    odd = [None, [1.0, 2.0], [0.5] * 6, [1.0, None, 2.0, 3.0, 4.0, 5.0], [float("nan")] * 6, [1e200, -1e200, 0.0, 1.0, 2.0, 3.0]]
+    data = [(i if i != 77 else 76, rng.getrandbits(20), odd[i] if i < 6 else [x + rng.random() * 0.4 for x in rng.choice(base)]) for i in range(80)]
+    df = spark.createDataFrame(data, "vec_id int, dhash bigint, v array<double>")
+    rules = [(6, 0.4, 0.3), (9, 0.6, 0.2)]
+    monkeypatch.setattr(duplicates, "PER_BLOCK", 9)
+    monkeypatch.setattr(duplicates, "CHUNK", 7)
+    monkeypatch.setattr(duplicates, "PIECE", 5)
+    for most in (9, 5):
+        every = duplicates.within(df, None, most, vector="v")
+        met = duplicates.within(df, None, most, vector="v", rules=rules).collect()
+        left = spark.createDataFrame([r for r in met if r.n is None], "x int, y int, h int, corr double, mae double, n bigint").drop("n")
+        want = sorted(map(tuple, duplicates.scene_rule(every, rules).collect()))
+        assert sorted(map(tuple, duplicates.scene_rule(left, rules).collect())) == want and len(want) > 3
+        assert sum(r.n for r in met if r.n is not None) == every.count() > 2 * len(want) and left.count() < len(want) + 5
+
+
+@pytest.mark.parametrize("name", ["component_diagnostics", "scene_components"])
+def test_hashes_are_compared_once(spark, name):
+    """All pairs are measured in one pass, whose result is read from a checkpoint by what follows."""
+    from argusframe.plans import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan
+
+
 def test_gallery_in_blocks(spark, monkeypatch):
     """Blocks of probes and samples, equal samples, samples without a number: the rows of every pair compared; no pair leaves its block."""
     rng = random.Random(9)
