@@ -47,18 +47,21 @@ def matches(predictions: DataFrame, truths: DataFrame, overlap: float = 0.5) ->
 
 
 def matches_at(predictions: DataFrame, truths: DataFrame, overlaps: tuple[float, ...] = OVERLAPS) -> DataFrame:
-    """matches() at each of several overlaps: a row for each prediction, with hits, an array with a 0 or 1 for each overlap, from one join of boxes."""
+    """matches() at each of several overlaps: a row for each prediction, with hits, an array with a 0 or 1 for each overlap, from one join of boxes.
+
+    A prediction's best truth is the same at every overlap that it reaches. It is taken at those that no prediction before has reached with that truth.
+    """
     met = predictions.join(truths, ["image", "class_id"]).withColumn("_iou", iou("b", "t")).where(F.col("_iou") >= min(overlaps))
-    met = met.select("image", "class_id", "pred", "truth", "score", "_iou", F.posexplode(F.array(*map(F.lit, overlaps))).alias("_at", "overlap")).where("_iou >= overlap")
-    best = met.groupBy("_at", "image", "class_id", "pred").agg(F.max_by("truth", F.struct("_iou", -F.col("truth"))).alias("truth"), F.first("score").alias("score"))
-    w = Window.partitionBy("_at", "image", "class_id", "truth").orderBy(F.desc("score"), "pred")
-    taken = best.withColumn("_r", F.row_number().over(w)).where("_r = 1").groupBy("image", "class_id", "pred").agg(F.collect_set("_at").alias("_hits"))
-    hits = F.array(*[F.coalesce(F.array_contains("_hits", k), F.lit(False)).cast("int") for k in range(len(overlaps))])
-    return predictions.join(taken, ["image", "class_id", "pred"], "left").select("image", "class_id", "pred", "score", hits.alias("hits"))
+    best = met.groupBy("image", "class_id", "pred").agg(F.max(F.struct("_iou", (-F.col("truth")).alias("_t"))).alias("_m"), F.first("score").alias("score"))
+    best = best.select("image", "class_id", "pred", "score", F.col("_m._iou").alias("_iou"), F.col("_m._t").alias("_t"))
+    w = Window.partitionBy("image", "class_id", "_t").orderBy(F.desc("score"), "pred").rowsBetween(Window.unboundedPreceding, -1)
+    reached = best.withColumn("_before", F.coalesce(F.max("_iou").over(w), F.lit(-1.0))).where("_iou > _before").select("image", "class_id", "pred", "_iou", "_before")
+    hits = F.array(*[F.coalesce((F.col("_iou") >= o) & (F.col("_before") < o), F.lit(False)).cast("int") for o in overlaps])
+    return predictions.join(reached, ["image", "class_id", "pred"], "left").select("image", "class_id", "pred", "score", hits.alias("hits"))
 
 
 def _ranked(found: DataFrame, hits: int) -> DataFrame:
-    """(class_id, _k, _h, _tp): of each prediction its place by falling score in its class, its hits, and the hits up to it, arrays of so many.
+    """(class_id, _k, _all, _h, _tp): of each prediction its place by falling score in its class, the number of these, its hits, and the hits up to it, arrays of so many.
 
     Predictions are dealt by ranges of class and score; counts of each range, of which there are as many as partitions, place it.
     """
@@ -69,10 +72,10 @@ def _ranked(found: DataFrame, hits: int) -> DataFrame:
     parts = dealt.groupBy("class_id", "_part").agg(F.count("*").alias("_n"), *counts)
     up = Window.partitionBy("class_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = lambda c: F.coalesce(F.sum(c).over(up), F.lit(0))
-    offsets = parts.select("class_id", "_part", before("_n").alias("_k0"), F.array(*[before(f"_h{k}") for k in range(hits)]).alias("_tp0"))
+    offsets = parts.select("class_id", "_part", F.sum("_n").over(Window.partitionBy("class_id")).alias("_all"), before("_n").alias("_k0"), F.array(*[before(f"_h{k}") for k in range(hits)]).alias("_tp0"))
     w = Window.partitionBy("class_id", "_part").orderBy(*order)
     own = dealt.select("class_id", "_part", "hits", F.row_number().over(w).alias("_own"), F.array(*[F.sum(F.get("hits", F.lit(k))).over(w) for k in range(hits)]).alias("_up"))
-    return own.join(F.broadcast(offsets), ["class_id", "_part"]).select("class_id", (F.col("_k0") + F.col("_own")).alias("_k"), F.col("hits").alias("_h"), F.zip_with("_tp0", "_up", lambda x, y: x + y).alias("_tp"))
+    return own.join(F.broadcast(offsets), ["class_id", "_part"]).select("class_id", (F.col("_k0") + F.col("_own")).alias("_k"), "_all", F.col("hits").alias("_h"), F.zip_with("_tp0", "_up", lambda x, y: x + y).alias("_tp"))
 
 
 def _precisions(found: DataFrame, truths: DataFrame, points: int, hits: int) -> DataFrame:
@@ -80,6 +83,8 @@ def _precisions(found: DataFrame, truths: DataFrame, points: int, hits: int) ->
     n = truths.groupBy("class_id").agg(F.count("*").alias("_n"))
     ranked = _ranked(found, hits).join(F.broadcast(n), "class_id")
     each = F.array(*[F.struct(F.lit(k).alias("at"), F.get("_h", F.lit(k)).alias("h"), F.get("_tp", F.lit(k)).alias("tp")) for k in range(hits)])
+    # hits, and the last place, at which all predictions and hits are counted
+    each = F.filter(each, lambda x: (x["h"] > 0) | (F.col("_k") == F.col("_all")))
     c = ranked.select("class_id", "_k", "_n", F.explode(each).alias("x")).select(F.col("x.at").alias("at"), "class_id", "_k", "_n", F.col("x.h").alias("h"), F.col("x.tp").alias("tp"))
     # a row for each recall asked for: the best precision of the places at which it is the last one reached; between hits precision only falls
     reached = F.floor(F.col("tp") * (points - 1) / F.col("_n")).cast("int")

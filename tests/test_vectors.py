@@ -323,6 +323,24 @@ def test_mean_average_precision(spark):
     assert math.isclose(got[None].ap50, (got[0].ap50 + got[1].ap50) / 2)
 
 
+def test_matches_at_all_overlaps_repeat_no_rows(spark):
+    """Hits at ten overlaps are those of matches() at each, equal scores, equal overlaps, repeated and null rows included; no row is repeated for an overlap."""
+    from argusframe.operators import detection_metrics as m
+
+    rng = random.Random(16)
+    box = lambda: (x := float(rng.randrange(5)), y := float(rng.randrange(5)), x + 9, y + 8 + rng.randrange(3))
+    truth = [(i, c, k, box()) for i in range(15) for c in (0, 1) for k in range(3)] + [(3, 0, 9, None), (None, 0, 1, box())]
+    pred = [(i, c, k, rng.randrange(4) / 4, box()) for i in range(16) for c in (0, 1) for k in range(7)] + [(2, 0, 8, 0.5, None), (None, 1, 1, 0.5, box())]
+    kind = "struct<x1:double,y1:double,x2:double,y2:double>"
+    t = spark.createDataFrame(truth + truth[:5], f"image int, class_id int, truth int, t {kind}")
+    p = spark.createDataFrame(pred + pred[:9], f"image int, class_id int, pred int, score double, b {kind}")
+    met = m.matches_at(p, t)
+    assert "Generate" not in met._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.image or -1, r.class_id, r.pred, *r.hits) for r in met.collect())
+    each = [sorted((r.image or -1, r.class_id, r.pred, r.hit) for r in m.matches(p, t, o).collect()) for o in (0.5, 0.7, 0.85)]
+    assert [[(*r[:3], r[3 + k]) for r in got] for k in (0, 4, 7)] == each and all(20 < sum(r[3] for r in e) for e in each[:2])
+
+
 def test_pairs_measured_inside_blocks(spark, monkeypatch):
     """Vectors travel with their block, not with each pair: no join in the plan, and the values of the column functions, odd vectors included."""
     rng = random.Random(4)
